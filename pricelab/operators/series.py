@@ -117,17 +117,20 @@ def _with_halo(df: DataFrame, pos_col: str, halo: int, block_rows: int) -> DataF
 
 def sequence_windows(df: DataFrame, feature_cols: list[str], target_col: str, length: int = 24,
                      pos_col: str = "pos", partition_cols: list[str] | None = None,
-                     block_rows: int = DEFAULT_BLOCK_ROWS, out_col: str = "sequence") -> DataFrame:
+                     block_rows: int = DEFAULT_BLOCK_ROWS, out_col: str = "sequence",
+                     feature_array_col: str | None = None) -> DataFrame:
     """For each row with at least ``length`` earlier rows in its partition, the
     ``length`` preceding feature rows (oldest first) and this row's target (W1).
 
     ``df`` must carry a gap-free position ``pos_col`` per partition (e.g.
     ``split_pos`` from :func:`chronological_split`). ``partition_cols`` keep
     windows from crossing a split or series boundary. The output column
-    ``out_col`` is ``array<array<double>>`` (time x feature).
+    ``out_col`` is ``array<array<double>>`` (time x feature). A row's features
+    may instead come ready-made from the array column ``feature_array_col``.
     """
     parts = list(partition_cols or [])
-    feats = F.array(*[F.col(c).cast("double") for c in feature_cols])
+    feats = F.col(feature_array_col) if feature_array_col else \
+        F.array(*[F.col(c).cast("double") for c in feature_cols])
     x = _with_halo(df.withColumn("__f", feats), pos_col, length, block_rows)
     w = Window.partitionBy(*parts, "__block").orderBy(pos_col).rowsBetween(-length, -1)
     x = x.withColumn(out_col, F.collect_list("__f").over(w))

@@ -76,6 +76,23 @@ def scan_latest(spark: SparkSession, path: str, glob: str = "*", fmt: str = "par
     return reader.load(p)
 
 
+def latest_run(spark: SparkSession, base: str, glob: str = "*") -> str:
+    """Folder of the most recent run under ``base`` (S3 for multi-file runs).
+
+    A distributed run writes many files; the run's time is its newest file's
+    modification time and the folder name (a run stamp) breaks ties. The
+    listing is aggregated by Spark; one path comes back.
+    """
+    files = (spark.read.format("binaryFile").option("pathGlobFilter", glob)
+             .option("recursiveFileLookup", "true").load(base).select("path", "modificationTime"))
+    folder = F.regexp_extract("path", r"^(.*)/[^/]*$", 1)
+    runs = files.groupBy(folder.alias("folder")).agg(F.max("modificationTime").alias("mtime"))
+    best = runs.agg(F.max(F.struct("mtime", "folder")).alias("m")).collect()[0]["m"]
+    if best is None:
+        raise FileNotFoundError(f"no files matching {glob!r} under {base}")
+    return best["folder"]
+
+
 def union_prices(frames: list[DataFrame]) -> DataFrame:
     """Union of chunks of one schema, matched by name."""
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
