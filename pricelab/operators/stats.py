@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pricelab.functions.names import numeric_columns, string_columns
+from pricelab.session import ensure_checkpoint_dir
 
 DEFAULT_QUANTILE_BUCKETS = 64
 
@@ -89,7 +90,11 @@ def quantiles_by_column(df: DataFrame, columns: list[str], probs: list[float],
     if method != "exact":
         raise ValueError(f"unknown quantile method {method!r}")
 
-    vc = long.groupBy("name", "v").agg(F.count(F.lit(1)).alias("cnt"))
+    # distinct values with counts, materialised once in the shared checkpoint
+    # folder: the boundary sketch, the running counts and the offsets all
+    # read it instead of repeating the shuffle
+    ensure_checkpoint_dir(df.sparkSession)
+    vc = long.groupBy("name", "v").agg(F.count(F.lit(1)).alias("cnt")).checkpoint(eager=True)
     if buckets > 1:
         fracs = [i / buckets for i in range(1, buckets)]
         bounds_rows = (vc.groupBy("name")
@@ -175,13 +180,34 @@ def modes(df: DataFrame, columns: list[str]) -> DataFrame:
 # imputation
 # --------------------------------------------------------------------------
 
-def impute_median(df: DataFrame, columns: list[str] | None = None, method: str = "exact") -> DataFrame:
+def columns_with_missing(df: DataFrame, columns: list[str]) -> list[str]:
+    """The subset of ``columns`` holding at least one missing value: one
+    aggregation pass, one number per column comes back."""
+    if not columns:
+        return []
+    aggs = []
+    for c in columns:
+        x = F.col(f"`{c}`")
+        miss = x.isNull()
+        if df.schema[c].dataType.typeName() in ("double", "float"):
+            miss = miss | F.isnan(x)
+        aggs.append(F.max(miss.cast("int")).alias(c))
+    row = df.agg(*aggs).collect()[0]
+    return [c for c in columns if row[c]]
+
+
+def impute_median(df: DataFrame, columns: list[str] | None = None, method: str = "exact",
+                  only_missing: bool = True) -> DataFrame:
     """Fill missing numbers with the column median (P5).
 
     Imputed columns become ``double`` (a median of integers may be
-    fractional), as in pandas. NaN counts as missing.
+    fractional), as in pandas. NaN counts as missing. With ``only_missing``
+    (the reference's behaviour) medians are computed only for columns that
+    have a gap; the others keep their values and type.
     """
     cols = columns if columns is not None else numeric_columns(df)
+    if only_missing:
+        cols = columns_with_missing(df, cols)
     if not cols:
         return df
     stats = medians(df, cols, method=method)
@@ -194,9 +220,11 @@ def impute_median(df: DataFrame, columns: list[str] | None = None, method: str =
 
 
 def impute_mode(df: DataFrame, columns: list[str] | None = None, default: str = "unknown",
-                exclude: list[str] | None = None) -> DataFrame:
+                exclude: list[str] | None = None, only_missing: bool = True) -> DataFrame:
     """Fill missing strings with the most frequent value, else ``default``."""
     cols = columns if columns is not None else string_columns(df, exclude=exclude)
+    if only_missing:
+        cols = columns_with_missing(df, cols)
     if not cols:
         return df
     stats = modes(df, cols)
