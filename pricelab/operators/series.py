@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pricelab.session import ensure_checkpoint_dir
 
 _LOCAL_BITS = 33  # monotonically_increasing_id: partition id above bit 33
-DEFAULT_BLOCK_ROWS = 65536
+MAX_BLOCK_ROWS = 1 << 20
 
 
 def _order_cols(order_by) -> list[Column]:
@@ -65,9 +65,15 @@ def chronological_split(df: DataFrame, order_by: list, test_size: float = 0.2,
                         keep_position: bool = True) -> DataFrame:
     """First ``int(n * (1 - test_size))`` rows in time order are ``train`` (T4).
 
-    Also adds ``split_pos``: the position inside the split.
+    Also adds ``split_pos``: the position inside the split. If ``df``
+    already carries gap-free positions in ``pos_col`` they are reused (the
+    total comes from a one-row count joined by broadcast).
     """
-    out = with_row_position(df, order_by, pos_col=pos_col, total_col="__total")
+    if pos_col in df.columns:
+        total = df.agg(F.count(F.lit(1)).alias("__total"))
+        out = df.crossJoin(F.broadcast(total))
+    else:
+        out = with_row_position(df, order_by, pos_col=pos_col, total_col="__total")
     n_train = F.floor(F.col("__total") * F.lit(1.0 - test_size)).cast("long")
     is_train = F.col(pos_col) < n_train
     out = out.withColumns({
@@ -106,7 +112,18 @@ def hash_split(df: DataFrame, key_cols: list[str], train_share: float = 0.8,
                          .otherwise(F.lit(labels[1])))
 
 
-def _with_halo(df: DataFrame, pos_col: str, halo: int, block_rows: int) -> DataFrame:
+def block_rows_for(df: DataFrame, halo: int) -> int:
+    """Rows per block: enough blocks to feed every shuffle partition twice,
+    at least 4x the halo (so copies stay a small share), at most 2^20 rows
+    (so one window partition always sorts comfortably). One count job."""
+    n = df.count()
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return int(min(MAX_BLOCK_ROWS, max(4 * max(halo, 1), -(-n // (2 * parts)))))
+
+
+def _with_halo(df: DataFrame, pos_col: str, halo: int, block_rows: int | None) -> DataFrame:
+    if block_rows is None:
+        block_rows = block_rows_for(df, halo)
     if block_rows < halo:
         raise ValueError("block_rows must be >= the window length")
     home = F.floor(F.col(pos_col) / F.lit(block_rows)).cast("long")
@@ -117,7 +134,7 @@ def _with_halo(df: DataFrame, pos_col: str, halo: int, block_rows: int) -> DataF
 
 def sequence_windows(df: DataFrame, feature_cols: list[str], target_col: str, length: int = 24,
                      pos_col: str = "pos", partition_cols: list[str] | None = None,
-                     block_rows: int = DEFAULT_BLOCK_ROWS, out_col: str = "sequence",
+                     block_rows: int | None = None, out_col: str = "sequence",
                      feature_array_col: str | None = None) -> DataFrame:
     """For each row with at least ``length`` earlier rows in its partition, the
     ``length`` preceding feature rows (oldest first) and this row's target (W1).
@@ -140,7 +157,7 @@ def sequence_windows(df: DataFrame, feature_cols: list[str], target_col: str, le
 
 def lag_features(df: DataFrame, cols: list[str], lags: list[int], pos_col: str = "pos",
                  partition_cols: list[str] | None = None,
-                 block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
+                 block_rows: int | None = None) -> DataFrame:
     """``{c}_lag{k}``: value k rows earlier in position order, NULL if none."""
     parts = list(partition_cols or [])
     k_max = max(lags)

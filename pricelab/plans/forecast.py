@@ -46,15 +46,19 @@ class Prepared:
 
 def event_features(events: DataFrame, order_by: list[str], lags: tuple[int, ...] = (1, 2, 3)) -> tuple[DataFrame, list[str]]:
     """Feature table for ``events``: calendar fields, one-hot event type,
-    user, value lags (missing lags imputed with the median), target ``value``.
-    Carries ``pos`` (global time position)."""
+    user, value lags, target ``value``. Carries ``pos`` (global time
+    position). The first rows have no earlier value: their lags take the
+    series median, computed once on the base table (not on the windowed
+    frame, which would re-run the lag window for every statistics pass)."""
+    med = stats.medians(events, ["value"])
     x = add_calendar_features(events, "ts", guard=False)
     x = stats.impute_mode(x, ["event_type"])
     x, vocab = encode.one_hot(x, ["event_type"])
     x = series.with_row_position(x, order_by)
     x = series.lag_features(x, ["value"], list(lags))
     lag_cols = [f"value_lag{k}" for k in lags]
-    x = stats.impute_median(x, lag_cols)
+    x = x.crossJoin(F.broadcast(med)).withColumns(
+        {c: F.coalesce(F.col(c), F.col("value__median")) for c in lag_cols}).drop("value__median")
     feats = ["user_id", "hour_of_day", "day_of_week", "month", "is_weekend",
              *[f"event_type_{v}" for v in vocab["event_type"]], *lag_cols]
     return x, feats
@@ -65,8 +69,7 @@ def prepare(df: DataFrame, feature_cols: list[str], target: str, key: list[str],
     """Chronological split, a hash fold (``fit`` / ``validation``) inside
     train, the population scaler fitted on train and applied everywhere, and
     the assembled ``features`` vector."""
-    s = series.chronological_split(df.drop("pos") if "pos" in df.columns else df, order_by,
-                                   test_size=test_size)
+    s = series.chronological_split(df, order_by, test_size=test_size)
     s = series.hash_split(s, key, train_share=1 - VALIDATION_SHARE, split_col="fold",
                           labels=("fit", "validation"))
     scaler = stats.fit_standard_scaler(s.where(F.col("split") == "train"), feature_cols)
@@ -76,6 +79,9 @@ def prepare(df: DataFrame, feature_cols: list[str], target: str, key: list[str],
     x = x.withColumn("features", array_to_vector("xarr"))
     x = x.select(*key, "ts", "split", "split_pos", "fold", F.col(target).cast("double").alias("label"),
                  "xarr", "features")
+    # both models scan this frame many times: cut the lineage (positions,
+    # lag windows, imputation, scaling) once, in the shared checkpoint folder
+    x = x.checkpoint(eager=True)
     return Prepared(x, feature_cols, target, key, scaler)
 
 

@@ -29,8 +29,12 @@ KEY_GBT_PARAMS = {"maxIter": 20}
 SPOILED_WIDTH_MOD = 11
 
 
-def _prepared(spark: SparkSession, sf: str) -> fc.Prepared:
-    feats, cols = fc.event_features(fx.table(spark, sf, "events"), ORDER)
+def _features(spark: SparkSession, sf: str) -> tuple[DataFrame, list[str]]:
+    return fc.event_features(fx.table(spark, sf, "events"), ORDER)
+
+
+def _prepared(spark: SparkSession, sf: str, feats=None) -> fc.Prepared:
+    feats, cols = feats or _features(spark, sf)
     return fc.prepare(feats, cols, "value", KEY, ORDER)
 
 
@@ -58,17 +62,17 @@ def q_feature_importance(spark: SparkSession, sf: str) -> DataFrame:
     return fc.feature_importance(spark, prep, model, top=20)
 
 
-def _raw_feature_records(spark: SparkSession, sf: str) -> tuple[DataFrame, list[str]]:
-    feats, cols = fc.event_features(fx.table(spark, sf, "events"), ORDER)
+def _raw_feature_records(feats: DataFrame, cols: list[str]) -> tuple[DataFrame, list[str]]:
     arr = F.array(*[F.col(c).cast("double") for c in cols])
     spoiled = F.when(F.col("event_id") % SPOILED_WIDTH_MOD == 0, F.slice(arr, 1, len(cols) - 1)).otherwise(arr)
     return feats.select("event_id", spoiled.alias("features_raw")), cols
 
 
 def q_score_features(spark: SparkSession, sf: str) -> DataFrame:
-    prep = _prepared(spark, sf)
+    feats = _features(spark, sf)
+    prep = _prepared(spark, sf, feats)
     model = fc.train_gbt(prep, KEY_GBT_PARAMS)
-    records, cols = _raw_feature_records(spark, sf)
+    records, cols = _raw_feature_records(*feats)
     scored, bad = fc.score_features(records, model, prep.scaler, cols)
     return scored.select("event_id", F.lit("scored").alias("status"), F.round("prediction", 4).alias("prediction")) \
         .unionByName(bad.select("event_id", F.lit("rejected").alias("status"),
@@ -76,13 +80,14 @@ def q_score_features(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_model_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
-    prep = _prepared(spark, sf)
+    feats = _features(spark, sf)
+    prep = _prepared(spark, sf, feats)
     gbt = fc.train_gbt(prep, KEY_GBT_PARAMS)
     seq, _ = fc.train_sequence(prep)
     path = scratch_path(spark, "models")
     fc.save_models(path, prep, gbt, seq)
     loaded, scaler, meta = fc.load_models(spark, path)
-    records, _ = _raw_feature_records(spark, sf)
+    records, _ = _raw_feature_records(*feats)
     scored, _ = fc.score_features(records, loaded, scaler, meta["feature_names"])
     return scored.select("event_id", F.round("prediction", 4).alias("prediction"))
 
