@@ -112,7 +112,7 @@ def q_stream_weather(spark: SparkSession, sf: str) -> DataFrame:
     total (stream-static) -> checkpointed parquet sink; rejected readings to
     a side sink."""
     root = scratch_path(spark, "weather_stream")
-    fx.weather_docs(spark, sf).write.json(f"{root}/in")
+    streams.land_json(fx.weather_docs(spark, sf), f"{root}/in")
     solar = feeds.solar_total(fx.generation_docs(spark, sf))
     records, rejected = streams.weather_stream(spark, f"{root}/in", solar)
     q1 = streams.start_to_parquet(records, f"{root}/out", f"{root}/ckpt_out")
@@ -125,7 +125,7 @@ def q_stream_weather(spark: SparkSession, sf: str) -> DataFrame:
 def q_stream_prices(spark: SparkSession, sf: str) -> DataFrame:
     """R2: price ticks appended as they land."""
     root = scratch_path(spark, "price_stream")
-    fx.price_ticks(spark, sf).write.json(f"{root}/in")
+    streams.land_json(fx.price_ticks(spark, sf), f"{root}/in")
     q = streams.start_to_parquet(streams.price_tick_stream(spark, f"{root}/in"), f"{root}/out", f"{root}/ckpt")
     q.awaitTermination()
     return spark.read.parquet(f"{root}/out")

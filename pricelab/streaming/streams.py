@@ -18,6 +18,13 @@ from pricelab.sources import feeds
 
 WINDOW = "15 minutes"
 WATERMARK = "1 hour"
+# Landed JSON keeps full microsecond times (the JSON default is milliseconds).
+TS_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
+
+
+def land_json(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """Write records as JSON lines the stream readers below can replay."""
+    df.write.mode(mode).option("timestampNTZFormat", TS_FORMAT).option("timestampFormat", TS_FORMAT).json(path)
 
 
 def tumbling_average(df: DataFrame, time_col: str, value_col: str, window: str = WINDOW) -> DataFrame:
@@ -62,7 +69,7 @@ def weather_stream(spark: SparkSession, weather_path: str, solar_by_day: DataFra
     schema = T.StructType([T.StructField("doc_id", T.LongType()),
                            T.StructField(observed_col, T.TimestampNTZType()),
                            T.StructField("json", T.StringType())])
-    raw = spark.readStream.schema(schema).json(weather_path)
+    raw = spark.readStream.schema(schema).option("timestampNTZFormat", TS_FORMAT).json(weather_path)
     flat = feeds.weather_flatten(raw, keep=["doc_id", observed_col])
     ok, bad = feeds.weather_guard(flat)
     records = feeds.weather_record(ok, solar_by_day, time_col=observed_col)
@@ -82,4 +89,4 @@ def start_to_parquet(stream: DataFrame, path: str, checkpoint: str, available_no
 
 def price_tick_stream(spark: SparkSession, path: str) -> DataFrame:
     """Price ticks {timestamp, price, volatility} as they land."""
-    return spark.readStream.schema(feeds.PRICE_TICK_SCHEMA).json(path)
+    return spark.readStream.schema(feeds.PRICE_TICK_SCHEMA).option("timestampFormat", TS_FORMAT).json(path)
