@@ -103,11 +103,13 @@ def kernel_density(df: DataFrame, value_col: str, group_col: str | None = None,
         "bw": F.col("sd") * F.pow(F.col("n").cast("double"), F.lit(-0.2)),
         "bin_w": (F.col("hi") - F.col("lo")) / F.lit(float(prebins)),
     })
-    j = x.join(F.broadcast(st.select("grp", "lo", "bin_w")), "grp")  # one row per group
+    # one statistics row per group: joined without a hint, so Spark
+    # broadcasts it only when its measured size is under the threshold
+    j = x.join(st.select("grp", "lo", "bin_w"), "grp")
     raw = F.when(F.col("bin_w") > 0, F.floor((F.col("__x") - F.col("lo")) / F.col("bin_w"))).otherwise(F.lit(0))
     binned = j.groupBy("grp", F.least(raw.cast("long"), F.lit(prebins - 1)).alias("b")) \
         .agg(F.count(F.lit(1)).alias("w"))
-    centres = binned.join(F.broadcast(st), "grp").select(
+    centres = binned.join(st, "grp").select(
         "grp", "w", "n", "bw", "lo", "hi",
         (F.col("lo") + (F.col("b") + F.lit(0.5)) * F.col("bin_w")).alias("c"))
     gstart = F.col("lo") - F.lit(cut) * F.col("bw")
@@ -143,7 +145,7 @@ def residual_bins(pred_long: DataFrame, bins: int = 50) -> DataFrame:
                          (F.col("actual") - F.col("predicted")).alias("e"))
     st = r.groupBy("model").agg(F.min("p").alias("p_lo"), F.max("p").alias("p_hi"),
                                 F.min("e").alias("e_lo"), F.max("e").alias("e_hi"))
-    j = r.join(F.broadcast(st), "model")  # one row per model
+    j = r.join(st, "model")  # one row per model; Spark picks broadcast by measured size
 
     def _bin(v: str, lo: str, hi: str) -> Column:
         w = (F.col(hi) - F.col(lo)) / F.lit(float(bins))

@@ -44,6 +44,18 @@ class Prepared:
     vocab: dict = field(default_factory=dict)
 
 
+def feature_columns(df: DataFrame, target: str, exclude: list[str] | None = None) -> list[str]:
+    """Every column except the target, the time-role columns and the
+    given keys; string columns must be encoded first."""
+    from pricelab.functions.names import time_columns
+
+    skip = {target, *time_columns(df), *(exclude or [])}
+    strings = [f.name for f in df.schema.fields if f.dataType.simpleString() == "string" and f.name not in skip]
+    if strings:
+        raise ValueError(f"encode string columns before training: {strings}")
+    return [c for c in df.columns if c not in skip]
+
+
 def event_features(events: DataFrame, order_by: list[str], lags: tuple[int, ...] = (1, 2, 3)) -> tuple[DataFrame, list[str]]:
     """Feature table for ``events``: calendar fields, one-hot event type,
     user, value lags, target ``value``. Carries ``pos`` (global time

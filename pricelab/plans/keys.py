@@ -46,14 +46,13 @@ def q_scan_prices(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_union_prices(spark: SparkSession, sf: str) -> DataFrame:
-    """Chunks = the files of a CSV write; each file is read as its own frame
-    (file count is bounded by the write's partition count) and unioned."""
+    """Chunks = separate CSV folders of the price table (one per order
+    status); their union is one multi-path (globbed) scan."""
     orders = fx.table(spark, sf, "orders")
-    path = scratch_path(spark, "orders_chunks")
-    orders.repartition(4).write.option("header", "true").csv(path)
-    files = [r["path"] for r in prices.list_files(spark, path, "*.csv").select("path").collect()]
-    chunks = [prices.scan_prices(spark, p, schema=ORDERS_CSV_SCHEMA) for p in sorted(files)]
-    return prices.union_prices(chunks)
+    base = scratch_path(spark, "orders_chunks")
+    chunk = F.coalesce(F.col("o_orderstatus"), F.lit("none"))
+    orders.withColumn("chunk", chunk).write.option("header", "true").partitionBy("chunk").csv(base)
+    return prices.scan_chunks(spark, [f"{base}/chunk=*"], schema=ORDERS_CSV_SCHEMA)
 
 
 def _orders_clean(spark: SparkSession, sf: str) -> DataFrame:

@@ -96,3 +96,10 @@ def latest_run(spark: SparkSession, base: str, glob: str = "*") -> str:
 def union_prices(frames: list[DataFrame]) -> DataFrame:
     """Union of chunks of one schema, matched by name."""
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+
+
+def scan_chunks(spark: SparkSession, paths: list[str], schema=None, fmt: str = "csv") -> DataFrame:
+    """Union of chunk files as ONE multi-path scan: the planner sees a single
+    file source (one plan node however many chunks), splits files natively,
+    and pushes filters and column pruning into every chunk."""
+    return scan_prices(spark, paths, schema=schema, fmt=fmt)

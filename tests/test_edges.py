@@ -40,7 +40,7 @@ def test_calendar_guard_skips_all_missing_series(spark):
 
 
 def test_clean_names_rule_and_collisions(spark):
-    assert clean_name(" Imbalance Price.GBP ") == "imbalance_price_gbp"
+    assert clean_name(" Spot Price.EUR ") == "spot_price_eur"
     df = spark.createDataFrame([(1, 2)], "`a b` int, `a.b` int")
     with pytest.raises(ValueError):
         clean_names(df)
@@ -84,10 +84,10 @@ def test_iqr_filter_inclusive_and_drops_missing(spark):
 def test_cleaning_run_order(spark):
     rows = [(" 2024-01-0%d 0%d:00:00" % (d, d), float(p) if p is not None else None, a)
             for d, p, a in [(1, 10, "buy"), (2, None, None), (3, 12, "buy"), (4, 11, "sell"), (5, 1000, "sell")]]
-    df = spark.createDataFrame(rows, "`Settlement Time` string, `Imbalance.Price` double, Action string")
+    df = spark.createDataFrame(rows, "`Settlement Time` string, `Spot.Price` double, Action string")
     out, roles = clean_prices(df)
-    assert roles["time_col"] == "settlement_time" and roles["price_col"] == "imbalance_price"
-    got = sorted((r.imbalance_price, r.action) for r in out.collect())
+    assert roles["time_col"] == "settlement_time" and roles["price_col"] == "spot_price"
+    got = sorted((r.spot_price, r.action) for r in out.collect())
     # median (11.5) fills before the outlier filter; mode fills the action
     assert got == [(10.0, "buy"), (11.0, "sell"), (11.5, "buy"), (12.0, "buy")]
     assert {"day_of_week", "month", "year", "hour_of_day", "is_weekend"} <= set(out.columns)
@@ -132,7 +132,7 @@ def test_feed_edge_cases(spark):
     assert len(last) == 1 and last[0].grid_demand_mw == 7.0 and last[0].load_ts is None
 
 
-GOLDEN = [  # first rows of the reference's sample predictions file
+GOLDEN = [  # golden rows: actual, tree and sequence predictions, stored errors
     (85.38846158716365, 91.0063600016441, 103.78931575808812, -5.61789841448045, -18.400854170924475),
     (86.30389933710141, 92.68333495615349, 84.59832199720856, -6.3794356190520745, 1.705577339892855),
     (94.02014155600594, 94.94291086444409, 104.29290926536372, -0.9227693084381485, -10.27276770935778),
@@ -188,3 +188,22 @@ def test_latest_run_and_csv_scan(spark):
     df = prices.scan_prices(spark, path)  # inferred types, cleaned names
     assert df.columns == ["row_id", "price_gbp", "time"]
     assert df.schema["price_gbp"].dataType.simpleString() == "double"
+
+
+def test_feature_projection_and_sinks(spark):
+    from pricelab.plans.forecast import feature_columns
+    from pricelab.sinks.writers import append_metrics, write_clean
+
+    df = spark.createDataFrame([(1, 2.0, 3.0, None, 2024, 1)],
+                               "k long, a double, price double, timestamp timestamp_ntz, year int, month int")
+    assert feature_columns(df, "price", exclude=["k"]) == ["a", "year", "month"]
+    with pytest.raises(ValueError):
+        feature_columns(df.withColumn("s", F.lit("x")), "price")
+    out = scratch_path(spark, "clean")
+    write_clean(df, out)
+    assert spark.read.parquet(out).count() == 1 and "year=2024" in str(spark.read.parquet(out).inputFiles())
+    m = scratch_path(spark, "metrics")
+    long = spark.createDataFrame([("Testing RMSE", "tree", 1.0)], "metric string, model string, value double")
+    append_metrics(long, m, "r1")
+    append_metrics(long, m, "r2")
+    assert sorted(r.run_id for r in spark.read.parquet(m).collect()) == ["r1", "r2"]
