@@ -35,10 +35,19 @@ def weekday_profile(df: DataFrame, price_col: str, dow_col: str = "day_of_week")
     return g.withColumn("day_name", day_name(F.col(dow_col)))
 
 
+def time_bucket(df: DataFrame, time_col: str, unit: str) -> Column:
+    """``date_trunc`` that keeps a ``timestamp_ntz`` input zone-free (Spark's
+    ``date_trunc`` returns a session-zone ``timestamp``)."""
+    b = F.date_trunc(unit, F.col(time_col))
+    if df.schema[time_col].dataType.simpleString() == "timestamp_ntz":
+        b = b.cast("timestamp_ntz")
+    return b
+
+
 def price_series(df: DataFrame, time_col: str, price_col: str, unit: str = "month") -> DataFrame:
     """Down-sampled series (C1, T1): per ``date_trunc(unit)`` bucket the count,
     mean, min and max, ordered by bucket."""
-    b = F.date_trunc(unit, F.col(time_col))
+    b = time_bucket(df, time_col, unit)
     return (df.where(F.col(time_col).isNotNull())
               .groupBy(b.alias("bucket_start"))
               .agg(F.count(price_col).alias("n"), F.avg(price_col).alias("avg_price"),
@@ -114,7 +123,7 @@ def kernel_density(df: DataFrame, value_col: str, group_col: str | None = None,
         (F.col("lo") + (F.col("b") + F.lit(0.5)) * F.col("bin_w")).alias("c"))
     gstart = F.col("lo") - F.lit(cut) * F.col("bw")
     gstep = (F.col("hi") - F.col("lo") + F.lit(2 * cut) * F.col("bw")) / F.lit(float(grid_size - 1))
-    pts = centres.select("*", F.explode(F.sequence(F.lit(0), F.lit(grid_size - 1))).alias("grid_i"))
+    pts = centres.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(grid_size - 1).cast("long"))).alias("grid_i"))
     gx = gstart + F.col("grid_i") * gstep
     z = (gx - F.col("c")) / F.col("bw")
     kern = F.col("w") * F.exp(F.lit(-0.5) * z * z)
@@ -134,7 +143,7 @@ def prediction_series(pred_long: DataFrame, time_col: str = "ts", unit: str = "m
         time_col, F.lit("actual").alias("series"), F.col("actual").alias("value"))
     preds = pred_long.select(time_col, F.col("model").alias("series"), F.col("predicted").alias("value"))
     both = actual.unionByName(preds)
-    return both.groupBy(F.date_trunc(unit, F.col(time_col)).alias("bucket_start"), "series") \
+    return both.groupBy(time_bucket(both, time_col, unit).alias("bucket_start"), "series") \
         .agg(F.avg("value").alias("avg_value"), F.count(F.lit(1)).alias("n"))
 
 

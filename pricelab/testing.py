@@ -35,6 +35,10 @@ def _key(row):
                  for x in row)
 
 
+_EXACT = {"int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR",
+          "timestamp_ntz": "TIMESTAMP", "date": "DATE", "boolean": "BOOLEAN"}
+
+
 def _kind(t: str) -> str:
     t = t.lower()
     if any(x in t for x in ("int", "long", "short", "byte")):
@@ -72,7 +76,7 @@ def compare(sdf, rel) -> list[str]:
     if sorted(s_cols) != sorted(d_cols):
         return [f"columns spark={s_cols} oracle={d_cols}"]
     sk, dk = dict(zip(s_cols, s_types)), dict(zip(d_cols, d_types))
-    bad = [(c, sk[c], dk[c]) for c in s_cols if _kind(sk[c]) != _kind(dk[c])]
+    bad = [(c, sk[c], dk[c]) for c in s_cols if _EXACT.get(sk[c], _kind(sk[c])) != dk[c]]
     if bad:
         problems.append(f"types {bad}")
     order = sorted(range(len(s_cols)), key=lambda i: s_cols[i])
