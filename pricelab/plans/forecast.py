@@ -36,7 +36,7 @@ VALIDATION_SHARE = 0.2
 
 @dataclass
 class Prepared:
-    frame: DataFrame                   # key, ts, split, split_pos, fold, target, scaled features
+    frame: DataFrame                   # key, ts, split, split_pos, fold, label, raw + scaled features
     feature_cols: list[str]
     target: str
     key: list[str]
@@ -84,16 +84,18 @@ def prepare(df: DataFrame, feature_cols: list[str], target: str, key: list[str],
     s = series.chronological_split(df, order_by, test_size=test_size)
     s = series.hash_split(s, key, train_share=1 - VALIDATION_SHARE, split_col="fold",
                           labels=("fit", "validation"))
-    scaler = stats.fit_standard_scaler(s.where(F.col("split") == "train"), feature_cols)
+    # both models scan the result many times: cut the lineage (positions,
+    # lag windows, imputation) once in the shared checkpoint folder, and fix
+    # the one-row scaler the same way so no later pass recomputes either
+    s = s.checkpoint(eager=True)
+    scaler = stats.fit_standard_scaler(s.where(F.col("split") == "train"), feature_cols).checkpoint(eager=True)
     x = stats.apply_standard_scaler(s, scaler, feature_cols, suffix="__z")
     z = [f"{c}__z" for c in feature_cols]
     x = x.withColumn("xarr", F.array(*[F.col(c) for c in z]))
+    x = x.withColumn("xraw", F.array(*[F.col(c).cast("double") for c in feature_cols]))
     x = x.withColumn("features", array_to_vector("xarr"))
     x = x.select(*key, "ts", "split", "split_pos", "fold", F.col(target).cast("double").alias("label"),
-                 "xarr", "features")
-    # both models scan this frame many times: cut the lineage (positions,
-    # lag windows, imputation, scaling) once, in the shared checkpoint folder
-    x = x.checkpoint(eager=True)
+                 "xraw", "xarr", "features")
     return Prepared(x, feature_cols, target, key, scaler)
 
 

@@ -62,33 +62,32 @@ def q_feature_importance(spark: SparkSession, sf: str) -> DataFrame:
     return fc.feature_importance(spark, prep, model, top=20)
 
 
-def _raw_feature_records(feats: DataFrame, cols: list[str]) -> tuple[DataFrame, list[str]]:
-    arr = F.array(*[F.col(c).cast("double") for c in cols])
-    spoiled = F.when(F.col("event_id") % SPOILED_WIDTH_MOD == 0, F.slice(arr, 1, len(cols) - 1)).otherwise(arr)
-    return feats.select("event_id", spoiled.alias("features_raw")), cols
+def _raw_feature_records(prep: fc.Prepared) -> DataFrame:
+    """Raw feature lists per event, read from the checkpointed prepared
+    frame; some lists lose their last value to exercise the width guard."""
+    arr = F.col("xraw")
+    n = len(prep.feature_cols)
+    spoiled = F.when(F.col("event_id") % SPOILED_WIDTH_MOD == 0, F.slice(arr, 1, n - 1)).otherwise(arr)
+    return prep.frame.select("event_id", spoiled.alias("features_raw"))
 
 
 def q_score_features(spark: SparkSession, sf: str) -> DataFrame:
-    feats = _features(spark, sf)
-    prep = _prepared(spark, sf, feats)
+    prep = _prepared(spark, sf)
     model = fc.train_gbt(prep, KEY_GBT_PARAMS)
-    records, cols = _raw_feature_records(*feats)
-    scored, bad = fc.score_features(records, model, prep.scaler, cols)
+    scored, bad = fc.score_features(_raw_feature_records(prep), model, prep.scaler, prep.feature_cols)
     return scored.select("event_id", F.lit("scored").alias("status"), F.round("prediction", 4).alias("prediction")) \
         .unionByName(bad.select("event_id", F.lit("rejected").alias("status"),
                                 F.lit(None).cast("double").alias("prediction")))
 
 
 def q_model_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
-    feats = _features(spark, sf)
-    prep = _prepared(spark, sf, feats)
+    prep = _prepared(spark, sf)
     gbt = fc.train_gbt(prep, KEY_GBT_PARAMS)
     seq, _ = fc.train_sequence(prep)
     path = scratch_path(spark, "models")
     fc.save_models(path, prep, gbt, seq)
     loaded, scaler, meta = fc.load_models(spark, path)
-    records, _ = _raw_feature_records(*feats)
-    scored, _ = fc.score_features(records, loaded, scaler, meta["feature_names"])
+    scored, _ = fc.score_features(_raw_feature_records(prep), loaded, scaler, meta["feature_names"])
     return scored.select("event_id", F.round("prediction", 4).alias("prediction"))
 
 
