@@ -49,10 +49,13 @@ def with_row_position(df: DataFrame, order_by: list, pos_col: str = "pos",
     counts = tagged.groupBy(part.alias("__p")).agg(F.count(F.lit(1)).alias("__n"))
     # one row per partition: a single-task window here is bounded by num_partitions
     w = Window.orderBy("__p")
+    # computed once (one row per partition) and fixed, so every later use of
+    # the positions reads this small table instead of recounting the data
     offsets = counts.select(
         "__p",
         F.coalesce(F.sum("__n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__off"),
-        F.sum("__n").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("__tot"))
+        F.sum("__n").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("__tot")
+    ).checkpoint(eager=True)
     joined = tagged.join(F.broadcast(offsets), part == F.col("__p"))
     out = joined.withColumn(pos_col, F.col("__off") + local)
     if total_col:
