@@ -23,7 +23,8 @@ KDE_PREBINS = 4096
 
 def group_means(df: DataFrame, key: str, value: str, out: str = "avg_price") -> DataFrame:
     """Mean of ``value`` per ``key`` (A6/A7); partial aggregation map-side."""
-    return df.groupBy(key).agg(F.avg(value).alias(out), F.count(value).alias("n"))
+    return df.groupBy(key).agg(F.avg(value).alias(out), F.count(value).alias("n"),
+                               F.sum(value).alias("total"))
 
 
 def monthly_profile(df: DataFrame, price_col: str, month_col: str = "month") -> DataFrame:
@@ -51,7 +52,8 @@ def price_series(df: DataFrame, time_col: str, price_col: str, unit: str = "mont
     return (df.where(F.col(time_col).isNotNull())
               .groupBy(b.alias("bucket_start"))
               .agg(F.count(price_col).alias("n"), F.avg(price_col).alias("avg_price"),
-                   F.min(price_col).alias("min_price"), F.max(price_col).alias("max_price"))
+                   F.min(price_col).alias("min_price"), F.max(price_col).alias("max_price"),
+                   F.sum(price_col).alias("total"))
               .orderBy("bucket_start"))
 
 
@@ -144,7 +146,7 @@ def prediction_series(pred_long: DataFrame, time_col: str = "ts", unit: str = "m
     preds = pred_long.select(time_col, F.col("model").alias("series"), F.col("predicted").alias("value"))
     both = actual.unionByName(preds)
     return both.groupBy(time_bucket(both, time_col, unit).alias("bucket_start"), "series") \
-        .agg(F.avg("value").alias("avg_value"), F.count(F.lit(1)).alias("n"))
+        .agg(F.avg("value").alias("avg_value"), F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
 
 
 def residual_bins(pred_long: DataFrame, bins: int = 50) -> DataFrame:

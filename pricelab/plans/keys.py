@@ -36,6 +36,14 @@ def _r(c, d: int = 6):
     return F.round(F.col(c) if isinstance(c, str) else c, d)
 
 
+def _mean2(total: str = "total", n: str = "n"):
+    """Mean of 2-decimal values as round(sum, 2) / n: the true sum is a
+    multiple of 0.01, so the rounding never sits on a tie and both engines
+    divide the same two numbers (rounding the mean itself can land on a tie
+    that float summation order then decides)."""
+    return F.round(F.col(total), 2) / F.col(n)
+
+
 # ------------------------------------------------------------------ sources
 
 def q_scan_prices(spark: SparkSession, sf: str) -> DataFrame:
@@ -126,17 +134,17 @@ def q_price_histogram(spark: SparkSession, sf: str) -> DataFrame:
 
 def q_monthly_profile(spark: SparkSession, sf: str) -> DataFrame:
     p = profiles.monthly_profile(_orders_clean(spark, sf), "o_totalprice")
-    return p.select("month", _r("avg_price", 2).alias("avg_price"), "n")
+    return p.select("month", _mean2().alias("avg_price"), "n")
 
 
 def q_weekday_profile(spark: SparkSession, sf: str) -> DataFrame:
     p = profiles.weekday_profile(_orders_clean(spark, sf), "o_totalprice")
-    return p.select("day_of_week", "day_name", _r("avg_price", 2).alias("avg_price"), "n")
+    return p.select("day_of_week", "day_name", _mean2().alias("avg_price"), "n")
 
 
 def q_price_series(spark: SparkSession, sf: str) -> DataFrame:
     s = profiles.price_series(_orders_clean(spark, sf), "o_orderdate", "o_totalprice", unit="month")
-    return s.select("bucket_start", "n", _r("avg_price", 2).alias("avg_price"),
+    return s.select("bucket_start", "n", _mean2().alias("avg_price"),
                     "min_price", "max_price")
 
 
@@ -231,7 +239,7 @@ def q_model_winner(spark: SparkSession, sf: str) -> DataFrame:
 
 def q_prediction_series(spark: SparkSession, sf: str) -> DataFrame:
     s = profiles.prediction_series(fx.lineitem_predictions(spark, sf), "ts", unit="month")
-    return s.select("bucket_start", "series", _r("avg_value", 4).alias("avg_value"), "n")
+    return s.select("bucket_start", "series", _mean2().alias("avg_value"), "n")
 
 
 def q_error_density(spark: SparkSession, sf: str) -> DataFrame:

@@ -86,7 +86,7 @@ LOAD_ROWS = """
 
 ORACLE_SQL: dict[str, str] = {
     "monthly_profile": f"""
-      SELECT CAST(month(o_orderdate) AS INTEGER) AS month, round(avg(o_totalprice), 2) AS avg_price,
+      SELECT CAST(month(o_orderdate) AS INTEGER) AS month, round(sum(o_totalprice), 2) / count(o_totalprice) AS avg_price,
              count(o_totalprice) AS n
       FROM ({ORDERS_CLEAN}) GROUP BY 1""",
     "scan_prices": "SELECT * FROM orders",
@@ -159,11 +159,11 @@ ORACLE_SQL: dict[str, str] = {
     "weekday_profile": f"""
       SELECT CAST(isodow(o_orderdate) - 1 AS INTEGER) AS day_of_week,
              ['Monday','Tuesday','Wednesday','Thursday','Friday','Saturday','Sunday'][isodow(o_orderdate)] AS day_name,
-             round(avg(o_totalprice), 2) AS avg_price, count(o_totalprice) AS n
+             round(sum(o_totalprice), 2) / count(o_totalprice) AS avg_price, count(o_totalprice) AS n
       FROM ({ORDERS_CLEAN}) GROUP BY 1, 2""",
     "price_series": f"""
       SELECT date_trunc('month', o_orderdate) AS bucket_start, count(o_totalprice) AS n,
-             round(avg(o_totalprice), 2) AS avg_price, min(o_totalprice) AS min_price, max(o_totalprice) AS max_price
+             round(sum(o_totalprice), 2) / count(o_totalprice) AS avg_price, min(o_totalprice) AS min_price, max(o_totalprice) AS max_price
       FROM ({ORDERS_CLEAN}) WHERE o_orderdate IS NOT NULL GROUP BY 1""",
     "row_position": "SELECT event_id, row_number() OVER (ORDER BY ts, event_id) - 1 AS pos FROM events",
     "chronological_split": f"SELECT event_id, pos, split FROM ({EVENTS_SPLIT})",
@@ -223,7 +223,7 @@ ORACLE_SQL: dict[str, str] = {
       WITH p AS ({PRED_LONG}),
       u AS (SELECT ts, 'actual' AS series, actual AS value FROM p WHERE model = 'tree'
             UNION ALL SELECT ts, model, predicted FROM p)
-      SELECT date_trunc('month', ts) AS bucket_start, series, round(avg(value), 4) AS avg_value, count(*) AS n
+      SELECT date_trunc('month', ts) AS bucket_start, series, round(sum(value), 2) / count(*) AS avg_value, count(*) AS n
       FROM u GROUP BY 1, 2""",
     "error_density": f"""
       WITH e AS (SELECT model, actual - predicted AS x FROM ({PRED_LONG})),
