@@ -291,9 +291,8 @@ def q_solar_total(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_weather_guard(spark: SparkSession, sf: str) -> DataFrame:
-    ok, bad = feeds.weather_guard(_weather(spark, sf))
-    return ok.select("doc_id", F.lit("accepted").alias("status"), _r("temperature").alias("temperature")) \
-        .unionByName(bad.select("doc_id", F.lit("rejected").alias("status"), F.col("temperature")))
+    tagged = feeds.weather_status(_weather(spark, sf))
+    return tagged.select("doc_id", "status", _r("temperature").alias("temperature"))
 
 
 def q_weather_record(spark: SparkSession, sf: str) -> DataFrame:

@@ -79,22 +79,40 @@ def weather_flatten(docs: DataFrame, json_col: str = "json", keep: list[str] | N
 
 
 def weather_guard(flat: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(accepted, rejected): a reading without temperature is rejected."""
+    """(accepted, rejected): a reading without temperature is rejected.
+    Two frames for two sinks (e.g. records and a reject table)."""
     ok = F.col("temperature").isNotNull()
     return flat.where(ok), flat.where(~ok)
 
 
+def weather_status(flat: DataFrame, col: str = "status") -> DataFrame:
+    """F4 in one pass: every reading tagged ``accepted`` / ``rejected``."""
+    return flat.withColumn(col, F.when(F.col("temperature").isNotNull(), F.lit("accepted"))
+                           .otherwise(F.lit("rejected")))
+
+
 # ---------------------------------------------------------------- S5, F2, F3, A8
 
 def generation_entries(docs: DataFrame, json_col: str = "json") -> DataFrame:
-    """One row per ``data`` entry; a document without entries keeps one row
-    with NULL business type (``inline_outer``)."""
-    g = docs.withColumn("__g", F.from_json(_c(json_col), GENERATION_SCHEMA))
-    base = g.select(
-        F.to_date("__g.settlement_date").alias("settlement_date"),
-        F.col("__g.settlement_period").alias("settlement_period"),
-        F.coalesce(F.col("__g.data"), F.array().cast(GENERATION_SCHEMA["data"].dataType)).alias("data"))
-    return base.select("settlement_date", "settlement_period", F.inline_outer("data"))
+    """One row per ``data`` entry: settlement_date, settlement_period,
+    businessType, quantity. A document without entries keeps one row with
+    NULL business type and quantity.
+
+    The day and period travel inside each generated entry, so a later filter
+    on them stays above the generator instead of being pushed under the
+    parse (which would parse every document a second time).
+    """
+    entry_t = GENERATION_SCHEMA["data"].dataType.elementType
+    g = docs.select(F.from_json(_c(json_col), GENERATION_SCHEMA).alias("__g"))
+    data = F.col("__g.data")
+    blank = F.array(F.struct(*[F.lit(None).cast(f.dataType).alias(f.name) for f in entry_t.fields]))
+    filled = F.when(F.size(F.coalesce(data, F.array())) > 0, data).otherwise(blank)
+    day = F.to_date(F.col("__g.settlement_date"))
+    period = F.col("__g.settlement_period")
+    entries = F.transform(filled, lambda e: F.struct(
+        day.alias("settlement_date"), period.alias("settlement_period"),
+        e.getField("businessType").alias("businessType"), e.getField("quantity").alias("quantity")))
+    return g.select(F.inline(entries))
 
 
 def solar_total(docs: DataFrame, json_col: str = "json", settlement_date=None,
