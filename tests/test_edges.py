@@ -207,3 +207,32 @@ def test_feature_projection_and_sinks(spark):
     append_metrics(long, m, "r1")
     append_metrics(long, m, "r2")
     assert sorted(r.run_id for r in spark.read.parquet(m).collect()) == ["r1", "r2"]
+
+
+def test_peek_strict_parse_and_approx(spark):
+    df = spark.createDataFrame([(i, float(i)) for i in range(100)], "k long, x double")
+    cols, rows = prices.peek(df, 5)
+    assert cols == ["k", "x"] and len(rows) == 5
+    bad = spark.createDataFrame([("2024-01-01 00:00:00",), ("nope",)], "t string")
+    with pytest.raises(Exception):
+        bad.select(cal.parse_time_strict(F.col("t"))).collect()
+    ok = bad.select(cal.parse_time(F.col("t")).alias("t")).collect()
+    assert ok[1].t is None
+    exact = stats.quantiles_by_column(df, ["x"], [0.5]).collect()[0].q0
+    approx = stats.quantiles_by_column(df, ["x"], [0.5], method="approx").collect()[0].q0
+    assert exact == 49.5 and abs(approx - 49.5) <= 1.0
+
+
+def test_latest_file_and_text_stream(spark):
+    from pricelab.streaming import streams
+
+    base = scratch_path(spark, "files")
+    spark.createDataFrame([(1,)], "a int").write.json(f"{base}/one")
+    spark.createDataFrame([(2,)], "a int").write.json(f"{base}/two")
+    p = prices.latest_file(spark, f"{base}/two", "*.json")
+    assert p.endswith(".json") and "/two/" in p
+    lines = streams.read_json_lines(spark, f"{base}/one")
+    q = (lines.writeStream.format("memory").queryName("t_lines").trigger(availableNow=True)
+         .option("checkpointLocation", f"{base}/ck").start())
+    q.awaitTermination()
+    assert [r.json for r in spark.sql("SELECT json FROM t_lines").collect()] == ['{"a":1}']
