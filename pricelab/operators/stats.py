@@ -12,8 +12,6 @@ boundaries, whose count is a fixed parameter.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -296,7 +294,3 @@ def apply_standard_scaler(df: DataFrame, scaler: DataFrame, columns: list[str],
     out = {f"{c}{suffix}": (F.col(f"`{c}`").cast("double") - F.col(f"{c}__mean")) / F.col(f"{c}__std")
            for c in columns}
     return joined.withColumns(out).drop(*[f"{c}__{s}" for c in columns for s in ("mean", "std")])
-
-
-def union_all(frames: list[DataFrame]) -> DataFrame:
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)

@@ -65,7 +65,10 @@ def weather_flatten(docs: DataFrame, json_col: str = "json", keep: list[str] | N
     humidity, precipitation (``rain.1h``, absent -> 0) and the cloud-based
     solar estimate in kW."""
     w = F.from_json(_c(json_col), WEATHER_SCHEMA)
-    parsed = docs.withColumn("__w", w)
+    # the parsed document leaves through a one-row generator: a later filter
+    # on its fields (the F4 guard) then stays above it instead of being pushed
+    # under the parse and tokenising every document a second time
+    parsed = docs.select(*(keep or []), F.explode_outer(F.array(w)).alias("__w"))
     cloud = F.col("__w.clouds.all")
     return parsed.select(
         *(keep or []),
