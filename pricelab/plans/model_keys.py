@@ -107,18 +107,19 @@ def q_latest_file_scan(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_stream_weather(spark: SparkSession, sf: str) -> DataFrame:
-    """Landed weather documents -> flatten, guard, join the day's solar
-    total (stream-static) -> checkpointed parquet sink; rejected readings to
-    a side sink."""
+    """Landed generation documents keep a per-day solar table current
+    (stateful stream); landed weather documents are flattened, guarded and
+    joined with that table per micro-batch; records and rejects land in
+    replay-safe per-epoch folders."""
     root = scratch_path(spark, "weather_stream")
+    fx.generation_docs(spark, sf).select("json").write.text(f"{root}/gen_in")
     streams.land_json(fx.weather_docs(spark, sf), f"{root}/in")
-    solar = feeds.solar_total(fx.generation_docs(spark, sf))
-    records, rejected = streams.weather_stream(spark, f"{root}/in", solar)
-    q1 = streams.start_to_parquet(records, f"{root}/out", f"{root}/ckpt_out")
-    q2 = streams.start_to_parquet(rejected, f"{root}/rejected", f"{root}/ckpt_rej")
+    q1 = streams.solar_totals_stream(spark, f"{root}/gen_in", f"{root}/solar", f"{root}/ckpt_solar")
     q1.awaitTermination()
+    q2 = streams.weather_records_stream(spark, f"{root}/in", f"{root}/solar", f"{root}/out",
+                                        f"{root}/rejected", f"{root}/ckpt_weather")
     q2.awaitTermination()
-    return spark.read.parquet(f"{root}/out")
+    return spark.read.parquet(f"{root}/out").drop("epoch")
 
 
 def q_stream_prices(spark: SparkSession, sf: str) -> DataFrame:

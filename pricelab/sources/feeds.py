@@ -134,13 +134,21 @@ def solar_total(docs: DataFrame, json_col: str = "json", settlement_date=None,
     cond = F.col("settlement_period").between(period_from, period_to)
     if settlement_date is not None:
         cond = cond & (F.col("settlement_date") == F.to_date(F.lit(str(settlement_date))))
-    e = e.where(cond)
+    sums = e.where(cond).groupBy("settlement_date").agg(solar_micro_sum().alias("solar_micro"))
+    return sums.select("settlement_date", solar_from_micro("solar_micro").alias("solar_generation"))
+
+
+def solar_micro_sum() -> Column:
+    """Aggregate: exact sum of solar quantities in micro-units (0 if none)."""
     micro = F.round(F.col("quantity") * F.lit(MICRO)).cast("long")
     solar_q = F.when(F.col("businessType") == F.lit(SOLAR_BUSINESS_TYPE), micro)
-    total = F.coalesce(F.sum(solar_q), F.lit(0).cast("long"))
-    sums = e.groupBy("settlement_date").agg(total.alias("__micro"))
-    # integral division truncates toward zero, like int() on the float total
-    return sums.select("settlement_date", F.expr(f"__micro div {MICRO}").alias("solar_generation"))
+    return F.coalesce(F.sum(solar_q), F.lit(0).cast("long"))
+
+
+def solar_from_micro(micro_col: str) -> Column:
+    """Micro-unit total to the integer total; SQL ``div`` truncates toward
+    zero, like int() on the float total."""
+    return F.expr(f"`{micro_col}` div {MICRO}")
 
 
 # ---------------------------------------------------------------- S6

@@ -1,11 +1,20 @@
 """Structured Streaming forms of the ingest loop.
 
 The reference polls two web services every 15 minutes and builds one weather
-record per cycle. Here the feeds are landed files read with ``readStream``;
-each micro-batch is parsed, joined with the day's solar totals (stream-static
-join, the static side is re-read every batch) and appended to a parquet sink
-with a checkpoint, so a lost executor or a restarted driver resumes from the
-last committed batch. Tests use ``trigger(availableNow=True)``.
+record per cycle. Here the feeds are landed files read with ``readStream``:
+
+* generation documents feed a stateful per-day aggregation (update mode)
+  whose changed days overwrite their partition of a small solar-totals table
+  (idempotent, so a replayed batch rewrites the same days);
+* weather documents are parsed per micro-batch and joined with that table,
+  read fresh inside ``foreachBatch`` (a growing day's total is always
+  current, and the join side stays one row per day instead of re-aggregating
+  the whole generation feed); each batch writes its own ``epoch=`` folder with
+  overwrite, so a replay after a failure does not duplicate rows.
+
+A simpler stream-static variant (``weather_stream``) joins any batch frame.
+Every query keeps a checkpoint, so a lost executor or a restarted driver
+resumes from the last committed batch. Tests use ``trigger(availableNow=True)``.
 """
 
 from __future__ import annotations
@@ -76,6 +85,60 @@ def weather_stream(spark: SparkSession, weather_path: str, solar_by_day: DataFra
     return records, bad
 
 
+def solar_totals_stream(spark: SparkSession, generation_path: str, table_path: str, checkpoint: str,
+                        available_now: bool = True, interval: str = WINDOW,
+                        period_from: int = feeds.SETTLEMENT_PERIOD_FROM,
+                        period_to: int = feeds.SETTLEMENT_PERIOD_TO):
+    """Maintain per-day solar totals (A8 over a stream) in ``table_path``,
+    partitioned by ``settlement_date``. Landed files hold one generation
+    document (JSON) per line."""
+    raw = read_json_lines(spark, generation_path)
+    e = feeds.generation_entries(raw, "json").where(F.col("settlement_period").between(period_from, period_to))
+    running = e.groupBy("settlement_date").agg(feeds.solar_micro_sum().alias("solar_micro"))
+
+    def write(batch: DataFrame, _epoch: int) -> None:
+        out = batch.select("settlement_date", feeds.solar_from_micro("solar_micro").alias("solar_generation"))
+        (out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+            .partitionBy("settlement_date").parquet(table_path))
+
+    w = running.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint)
+    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=interval)
+    return w.start()
+
+
+def read_solar_table(spark: SparkSession, table_path: str) -> DataFrame:
+    """The per-day totals as (settlement_date, solar_generation); empty when
+    nothing has been written yet."""
+    from pricelab.session import path_exists
+
+    if not path_exists(spark, table_path):
+        return spark.createDataFrame([], "settlement_date date, solar_generation long")
+    return spark.read.parquet(table_path).select(F.col("settlement_date").cast("date"), "solar_generation")
+
+
+def weather_records_stream(spark: SparkSession, weather_path: str, solar_table: str, out_path: str,
+                           rejected_path: str, checkpoint: str, available_now: bool = True,
+                           interval: str = WINDOW, observed_col: str = "observed_at"):
+    """R1 with a maintained solar table: per micro-batch, flatten and guard
+    the readings, join the freshly read per-day totals, write records and
+    rejects to ``{path}/epoch={id}`` (overwrite: replay-safe)."""
+    schema = T.StructType([T.StructField("doc_id", T.LongType()),
+                           T.StructField(observed_col, T.TimestampNTZType()),
+                           T.StructField("json", T.StringType())])
+    raw = spark.readStream.schema(schema).option("timestampNTZFormat", TS_FORMAT).json(weather_path)
+    flat = feeds.weather_flatten(raw, keep=["doc_id", observed_col])
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        ok, bad = feeds.weather_guard(batch)
+        rec = feeds.weather_record(ok, read_solar_table(spark, solar_table), time_col=observed_col)
+        rec.write.mode("overwrite").parquet(f"{out_path}/epoch={epoch}")
+        bad.write.mode("overwrite").parquet(f"{rejected_path}/epoch={epoch}")
+
+    w = flat.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=interval)
+    return w.start()
+
+
 def start_to_parquet(stream: DataFrame, path: str, checkpoint: str, available_now: bool = True,
                      interval: str = WINDOW, mode: str = "append"):
     """Start a checkpointed parquet sink; ``available_now`` drains what has

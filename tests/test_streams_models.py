@@ -26,6 +26,34 @@ def test_weather_stream_equals_batch(spark):
     assert got.exceptAll(want.select(*got.columns)).count() == 0
 
 
+def test_maintained_solar_table_and_replay_safe_records(spark):
+    root = scratch_path(spark, "t_weather2")
+    gen = fx.generation_docs(spark, SF_SMALL)
+    # two landings: the second adds documents to days already in the table
+    gen.where("doc_id % 2 = 0").select("json").write.text(f"{root}/gen/a")
+    q = streams.solar_totals_stream(spark, f"{root}/gen/*", f"{root}/solar", f"{root}/ck_s")
+    q.awaitTermination()
+    gen.where("doc_id % 2 = 1").select("json").write.text(f"{root}/gen/b")
+    q = streams.solar_totals_stream(spark, f"{root}/gen/*", f"{root}/solar", f"{root}/ck_s")
+    q.awaitTermination()
+    table = streams.read_solar_table(spark, f"{root}/solar")
+    want_solar = feeds.solar_total(gen)
+    assert table.exceptAll(want_solar.select(*table.columns)).count() == 0
+    assert table.count() == want_solar.count()
+
+    streams.land_json(fx.weather_docs(spark, SF_SMALL), f"{root}/in")
+    q = streams.weather_records_stream(spark, f"{root}/in", f"{root}/solar", f"{root}/out",
+                                       f"{root}/rej", f"{root}/ck_w")
+    q.awaitTermination()
+    got = spark.read.parquet(f"{root}/out").drop("epoch")
+    ok, bad = feeds.weather_guard(feeds.weather_flatten(fx.weather_docs(spark, SF_SMALL),
+                                                        keep=["doc_id", "observed_at"]))
+    want = feeds.weather_record(ok, want_solar, time_col="observed_at")
+    assert got.count() == want.count()
+    assert got.exceptAll(want.select(*got.columns)).count() == 0
+    assert spark.read.parquet(f"{root}/rej").count() == bad.count()
+
+
 def test_tumbling_stream_equals_batch(spark):
     root = scratch_path(spark, "t_ticks")
     ticks = fx.price_ticks(spark, SF_SMALL)
