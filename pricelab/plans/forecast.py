@@ -181,6 +181,33 @@ def load_models(spark: SparkSession, path: str) -> tuple[GBTRegressionModel, Dat
     return gbt, scaler, meta
 
 
+def load_sequence_model(spark: SparkSession, path: str) -> LinearRegressionModel | None:
+    from pricelab.session import path_exists
+
+    p = f"{path}/sequence"
+    return LinearRegressionModel.load(p) if path_exists(spark, p) else None
+
+
+def score_sequence(records: DataFrame, model: LinearRegressionModel, scaler: DataFrame,
+                   feature_cols: list[str], pos_col: str, length: int = SEQUENCE_LENGTH,
+                   array_col: str = "features_raw", partition_cols: list[str] | None = None) -> DataFrame:
+    """M6 for the sequence model: each scored row needs the ``length``
+    preceding rows, so raw lists are scaled, windowed over ``pos_col``
+    (block-halo windows, no single-task sort) and flattened like at training.
+    Rows with a wrong list width or fewer than ``length`` predecessors are
+    not scored."""
+    n = len(feature_cols)
+    ok = records.where(F.size(array_col) == n)
+    cols = {c: F.get(F.col(array_col), i) for i, c in enumerate(feature_cols)}
+    x = stats.apply_standard_scaler(ok.withColumns(cols), scaler, feature_cols, suffix="__z")
+    x = x.withColumn("__xz", F.array(*[F.col(f"{c}__z") for c in feature_cols])) \
+        .drop(*feature_cols, *[f"{c}__z" for c in feature_cols])
+    w = series.sequence_windows(x, [], "", length=length, pos_col=pos_col, partition_cols=partition_cols,
+                                out_col="__seq", feature_array_col="__xz")
+    w = w.withColumn("seq_features", array_to_vector(F.flatten("__seq"))).drop("__seq", "__xz")
+    return model.transform(w).drop("seq_features")
+
+
 def score_features(records: DataFrame, model: GBTRegressionModel, scaler: DataFrame, feature_cols: list[str],
                    array_col: str = "features_raw") -> tuple[DataFrame, DataFrame]:
     """Score raw feature lists. Rows whose list length differs from

@@ -62,13 +62,15 @@ def q_feature_importance(spark: SparkSession, sf: str) -> DataFrame:
     return fc.feature_importance(spark, prep, model, top=20)
 
 
-def _raw_feature_records(prep: fc.Prepared) -> DataFrame:
+def _raw_feature_records(prep: fc.Prepared, spoil: bool = True) -> DataFrame:
     """Raw feature lists per event, read from the checkpointed prepared
-    frame; some lists lose their last value to exercise the width guard."""
+    frame; with ``spoil`` some lists lose their last value to exercise the
+    width guard."""
     arr = F.col("xraw")
     n = len(prep.feature_cols)
-    spoiled = F.when(F.col("event_id") % SPOILED_WIDTH_MOD == 0, F.slice(arr, 1, n - 1)).otherwise(arr)
-    return prep.frame.select("event_id", spoiled.alias("features_raw"))
+    if spoil:
+        arr = F.when(F.col("event_id") % SPOILED_WIDTH_MOD == 0, F.slice(arr, 1, n - 1)).otherwise(arr)
+    return prep.frame.select("event_id", "split", "split_pos", arr.alias("features_raw"))
 
 
 def q_score_features(spark: SparkSession, sf: str) -> DataFrame:
@@ -87,8 +89,14 @@ def q_model_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     path = scratch_path(spark, "models")
     fc.save_models(path, prep, gbt, seq)
     loaded, scaler, meta = fc.load_models(spark, path)
-    scored, _ = fc.score_features(_raw_feature_records(prep), loaded, scaler, meta["feature_names"])
-    return scored.select("event_id", F.round("prediction", 4).alias("prediction"))
+    loaded_seq = fc.load_sequence_model(spark, path)
+    tree, _ = fc.score_features(_raw_feature_records(prep), loaded, scaler, meta["feature_names"])
+    seq_scored = fc.score_sequence(_raw_feature_records(prep, spoil=False), loaded_seq, scaler,
+                                   meta["feature_names"], "split_pos", meta["sequence_length"],
+                                   partition_cols=["split"])
+    return tree.select("event_id", F.lit("tree").alias("model"), F.round("prediction", 4).alias("prediction")) \
+        .unionByName(seq_scored.select("event_id", F.lit("sequence").alias("model"),
+                                       F.round("prediction", 4).alias("prediction")))
 
 
 def q_forecast_run(spark: SparkSession, sf: str) -> DataFrame:

@@ -97,10 +97,21 @@ def test_gbt_curve_importance_and_roundtrip(spark, prepared):
     assert both.where(F.abs(F.col("prediction") - F.col("predicted")) > 1e-9).count() == 0
 
 
-def test_sequence_model_rows(spark, prepared):
-    prep, _, _ = prepared
+def test_sequence_model_rows_and_reloaded_scoring(spark, prepared):
+    prep, _, cols = prepared
     model, seqs = fc.train_sequence(prep)
     n = fx.table(spark, SF_SMALL, "events").count()
     n_train = int(n * 0.8)
     assert seqs.count() == (n_train - 24) + (n - n_train - 24)
     assert model.numFeatures == 24 * len(prep.feature_cols)
+
+    path = scratch_path(spark, "t_seq_models")
+    fc.save_models(path, prep, fc.train_gbt(prep, {"maxIter": 2}), model)
+    loaded = fc.load_sequence_model(spark, path)
+    _, scaler, meta = fc.load_models(spark, path)
+    rec = prep.frame.select("event_id", "split", "split_pos", F.col("xraw").alias("features_raw"))
+    scored = fc.score_sequence(rec, loaded, scaler, meta["feature_names"], "split_pos", partition_cols=["split"])
+    direct = fc.sequence_predictions(prep, model, seqs)
+    both = scored.join(direct.select("event_id", "predicted"), "event_id")
+    assert both.count() == direct.count() == scored.count()
+    assert both.where(F.abs(F.col("prediction") - F.col("predicted")) > 1e-6).count() == 0
