@@ -97,3 +97,18 @@ def test_hash_split_share(spark):
     df = spark.range(10000).withColumnRenamed("id", "k")
     n_train = series.hash_split(df, ["k"]).where("split = 'train'").count()
     assert 7700 < n_train < 8300
+
+
+def test_binned_density_close_to_exact_kde(spark):
+    from pricelab.operators.profiles import kernel_density
+
+    rng = np.random.default_rng(7)
+    xs = np.concatenate([rng.normal(0, 1, 3000), rng.normal(5, 0.5, 1000)])
+    df = spark.createDataFrame([(float(v),) for v in xs], "x double")
+    got = kernel_density(df, "x").orderBy("grid_i").toPandas()
+    n, sd = xs.size, xs.std(ddof=1)
+    bw = sd * n ** -0.2
+    exact = np.exp(-0.5 * ((got.x.to_numpy()[:, None] - xs[None, :]) / bw) ** 2).sum(1) / (n * bw * np.sqrt(2 * np.pi))
+    assert len(got) == 200
+    assert np.max(np.abs(got.density.to_numpy() - exact)) < 1e-3 * exact.max()
+    assert abs(np.trapezoid(got.density.to_numpy(), got.x.to_numpy()) - 1) < 1e-2
