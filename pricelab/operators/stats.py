@@ -12,6 +12,8 @@ boundaries, whose count is a fixed parameter.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -66,20 +68,25 @@ def quantiles_by_column(df: DataFrame, columns: list[str], probs: list[float],
                         accuracy: int = 10000) -> DataFrame:
     """Linear-interpolated quantiles (pandas ``quantile`` / SQL ``quantile_cont``).
 
-    Returns one row per column: ``name, n, q0, q1, ...`` (q_i for probs[i]).
-
-    ``method="exact"`` never builds a value->count map in one task. It
-    1. counts distinct values per column (map-side combined shuffle; a hot
-       value is one row, so skew cannot pile up),
-    2. cuts each column's distinct values into ``buckets`` ranges at
-       approximate quantiles (a bounded sketch; the boundaries only balance the
-       work, the answer does not depend on them),
-    3. takes running counts inside each range and adds the range offsets from a
-       (columns x buckets)-row table,
-    4. picks the values at the two ranks around each target with one
-       aggregation.
+    Returns one row per column with at least one value: ``name, n, q0, q1,
+    ...`` (q_i for probs[i]).
+
+    ``method="exact"`` never builds a value->count map in one task and never
+    sorts the whole column:
+
+    1. distinct values are counted per column (map-side combined shuffle: a
+       hot value is one row, so skew cannot pile up) and checkpointed once;
+    2. each column's distinct values are cut into ``buckets`` ranges at
+       approximate quantiles (a bounded sketch -- it only balances the work,
+       the answer does not depend on it);
+    3. the per-range totals (columns x buckets numbers) locate, for every
+       target rank, its range and its rank inside the range;
+    4. only those ranges (about 2 per quantile) are sorted, with a window, to
+       read the values at the two ranks around each target.
+
     ``method="approx"`` uses ``percentile_approx`` for very large inputs.
     """
+    spark = df.sparkSession
     long = _long_numeric(df, columns)
     if method == "approx":
         aggs = [F.count(F.lit(1)).alias("n")] + [
@@ -88,53 +95,58 @@ def quantiles_by_column(df: DataFrame, columns: list[str], probs: list[float],
     if method != "exact":
         raise ValueError(f"unknown quantile method {method!r}")
 
-    # distinct values with counts, materialised once in the shared checkpoint
-    # folder: the boundary sketch, the running counts and the offsets all
-    # read it instead of repeating the shuffle
-    ensure_checkpoint_dir(df.sparkSession)
+    ensure_checkpoint_dir(spark)
     vc = long.groupBy("name", "v").agg(F.count(F.lit(1)).alias("cnt")).checkpoint(eager=True)
+    bucket = F.lit(0)
     if buckets > 1:
         fracs = [i / buckets for i in range(1, buckets)]
         bounds_rows = (vc.groupBy("name")
                        .agg(F.percentile_approx("v", fracs, accuracy).alias("b"))
                        .collect())  # columns x buckets doubles: bounded by parameters
-        bound_map = {r["name"]: [float(x) for x in r["b"]] for r in bounds_rows}
+        bound_map = {r["name"]: sorted(set(float(x) for x in r["b"])) for r in bounds_rows}
         if bound_map:
             m = F.create_map(*[x for name, b in bound_map.items()
                                for x in (F.lit(name), F.array(*[F.lit(v) for v in b]))])
             bucket = F.size(F.filter(F.element_at(m, F.col("name")), lambda b: b < F.col("v")))
-        else:
-            bucket = F.lit(0)
-    else:
-        bucket = F.lit(0)
     vc = vc.withColumn("bk", bucket.cast("int"))
-    within = Window.partitionBy("name", "bk").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    vc = vc.withColumn("cum_in", F.sum("cnt").over(within))
-
-    totals = vc.groupBy("name", "bk").agg(F.sum("cnt").alias("bt"))
-    across = Window.partitionBy("name").orderBy("bk")
-    offsets = (totals
-               .withColumn("off", F.coalesce(F.sum("bt").over(across.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-               .withColumn("n", F.sum("bt").over(Window.partitionBy("name")))
-               .select("name", "bk", "off", "n"))
-    ranked = (vc.join(F.broadcast(offsets), ["name", "bk"])
-              .select("name", "v", "n",
-                      (F.col("off") + F.col("cum_in") - F.col("cnt")).alias("lo_rank"),
-                      (F.col("off") + F.col("cum_in")).alias("hi_rank")))
-
-    aggs = [F.max("n").alias("n")]
-    for i, p in enumerate(probs):
-        h = (F.col("n") - 1).cast("double") * F.lit(float(p))
-        r_lo, r_hi = F.floor(h), F.ceil(h)
-        aggs.append(F.max(F.when((F.col("lo_rank") <= r_lo) & (r_lo < F.col("hi_rank")), F.col("v"))).alias(f"lo{i}"))
-        aggs.append(F.max(F.when((F.col("lo_rank") <= r_hi) & (r_hi < F.col("hi_rank")), F.col("v"))).alias(f"hi{i}"))
-    picked = ranked.groupBy("name").agg(*aggs)
-    outs = [F.col("name"), F.col("n")]
-    for i, p in enumerate(probs):
-        h = (F.col("n") - 1).cast("double") * F.lit(float(p))
-        frac = h - F.floor(h)
-        outs.append((F.col(f"lo{i}") + (F.col(f"hi{i}") - F.col(f"lo{i}")) * frac).alias(f"q{i}"))
-    return picked.select(*outs)
+    totals = vc.groupBy("name", "bk").agg(F.sum("cnt").alias("bt")).collect()  # bounded as above
+
+    per_name: dict[str, list[tuple[int, int]]] = {}
+    for r in totals:
+        per_name.setdefault(r["name"], []).append((r["bk"], r["bt"]))
+    targets, meta = [], []
+    for name, parts in per_name.items():
+        parts.sort()
+        n = sum(bt for _, bt in parts)
+        starts, acc = [], 0
+        for bk, bt in parts:
+            starts.append((bk, acc, bt))
+            acc += bt
+        fr = []
+        for i, p in enumerate(probs):
+            h = (n - 1) * float(p)
+            fr.append(h - math.floor(h))
+            for slot, rank in ((f"lo{i}", math.floor(h)), (f"hi{i}", math.ceil(h))):
+                bk, off, _ = next(x for x in starts if x[1] <= rank < x[1] + x[2])
+                targets.append((name, bk, rank - off, slot))
+        meta.append((name, n, fr))
+    if not meta:
+        return spark.createDataFrame([], "name string, n long, " + ", ".join(f"q{i} double" for i in range(len(probs))))
+
+    tdf = spark.createDataFrame(targets, "name string, bk int, local long, slot string")
+    need = tdf.select("name", "bk").distinct()
+    sel = vc.join(F.broadcast(need), ["name", "bk"])  # targets: a few rows per column
+    w = Window.partitionBy("name", "bk").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    sel = sel.withColumn("hi_r", F.sum("cnt").over(w)).withColumn("lo_r", F.col("hi_r") - F.col("cnt"))
+    hit = sel.join(F.broadcast(tdf), ["name", "bk"]).where(
+        (F.col("lo_r") <= F.col("local")) & (F.col("local") < F.col("hi_r")))
+    picked = hit.groupBy("name").agg(*[F.max(F.when(F.col("slot") == s_, F.col("v"))).alias(s_)
+                                       for i in range(len(probs)) for s_ in (f"lo{i}", f"hi{i}")])
+    mdf = spark.createDataFrame([(name, n, fr) for name, n, fr in meta], "name string, n long, fr array<double>")
+    out = picked.join(F.broadcast(mdf), "name")
+    return out.select("name", "n", *[
+        (F.col(f"lo{i}") + (F.col(f"hi{i}") - F.col(f"lo{i}")) * F.get(F.col("fr"), i)).alias(f"q{i}")
+        for i in range(len(probs))])
 
 
 def one_row(per_column: DataFrame, columns: list[str], fields: dict[str, str]) -> DataFrame:
