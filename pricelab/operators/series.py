@@ -117,11 +117,12 @@ def hash_split(df: DataFrame, key_cols: list[str], train_share: float = 0.8,
 
 def block_rows_for(df: DataFrame, halo: int) -> int:
     """Rows per block: enough blocks to feed every shuffle partition twice,
-    at least 4x the halo (so copies stay a small share), at most 2^20 rows
-    (so one window partition always sorts comfortably). One count job."""
+    at least 32x the halo (so halo copies stay within about 3% of the rows),
+    at most 2^20 rows (so one window partition always sorts comfortably).
+    One count job."""
     n = df.count()
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return int(min(MAX_BLOCK_ROWS, max(4 * max(halo, 1), -(-n // (2 * parts)))))
+    return int(min(MAX_BLOCK_ROWS, max(32 * max(halo, 1), -(-n // (2 * parts)))))
 
 
 def _with_halo(df: DataFrame, pos_col: str, halo: int, block_rows: int | None) -> DataFrame:
