@@ -236,3 +236,13 @@ def test_latest_file_and_text_stream(spark):
          .option("checkpointLocation", f"{base}/ck").start())
     q.awaitTermination()
     assert [r.json for r in spark.sql("SELECT json FROM t_lines").collect()] == ['{"a":1}']
+
+
+def test_one_hot_high_cardinality_vector(spark):
+    df = spark.range(300).select(F.col("id"), F.format_string("c%03d", F.col("id") % 260).alias("cat"),
+                                 F.lit("x").alias("small"))
+    out, vocab = encode.one_hot(df, ["cat", "small"], high_cardinality="vector")
+    assert vocab["cat"] is None and vocab["small"] == ["x"]
+    assert "cat" not in out.columns and "cat_vec" in out.columns and "small_x" in out.columns
+    row = out.where("id = 5").collect()[0]
+    assert row.cat_vec.size == 261 and row.cat_vec[5] == 1.0  # 260 values + one slot for unseen
