@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pricelab.functions.names import numeric_columns, string_columns
-from pricelab.session import ensure_checkpoint_dir
+from pricelab.session import ensure_checkpoint_dir, small_frame
 
 DEFAULT_QUANTILE_BUCKETS = 64
 
@@ -131,9 +131,9 @@ def quantiles_by_column(df: DataFrame, columns: list[str], probs: list[float],
                 targets.append((name, bk, rank - off, slot))
         meta.append((name, n, fr))
     if not meta:
-        return spark.createDataFrame([], "name string, n long, " + ", ".join(f"q{i} double" for i in range(len(probs))))
+        return small_frame(spark, [], "name string, n long, " + ", ".join(f"q{i} double" for i in range(len(probs))))
 
-    tdf = spark.createDataFrame(targets, "name string, bk int, local long, slot string")
+    tdf = small_frame(spark, targets, "name string, bk int, local long, slot string")
     need = tdf.select("name", "bk").distinct()
     sel = vc.join(F.broadcast(need), ["name", "bk"])  # targets: a few rows per column
     w = Window.partitionBy("name", "bk").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
@@ -142,7 +142,7 @@ def quantiles_by_column(df: DataFrame, columns: list[str], probs: list[float],
         (F.col("lo_r") <= F.col("local")) & (F.col("local") < F.col("hi_r")))
     picked = hit.groupBy("name").agg(*[F.max(F.when(F.col("slot") == s_, F.col("v"))).alias(s_)
                                        for i in range(len(probs)) for s_ in (f"lo{i}", f"hi{i}")])
-    mdf = spark.createDataFrame([(name, n, fr) for name, n, fr in meta], "name string, n long, fr array<double>")
+    mdf = small_frame(spark, [(name, n, fr) for name, n, fr in meta], "name string, n long, fr array<double>")
     out = picked.join(F.broadcast(mdf), "name")
     return out.select("name", "n", *[
         (F.col(f"lo{i}") + (F.col(f"hi{i}") - F.col(f"lo{i}")) * F.get(F.col("fr"), i)).alias(f"q{i}")

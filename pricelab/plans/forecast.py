@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from pricelab.functions.calendar import add_calendar_features
 from pricelab.operators import encode, series, stats
+from pricelab.session import small_frame
 
 # Boosted-tree settings of the reference run (100 trees, rate
 # 0.05, depth 6, min child 1, row and column sampling 0.8, seed 42), the
@@ -127,7 +128,7 @@ def feature_importance(spark: SparkSession, prep: Prepared, model: GBTRegression
     top ``top`` (the vector is one value per feature: bounded)."""
     imp = model.featureImportances.toArray().tolist()
     rows = list(zip(prep.feature_cols, [float(v) for v in imp]))
-    df = spark.createDataFrame(rows, "feature string, importance double")
+    df = small_frame(spark, rows, "feature string, importance double")
     total = df.agg(F.sum("importance").alias("t"))
     return (df.crossJoin(F.broadcast(total))
               .select("feature", "importance",
@@ -170,7 +171,7 @@ def save_models(path: str, prep: Prepared, gbt: GBTRegressionModel, seq: LinearR
     meta = {"feature_names": prep.feature_cols, "sequence_length": length, "target_column": prep.target,
             "training_date": datetime.now(timezone.utc).strftime("%Y-%m-%d %H:%M:%S")}
     spark = prep.frame.sparkSession
-    spark.createDataFrame([(json.dumps(meta),)], "meta string").write.mode("overwrite").json(f"{path}/metadata")
+    small_frame(spark, [(json.dumps(meta),)], "meta string").write.mode("overwrite").json(f"{path}/metadata")
 
 
 def load_models(spark: SparkSession, path: str) -> tuple[GBTRegressionModel, DataFrame, dict]:

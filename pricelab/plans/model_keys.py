@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pricelab.operators import metrics
 from pricelab.plans import fixtures as fx
 from pricelab.plans import forecast as fc
-from pricelab.session import scratch_path
+from pricelab.session import scratch_path, small_frame
 from pricelab.sinks.writers import write_run
 from pricelab.sources import feeds, prices
 from pricelab.streaming import streams
@@ -53,7 +53,7 @@ def q_sequence_forecast(spark: SparkSession, sf: str) -> DataFrame:
 def q_training_curve(spark: SparkSession, sf: str) -> DataFrame:
     prep = _prepared(spark, sf)
     model = fc.train_gbt(prep, KEY_GBT_PARAMS)
-    return spark.createDataFrame(fc.training_curve(prep, model), "iteration int, validation_mse double")
+    return small_frame(spark, fc.training_curve(prep, model), "iteration int, validation_mse double")
 
 
 def q_feature_importance(spark: SparkSession, sf: str) -> DataFrame:

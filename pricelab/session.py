@@ -72,3 +72,18 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
+def small_frame(spark: SparkSession, rows: list[tuple], schema: str):
+    """A DataFrame from a short list of tuples, built from literals in the
+    JVM (``createDataFrame`` on a list goes through a Python RDD and starts
+    Python workers for every partition). For bounded metadata only: the rows
+    become part of the query plan."""
+    from pyspark.sql import functions as F
+    from pyspark.sql.types import StructType
+
+    st = StructType.fromDDL(schema)
+    if not rows:
+        return spark.range(0).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in st.fields])
+    structs = [F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(r, st.fields)]) for r in rows]
+    return spark.range(1).select(F.inline(F.array(*structs)))

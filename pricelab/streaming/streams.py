@@ -112,7 +112,9 @@ def read_solar_table(spark: SparkSession, table_path: str) -> DataFrame:
     from pricelab.session import path_exists
 
     if not path_exists(spark, table_path):
-        return spark.createDataFrame([], "settlement_date date, solar_generation long")
+        from pricelab.session import small_frame
+
+        return small_frame(spark, [], "settlement_date date, solar_generation long")
     return spark.read.parquet(table_path).select(F.col("settlement_date").cast("date"), "solar_generation")
 
 
