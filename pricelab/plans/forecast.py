@@ -95,8 +95,9 @@ def prepare(df: DataFrame, feature_cols: list[str], target: str, key: list[str],
     x = x.withColumn("xarr", F.array(*[F.col(c) for c in z]))
     x = x.withColumn("xraw", F.array(*[F.col(c).cast("double") for c in feature_cols]))
     x = x.withColumn("features", array_to_vector("xarr"))
-    x = x.select(*key, "ts", "split", "split_pos", "fold", F.col(target).cast("double").alias("label"),
-                 "xraw", "xarr", "features")
+    time_col = order_by[0]  # the series time; carried as ``ts``
+    x = x.select(*key, F.col(time_col).alias("ts"), "split", "split_pos", "fold",
+                 F.col(target).cast("double").alias("label"), "xraw", "xarr", "features")
     return Prepared(x, feature_cols, target, key, scaler)
 
 

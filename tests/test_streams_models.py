@@ -115,3 +115,21 @@ def test_sequence_model_rows_and_reloaded_scoring(spark, prepared):
     both = scored.join(direct.select("event_id", "predicted"), "event_id")
     assert both.count() == direct.count() == scored.count()
     assert both.where(F.abs(F.col("prediction") - F.col("predicted")) > 1e-6).count() == 0
+
+
+def test_readme_flow_on_orders(spark):
+    from pricelab.operators import encode, metrics
+    from pricelab.plans.cleaning import clean_prices
+
+    orders = fx.table(spark, SF_SMALL, "orders")
+    clean, roles = clean_prices(orders, impute_exclude=["o_orderkey", "o_custkey"])
+    assert roles["time_col"] == "o_orderdate" and roles["price_col"] == "o_totalprice"
+    clean, vocab = encode.one_hot(clean, roles["categorical"])
+    feats = fc.feature_columns(clean, roles["price_col"], exclude=["o_orderkey"])
+    assert "o_totalprice" not in feats and "o_orderdate" not in feats and "month" in feats
+    prep = fc.prepare(clean, feats, roles["price_col"], ["o_orderkey"], ["o_orderdate", "o_orderkey"])
+    tree = fc.train_gbt(prep, {"maxIter": 2})
+    seq, windows = fc.train_sequence(prep)
+    preds = fc.gbt_predictions(prep, tree).unionByName(fc.sequence_predictions(prep, seq, windows))
+    table = metrics.metric_table(metrics.regression_metrics(preds), ["tree", "sequence"]).collect()
+    assert len(table) == 6 and all(r.tree is not None and r.sequence is not None for r in table)
