@@ -45,7 +45,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder.
 
     The cluster names it in ``spark.checkpoint.dir``; we only create our own
-    (local, for tests) when the session has none.
+    (a local temporary folder, for tests and local runs) when the session has
+    none and runs in local mode -- on a cluster a missing setting is an error.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -55,6 +56,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if configured:
         sc.setCheckpointDir(configured)
         return sc.getCheckpointDir() or configured
+    if not sc.master.startswith("local"):
+        # a machine-local folder is not reachable by other executors
+        raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
     local = tempfile.mkdtemp(prefix="pricelab-ckpt-")
     sc.setCheckpointDir(local)
     return sc.getCheckpointDir() or local
