@@ -9,13 +9,21 @@ rows themselves are only scanned, projected and filtered.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from pricelab.functions.calendar import add_calendar_features, parse_times
 from pricelab.functions.names import clean_names, detect_roles
 from pricelab.operators.stats import impute_median, impute_mode, iqr_filter
 
 
+def _missing(df: DataFrame, c: str) -> Column:
+    col = F.col(f"`{c}`")
+    if df.schema[c].dataType.typeName() in ("double", "float"):
+        return col.isNull() | F.isnan(col)
+    return col.isNull()
+
+
 def clean_prices(df: DataFrame, time_col: str | None = None, price_col: str | None = None,
                  impute_exclude: list[str] | None = None, remove_outliers: bool = True,
                  quantile_method: str = "exact") -> tuple[DataFrame, dict]:
@@ -25,11 +33,17 @@ def clean_prices(df: DataFrame, time_col: str | None = None, price_col: str | No
     roles = detect_roles(x, time_col=time_col, price_col=price_col)
     skip = set(impute_exclude or [])
     num = [c for c in roles.numeric if c not in skip]
-    x = impute_median(x, num, method=quantile_method)
     cats = [c for c in roles.categorical if c not in skip]
-    x = impute_mode(x, cats)
+    # one profiling pass (the reference tests each column separately): which
+    # columns have gaps, and whether the time column has any value at all
+    probe = [F.max(_missing(x, c).cast("int")).alias(c) for c in num + cats]
     if roles.time_col:
-        x = add_calendar_features(x, roles.time_col)
+        probe.append(F.max(F.col(roles.time_col).isNotNull().cast("int")).alias("__has_time"))
+    flags = x.agg(*probe).collect()[0] if probe else {}
+    x = impute_median(x, [c for c in num if flags[c]], method=quantile_method, only_missing=False)
+    x = impute_mode(x, [c for c in cats if flags[c]], only_missing=False)
+    if roles.time_col and flags["__has_time"]:
+        x = add_calendar_features(x, roles.time_col, guard=False)
     if remove_outliers and roles.price_col:
         x = iqr_filter(x, roles.price_col, method=quantile_method)
     return x, {"time_col": roles.time_col, "price_col": roles.price_col,
