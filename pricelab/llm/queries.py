@@ -3,21 +3,89 @@ parameters, to its whole table. ``ORACLES`` holds DuckDB SQL where SQL can expre
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from pricelab.llm import (
+    context_mixing,
+    hash_forest,
+    langid,
+    license_scan,
+    mixing,
+    near_dedup,
+    order_minhash,
+    perspectives,
+    sentencepiece_codec,
+    url_filter,
+)
 
-from pricelab.llm import near_dedup
+#: The public SentencePiece model that op4 and the pipeline encode with; read on the driver, never copied.
+SENTENCEPIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context_mixing.score_documents(_table(spark, sf_dir, "documents"), training="crc32(cast(doc_id as string)) % 7 <> 2")
+
+
+def op2_budget_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_table(_table(spark, sf_dir, "documents"), weights=(3, 1, 2), budget=1.5, max_epochs=2)
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
+    known = docs.filter("crc32(cast(doc_id as string)) % 3 <> 1")
+    model = langid.fit(known)
+    return langid.identify(docs.select("doc_id", held_out.alias("held_out"), "text"), model).drop("text")
+
+
+def op4_sentencepiece(spark: SparkSession, sf_dir: str, model: str = SENTENCEPIECE_MODEL) -> DataFrame:
+    return sentencepiece_codec.encode(_table(spark, sf_dir, "documents"), Path(model).read_bytes(), keep=["doc_id"])
+
+
+def op5_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return perspectives.rotate(_table(spark, sf_dir, "conversations"))
+
+
+def op6_hash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hash_forest.nearest(_table(spark, sf_dir, "embeddings"), queries=F.col("vec_id") % 50 == 0, k=5)
+
+
+def op7_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_minhash.fingerprints(_table(spark, sf_dir, "documents"))
+
+
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(_table(spark, sf_dir, "documents"))
+
+
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"), similarity=0.8, shingle_words=4)
 
 
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(_table(spark, sf_dir, "pages"), url_filter.RULES)
+
+
 QUERIES = {
+    "op1_context_mixing": op1_context_mixing,
+    "op2_budget_mix": op2_budget_mix,
+    "op3_language_id": op3_language_id,
+    "op4_sentencepiece": op4_sentencepiece,
+    "op5_perspectives": op5_perspectives,
+    "op6_hash_forest": op6_hash_forest,
+    "op7_order_minhash": op7_order_minhash,
+    "op8_license_scan": op8_license_scan,
     "op9_near_dedup": op9_near_dedup,
+    "op10_url_filter": op10_url_filter,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op5_perspectives": perspectives.ORACLE,
+}
