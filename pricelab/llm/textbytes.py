@@ -61,7 +61,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
-def _powers(root: int, n: int) -> np.ndarray:
+def powers(root: int, n: int) -> np.ndarray:
     out = np.full(n + 1, root, dtype=U64)
     out[0] = 1
     return np.multiply.accumulate(out)
@@ -90,8 +90,8 @@ def words(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     end = np.flatnonzero(after & ~space) + 1
     sums = np.empty(len(buf) + 1, U64)
     sums[0] = 0
-    np.cumsum((buf.astype(U64) + U64(1)) * _powers(_ROOT, len(buf))[:-1], out=sums[1:])
-    h = (sums[end] - sums[begin]) * _powers(_ROOT_INV, len(buf))[begin]
+    np.cumsum((buf.astype(U64) + U64(1)) * powers(_ROOT, len(buf))[:-1], out=sums[1:])
+    h = (sums[end] - sums[begin]) * powers(_ROOT_INV, len(buf))[begin]
     h = mix(h + (end - begin).astype(U64) * U64(0xD6E8FEB86659FD93))
     per_doc = np.searchsorted(begin, offsets, side="left")
     return h, np.diff(per_doc)
