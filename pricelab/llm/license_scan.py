@@ -117,11 +117,11 @@ def _base(own: Column) -> Column:
     for phrase, label in PHRASES.items():
         parts = phrase.split()
 
-        def start(w: Column, i: Column, parts=parts, label=label) -> Column:
-            hit = w == parts[0]
-            for k, part in enumerate(parts[1:], 1):
+        def start(w: Column, i: Column) -> Column:
+            hit = w == parts[0]  # noqa: B023 - used before the next phrase
+            for k, part in enumerate(parts[1:], 1):  # noqa: B023
                 hit = hit & (F.get(own, i + k) == part)
-            return F.when(hit, F.struct(i.alias("start"), F.lit(label).alias("label")))
+            return F.when(hit, F.struct(i.alias("start"), F.lit(label).alias("label")))  # noqa: B023
 
         found = F.filter(F.transform(own, start), lambda x: x.isNotNull())
         places.append(F.when(F.array_contains(own, parts[0]) & F.array_contains(own, parts[-1]), found))
