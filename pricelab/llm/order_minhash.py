@@ -36,57 +36,54 @@ RANGE_ROWS = 4096
 RANGES = 16384
 
 
-def elements(text: Column) -> Column:
-    """Array of the ``ELEMENTS`` signature hashes of a text (empty for a text without tokens)."""
-    tokens = F.regexp_extract_all(text, F.lit(r"([^\x20\x09-\x0D]{1,%d})" % TOKEN), F.lit(1))
-
-    def kmers(t: Column) -> Column:
-        mine = lambda w, i: F.xxhash64(w, *[F.coalesce(F.get(t, i + k), F.lit("")) for k in range(1, KMER)])
-        return F.slice(F.transform(t, mine), F.lit(1), F.greatest(F.size(t) - (KMER - 1), F.least(F.size(t), F.lit(1))))
-
-    def numbered(hashes: Column) -> Column:
-        """Hash of each (k-mer, occurrence) with its place in the text: array of (hash, place)."""
-        placed = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-        return _let(placed, lambda s: _let(
-            # where a run of equal k-mers begins, and one past the end
-            F.concat(F.filter(F.transform(s, lambda x, i: F.when((i == 0) | (x["h"] != F.get(s, i - 1)["h"]), i)),
-                              lambda b: b.isNotNull()), F.array(F.size(s))),
-            lambda begin: _let(
-                F.flatten(F.transform(F.slice(begin, F.lit(1), F.size(begin) - 1),
-                                      lambda b, r: F.sequence(F.lit(0), F.get(begin, r + 1) - b - 1))),
-                lambda nth: F.transform(s, lambda x, i: F.struct(
-                    F.xxhash64(x["h"], F.get(nth, i)).bitwiseAND((1 << 62) - 1).alias("h"), x["i"].alias("i"))))))
-
-    def signature(ring: Column) -> Column:
-        """From the (hash, place) pairs in hash order."""
-        n = F.size(ring)
-
-        def picked(start: Column) -> Column:
-            taken = F.transform(F.sequence(F.lit(0), F.least(F.lit(PICK), n) - 1), lambda k: F.get(ring, F.pmod(start + k, n)))
-            in_order = F.sort_array(F.transform(taken, lambda x: F.struct(x["i"].alias("i"), x["h"].alias("h"))))
-            return F.xxhash64(F.transform(in_order, lambda x: x["h"]))
-
-        return F.transform(_starts(ring), picked)
-
-    return F.when(F.size(tokens) > 0, _let(tokens, lambda t: _let(
-        F.sort_array(numbered(kmers(t))), signature))).otherwise(F.array().cast("array<bigint>"))
-
-
-def _let(value: Column, body) -> Column:
-    """``body(value)`` with the value computed once: a lambda over a one-element array."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
-def _starts(ring: Column) -> Column:
-    """For each element, how many hashes of the sorted ring are below its start: place i opens the elements
-    whose starts lie above hash i - 1 and not above hash i."""
-    reached = lambda x: F.shiftright(x["h"], 62 - ELEMENTS.bit_length() + 1) + 1  # noqa: E731 - starts not above x
-
-    def opened(x: Column, i: Column) -> Column:
-        before = F.when(i == 0, F.lit(0).cast("long")).otherwise(reached(F.get(ring, i - 1)))
-        return F.array_repeat(i, (reached(x) - before).cast("int"))
-
-    return F.slice(F.concat(F.flatten(F.transform(ring, opened)), F.array_repeat(F.size(ring), F.lit(ELEMENTS))), 1, ELEMENTS)
+def with_elements(df: DataFrame, text: str, out: str) -> DataFrame:
+    """``df`` with the array ``out`` of the ``ELEMENTS`` signature hashes of a text (empty for one without tokens).
+
+    A k-mer and its place are one number: the hash's high bits above as many bits as places need, so plain
+    number sorts do. Every step is a column of its own, which keeps it compiled; a column that a function reads
+    for each element is used more than once, so the optimiser never moves its definition into that function."""
+    t, n = F.col("__t"), F.size("__t")
+    # bits that hold every place of this text, one more than the last one's
+    df = df.withColumn("__t", F.regexp_extract_all(F.col(text), F.lit(r"[^\x20\x09-\x0D]{1,%d}" % TOKEN), F.lit(0)))
+    df = df.withColumn("__bits", F.length(F.bin(n))).withColumn("__kmers", F.greatest(n - (KMER - 1), F.least(n, F.lit(1))))
+    bits, kmers = F.col("__bits"), F.col("__kmers")
+
+    def placed(h: Column, i: Column) -> Column:
+        high = F.call_function("shiftright", h.bitwiseAND((1 << 62) - 1), bits)
+        return F.call_function("shiftleft", high, bits) + i
+
+    def kmer(w: Column, i: Column) -> Column:
+        return placed(F.xxhash64(w, *[F.coalesce(F.get(t, i + k), F.lit("")) for k in range(1, KMER)]), i)
+
+    df = df.withColumn("__s", F.sort_array(F.slice(F.transform(t, kmer), F.lit(1), kmers)))
+    s = F.col("__s")
+    key = lambda x: F.call_function("shiftright", x, bits)
+    every = F.when(kmers > 0, F.sequence(F.lit(0), kmers - 1)).otherwise(F.array().cast("array<int>"))
+    # where each run of equal k-mers begins, and one past the end; then the occurrence numbers along the runs
+    df = df.withColumn("__b", F.concat(F.filter(every, lambda i: (i == 0) | (key(F.get(s, i)) != key(F.get(s, i - 1)))), F.array(kmers)))
+    begin = F.col("__b")
+    df = df.withColumn("__nth", F.flatten(F.transform(F.slice(begin, F.lit(1), F.size(begin) - 1),
+                                                      lambda b, r: F.sequence(F.lit(0), F.get(begin, r + 1) - b - 1))))
+    place = lambda x: x - F.call_function("shiftleft", key(x), bits)
+    df = df.withColumn("__ring", F.sort_array(F.zip_with(s, "__nth", lambda x, k: placed(F.xxhash64(key(x), k), place(x)))))
+    ring = F.col("__ring")
+    # the number of element starts at or below a hash; it changes where the ring passes a start
+    reached = lambda i: F.shiftright(F.get(ring, i), 62 - ELEMENTS.bit_length() + 1).cast("int") + 1
+    df = df.withColumn("__c", F.filter(every, lambda i: (i == 0) | (reached(i) != reached(i - 1))))
+    crossing = F.col("__c")
+    opened = F.flatten(F.transform(crossing, lambda i, r: F.array_repeat(
+        i, reached(i) - F.when(r == 0, F.lit(0)).otherwise(reached(F.get(crossing, r - 1))))))
+    df = df.withColumn("__o", F.slice(F.concat(opened, F.array_repeat(kmers, F.lit(ELEMENTS))), 1, ELEMENTS))
+
+    def picked(start: Column) -> Column:
+        """The hash of the minimal k-mers of an element, in text order."""
+        taken = F.transform(F.sequence(F.lit(0), F.least(F.lit(PICK), kmers) - 1), lambda k: F.get(ring, F.pmod(start + k, kmers)))
+        in_order = F.sort_array(F.transform(taken, lambda x: F.struct(place(x).alias("place"), key(x).alias("h"))))
+        return F.xxhash64(F.transform(in_order, lambda x: x["h"]))
+
+    none = F.array().cast("array<bigint>")
+    df = df.withColumn(out, F.when(kmers > 0, F.transform("__o", picked)).otherwise(none))
+    return df.drop("__t", "__bits", "__kmers", "__s", "__b", "__nth", "__ring", "__c", "__o")
 
 
 def fingerprint(parts: Column) -> Column:
@@ -109,7 +106,7 @@ def _ranges(docs: DataFrame) -> DataFrame:
     splits = [float("-inf"), *sorted({float(c) for c in cuts}), float("inf")]
     cut = Bucketizer(splits=splits, inputCol="__id", outputCol="__range", handleInvalid="keep")
     return (cut.transform(docs.withColumn("__id", F.col("doc_id").cast("double")))
-            .withColumn("range", F.col("__range").cast("int")).drop("__id", "__range"))
+            .withColumn("range", F.coalesce(F.col("__range").cast("int"), F.lit(len(splits)))).drop("__id", "__range"))
 
 
 def with_next(docs: DataFrame) -> DataFrame:
@@ -125,7 +122,7 @@ def with_next(docs: DataFrame) -> DataFrame:
     copies = (placed.join(follows, (F.col("range") == F.col("own")) & F.col("doc_id").eqNullSafe(F.col("first_id")))
               .withColumn("range", F.col("to")).drop("own", "first_id", "to").withColumn("copy", F.lit(1)))
     both = placed.withColumn("copy", F.lit(0)).unionByName(copies)
-    both = both.withColumn("parts", elements(F.col("text")))  # once a row, before the shuffle
+    both = with_elements(both, "text", "parts")  # once a row, before the shuffle
     by = Window.partitionBy("range").orderBy("copy", F.col("doc_id").asc_nulls_last(), "text")
     return both.withColumn("next", F.lead(F.struct("text", "parts")).over(by)).filter("copy = 0").drop("copy", "range")
 
@@ -141,7 +138,7 @@ def fingerprints(documents: DataFrame) -> DataFrame:
     cut = F.floor(n / 4).cast("int")
     edited = F.concat(F.substr("text", F.lit(1), n - cut), F.substr(F.col("next.text"), F.lit(1), cut))
     rows = rows.withColumn("n_chars", n.cast("long")).withColumn("edited", edited)
-    rows = rows.withColumn("edited_parts", elements(F.col("edited")))
+    rows = with_elements(rows, "edited", "edited_parts")
     return rows.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
                        fingerprint(F.col("parts")).alias("fingerprint"),
                        fingerprint(F.col("edited_parts")).alias("edited_fingerprint"),
