@@ -97,13 +97,13 @@ def test_near_duplicates_of_odd_rows(spark, odd):
 
 def test_large_region_of_near_copies(spark, monkeypatch):
     """One family of near copies, cut into small regions: still one component, with few pairs tried."""
-    monkeypatch.setattr(near_dedup, "REGION", 16)
+    monkeypatch.setattr(near_dedup, "REGION", 64)
     rng = np.random.default_rng(5)
     base = [f"w{x}" for x in rng.integers(0, 5000, 200)]
     rows = []
     for i in range(300):
         own = list(base)
-        for at in rng.integers(0, 200, 3):
+        for at in rng.integers(0, 200, 2):
             own[at] = f"z{rng.integers(0, 10_000)}"
         rows.append((i, " ".join(own)))
     rows += [(1000 + i, " ".join(f"w{x}" for x in rng.integers(0, 5000, 150))) for i in range(100)]
@@ -197,27 +197,29 @@ def test_edited_texts_equal_brute_force(spark, odd, monkeypatch, range_rows):
 
 def _parts(spark, texts):
     table = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
-    return [r.p for r in table.select("i", order_minhash.elements(F.col("t")).alias("p")).orderBy("i").collect()]
+    return [r.p for r in order_minhash.with_elements(table, "t", "p").orderBy("i").collect()]
 
 
 def test_elements_equal_a_plain_order_minhash(spark):
     """The selection by a plain implementation from the same numbered k-mer hashes."""
     texts = ["a b a b a b c", "one", "one two", "x y z x y z w " * 9, "lorem ipsum dolor sit amet " * 3 + "q"]
     got = _parts(spark, texts)
-    top, n = (1 << 62) - 1, order_minhash.ELEMENTS
+    n = order_minhash.ELEMENTS
     for text, parts in zip(texts, got):
         tokens = text.split()
         kmers = [tuple(tokens[i: i + 2]) for i in range(max(1, len(tokens) - 1))]
-        seen, numbered = Counter(), []
-        for k in kmers:
-            numbered.append((*(k + ("",))[:2], seen[k]))
-            seen[k] += 1
-        table = spark.createDataFrame([(i, *x) for i, x in enumerate(numbered)], "i int, a string, b string, nth int")
-        hashes = table.select("i", F.xxhash64(F.xxhash64("a", "b"), "nth").bitwiseAND(top).alias("h")).collect()
+        bits = len(tokens).bit_length()
+        top = ((1 << 62) - 1) >> bits
+        table = spark.createDataFrame([(i, *(k + ("",))[:2]) for i, k in enumerate(kmers)], "i int, a string, b string")
+        keys = [r.h for r in table.selectExpr("i", f"shiftright(xxhash64(a, b) & {(1 << 62) - 1}, {bits}) as h").orderBy("i").collect()]
+        nth = [keys[:i].count(k) for i, k in enumerate(keys)]
+        table = spark.createDataFrame([(i, k, x) for i, (k, x) in enumerate(zip(keys, nth))], "i int, k long, nth int")
+        hashes = table.selectExpr("i", f"shiftright(xxhash64(k, nth) & {(1 << 62) - 1}, {bits}) as h").collect()
+        assert all(0 <= r.h <= top for r in hashes)
         want = []
         for j in range(n):
-            start = j * ((1 << 62) // n)
-            picked = sorted(hashes, key=lambda r: ((r.h - start) % (1 << 62), r.i))[: order_minhash.PICK]
+            start = (j * ((1 << 62) // n)) >> bits
+            picked = sorted(hashes, key=lambda r: ((r.h - start) % (1 << (62 - bits)), r.i))[: order_minhash.PICK]
             want.append([r.h for r in sorted(picked, key=lambda r: r.i)])
         asked = spark.createDataFrame([(j, w) for j, w in enumerate(want)], "j int, w array<long>")
         assert [r.x for r in asked.select("j", F.xxhash64("w").alias("x")).orderBy("j").collect()] == list(parts)
