@@ -103,7 +103,7 @@ def _ranges(docs: DataFrame) -> DataFrame:
     n = max(1, min(RANGES, -(-docs.count() // RANGE_ROWS)))
     steps = [i / n for i in range(1, n)] or [0.5]
     cuts = docs.agg(F.percentile_approx("doc_id", steps, 4 * max(n, 100))).first()[0] or []
-    splits = [float("-inf"), *sorted({float(c) for c in cuts}), float("inf")]
+    splits = [float("-inf"), *(sorted({float(c) for c in cuts}) or [0.0]), float("inf")]
     cut = Bucketizer(splits=splits, inputCol="__id", outputCol="__range", handleInvalid="keep")
     return (cut.transform(docs.withColumn("__id", F.col("doc_id").cast("double")))
             .withColumn("range", F.coalesce(F.col("__range").cast("int"), F.lit(len(splits)))).drop("__id", "__range"))
