@@ -12,6 +12,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
@@ -114,10 +115,11 @@ def test_mixing_is_a_probability_and_learns_online():
     assert np.allclose(both, [a, b], rtol=1e-5)
 
 
-def test_model_beats_the_base_and_knows_language(spark):
-    out = QUERIES["op1_context_mixing"](spark, SF_CHECK).filter("held_out and n_tokens > 20")
-    bits, better = out.selectExpr("avg(bits_per_byte)", "avg(cast(score > base_score as int))").first()
-    assert bits < 3.0 and better > 0.95
+def test_held_out_texts_are_compressed(spark):
+    """Well under the entropy of single bytes (about 4.1 bits in these texts), and under that of trained texts by little."""
+    out = QUERIES["op1_context_mixing"](spark, SF_CHECK).filter("n_tokens > 20")
+    bits = {r.held_out: r.b for r in out.groupBy("held_out").agg(F.avg("bits_per_byte").alias("b")).collect()}
+    assert bits[True] < 2.6 and bits[False] < bits[True] < bits[False] + 0.6
 
 
 # --- op2 -------------------------------------------------------------------------------------------
