@@ -13,8 +13,9 @@ def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def parse_time(c, fmt: str | None = None) -> Column:
-    """Lenient parse: a value that does not parse becomes NULL.
+def parse_time(c, fmt: str | list[str] | None = None) -> Column:
+    """Lenient parse: a value that does not parse becomes NULL. Several formats
+    are tried in turn, after ISO.
 
     Returns ``timestamp_ntz`` so results do not depend on the session zone.
     Timestamp inputs pass through unchanged.
@@ -22,6 +23,8 @@ def parse_time(c, fmt: str | None = None) -> Column:
     col = _c(c)
     if fmt is None:
         return col.cast("string").try_cast("timestamp_ntz")
+    if not isinstance(fmt, str):
+        return F.coalesce(parse_time(col), *[parse_time(col, f) for f in fmt])
     return F.try_to_timestamp(col.cast("string"), F.lit(fmt)).cast("timestamp_ntz")
 
 
@@ -33,7 +36,15 @@ def parse_time_strict(c, fmt: str | None = None) -> Column:
     return F.to_timestamp(col, fmt).cast("timestamp_ntz")
 
 
-def parse_times(df: DataFrame, columns: list[str] | None = None, fmt: str | None = None) -> DataFrame:
+def unparsed_times(df: DataFrame, columns: list[str], fmt: str | list[str] | None = None) -> Column | None:
+    """How many of a row's text times hold a value that does not parse (None
+    without text times)."""
+    texts = [f.name for f in df.schema.fields if f.name in columns and f.dataType.simpleString() == "string"]
+    bad = [(F.col(f"`{c}`").isNotNull() & parse_time(F.col(f"`{c}`"), fmt).isNull()).cast("long") for c in texts]
+    return sum(bad[1:], bad[0]) if bad else None
+
+
+def parse_times(df: DataFrame, columns: list[str] | None = None, fmt: str | list[str] | None = None) -> DataFrame:
     """Parse every time-role column that is stored as text.
 
     Numeric and already-temporal columns are left alone.

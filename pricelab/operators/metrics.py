@@ -96,31 +96,21 @@ def model_winner(metrics: DataFrame, models: tuple[str, str]) -> DataFrame:
 def aligned_predictions(actuals: DataFrame, predictions: dict[str, DataFrame], key: list[str]) -> DataFrame:
     """Actuals with each model's prediction aligned on the row key.
 
-    ``predictions[name]`` holds key + ``predicted`` (at most one row per key).
-    A model without a prediction for a row (e.g. the first sequence rows)
-    gives NULL there; the reference paired rows by position instead, which
-    shifted one model. Same answer as left joins on the key, but computed as
-    ONE shuffle: all inputs are unioned and grouped by key (each join would
-    shuffle both of its sides). Keys absent from ``actuals`` are dropped.
+    ``predictions[name]`` holds key + ``predicted`` (the largest counts where a
+    key has several). Every row of ``actuals`` is kept, equal keys included; a
+    model without a prediction for a row (e.g. the first sequence rows, or a
+    NULL in the key) gives NULL there. The reference paired rows by position
+    instead, which shifted one model. All predictions are grouped by key in
+    one shuffle, and that partitioning serves the left join with the actuals.
     """
-    extra = [c for c in actuals.columns if c not in key]
-    types = {f.name: f.dataType for f in actuals.schema.fields}
-    src = "__src"
-    tagged = [actuals.select(*key, F.lit(0).alias(src), *extra,
-                             *[F.lit(None).cast("double").alias(f"{n}_predicted") for n in predictions])]
-    for i, (name, p) in enumerate(predictions.items(), start=1):
-        tagged.append(p.select(*key, F.lit(i).alias(src),
-                               *[F.lit(None).cast(types[c]).alias(c) for c in extra],
-                               *[(F.col("predicted").cast("double") if n == name else F.lit(None).cast("double"))
-                                 .alias(f"{n}_predicted") for n in predictions]))
+    tagged = [p.select(*key, *[(F.col("predicted").cast("double") if n == name else F.lit(None).cast("double"))
+                               .alias(f"{n}_predicted") for n in predictions])
+              for name, p in predictions.items()]
     u = tagged[0]
     for t in tagged[1:]:
         u = u.unionByName(t)
-    # one aggregate per column keeps fixed-width buffers (hash aggregation)
-    aggs = [F.max((F.col(src) == 0).cast("int")).alias("__has_actual")]
-    aggs += [F.max(F.when(F.col(src) == 0, F.col(c))).alias(c) for c in extra]
-    aggs += [F.max(f"{n}_predicted").alias(f"{n}_predicted") for n in predictions]
-    g = u.groupBy(*key).agg(*aggs).where(F.col("__has_actual") == 1).drop("__has_actual")
+    by_key = u.groupBy(*key).agg(*[F.max(f"{n}_predicted").alias(f"{n}_predicted") for n in predictions])
+    g = actuals.join(by_key, key, "left")
     return g.withColumns({f"{n}_error": F.col("actual") - F.col(f"{n}_predicted") for n in predictions})
 
 

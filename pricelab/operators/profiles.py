@@ -138,10 +138,12 @@ def kernel_density(df: DataFrame, value_col: str, group_col: str | None = None,
 
 # ---------------------------------------------------------------- C4, C6
 
-def prediction_series(pred_long: DataFrame, time_col: str = "ts", unit: str = "month") -> DataFrame:
+def prediction_series(pred_long: DataFrame, time_col: str = "ts", unit: str = "month",
+                      actual_from: str = "tree") -> DataFrame:
     """Actual and each model's prediction as (bucket_start, series, avg_value,
-    n) -- the long form behind an actual-vs-predicted chart (C4)."""
-    actual = pred_long.where(F.col("model") == "tree").select(
+    n) -- the long form behind an actual-vs-predicted chart (C4). The actuals
+    are those of the rows of one model, ``actual_from``."""
+    actual = pred_long.where(F.col("model") == actual_from).select(
         time_col, F.lit("actual").alias("series"), F.col("actual").alias("value"))
     preds = pred_long.select(time_col, F.col("model").alias("series"), F.col("predicted").alias("value"))
     both = actual.unionByName(preds)

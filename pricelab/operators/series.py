@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pricelab.session import ensure_checkpoint_dir
 
 _LOCAL_BITS = 33  # monotonically_increasing_id: partition id above bit 33
-MAX_BLOCK_ROWS = 1 << 20
+MAX_BLOCK_ROWS = 1 << 20  # unless a window itself is longer
 
 
 def _order_cols(order_by) -> list[Column]:
@@ -99,19 +99,19 @@ def validation_split(df: DataFrame, order_by: list, test_size: float = 0.2,
     return out.withColumn(split_col, label)
 
 
-def hash_bucket(key_cols: list[str]) -> Column:
-    """0..99 from the first 8 hex digits of md5 of the key text (stable across
-    engines, independent of partitioning)."""
+def hash_number(key_cols: list[str]) -> Column:
+    """0 .. 2^32 - 1 from the first 8 hex digits of md5 of the key text (stable
+    across engines, independent of partitioning)."""
     text = F.concat_ws("|", *[F.col(c).cast("string") for c in key_cols]) if len(key_cols) > 1 \
         else F.col(key_cols[0]).cast("string")
-    return F.pmod(F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long"), F.lit(100))
+    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
 
 
 def hash_split(df: DataFrame, key_cols: list[str], train_share: float = 0.8,
                split_col: str = "split", labels: tuple[str, str] = ("train", "test")) -> DataFrame:
     """Random-like 80/20 split that needs no shuffle and no seed state (T5)."""
-    cut = int(round(train_share * 100))
-    return df.withColumn(split_col, F.when(hash_bucket(key_cols) < cut, F.lit(labels[0]))
+    cut = round(train_share * (1 << 32))
+    return df.withColumn(split_col, F.when(hash_number(key_cols) < cut, F.lit(labels[0]))
                          .otherwise(F.lit(labels[1])))
 
 
@@ -122,7 +122,7 @@ def block_rows_for(df: DataFrame, halo: int) -> int:
     One count job."""
     n = df.count()
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return int(min(MAX_BLOCK_ROWS, max(32 * max(halo, 1), -(-n // (2 * parts)))))
+    return int(max(halo, min(MAX_BLOCK_ROWS, max(32 * max(halo, 1), -(-n // (2 * parts))))))
 
 
 def _with_halo(df: DataFrame, pos_col: str, halo: int, block_rows: int | None) -> DataFrame:
@@ -143,8 +143,9 @@ def sequence_windows(df: DataFrame, feature_cols: list[str], target_col: str, le
     """For each row with at least ``length`` earlier rows in its partition, the
     ``length`` preceding feature rows (oldest first) and this row's target (W1).
 
-    ``df`` must carry a gap-free position ``pos_col`` per partition (e.g.
-    ``split_pos`` from :func:`chronological_split`). ``partition_cols`` keep
+    ``df`` carries a position ``pos_col`` per partition (e.g. ``split_pos``
+    from :func:`chronological_split`); a row whose ``length`` preceding positions
+    are not all there gets no window, whatever the blocks. ``partition_cols`` keep
     windows from crossing a split or series boundary. The output column
     ``out_col`` is ``array<array<double>>`` (time x feature). A row's features
     may instead come ready-made from the array column ``feature_array_col``.
@@ -154,9 +155,10 @@ def sequence_windows(df: DataFrame, feature_cols: list[str], target_col: str, le
         F.array(*[F.col(c).cast("double") for c in feature_cols])
     x = _with_halo(df.withColumn("__f", feats), pos_col, length, block_rows)
     w = Window.partitionBy(*parts, "__block").orderBy(pos_col).rowsBetween(-length, -1)
-    x = x.withColumn(out_col, F.collect_list("__f").over(w))
-    x = x.where((F.col("__block") == F.col("__home")) & (F.size(out_col) == length))
-    return x.drop("__f", "__home", "__block")
+    x = x.withColumn(out_col, F.collect_list("__f").over(w)).withColumn("__first", F.min(pos_col).over(w))
+    x = x.where((F.col("__block") == F.col("__home")) & (F.size(out_col) == length)
+                & (F.col("__first") == F.col(pos_col) - length))
+    return x.drop("__f", "__home", "__block", "__first")
 
 
 def lag_features(df: DataFrame, cols: list[str], lags: list[int], pos_col: str = "pos",

@@ -258,8 +258,9 @@ def iqr_bounds(df: DataFrame, col: str, k: float = 1.5, method: str = "exact") -
 
 
 def _flag_inliers(df: DataFrame, col: str, k: float, method: str) -> tuple[DataFrame, Column]:
-    b = iqr_bounds(df, col, k=k, method=method).select(
-        F.col("lower").alias("__lower"), F.col("upper").alias("__upper"))
+    # one row even where the column has no value at all: no row is then inside
+    b = iqr_bounds(df, col, k=k, method=method).agg(
+        F.max("lower").alias("__lower"), F.max("upper").alias("__upper"))
     joined = df.crossJoin(F.broadcast(b))
     keep = (F.col(f"`{col}`") >= F.col("__lower")) & (F.col(f"`{col}`") <= F.col("__upper"))
     return joined, F.coalesce(keep, F.lit(False))
@@ -290,6 +291,7 @@ def fit_standard_scaler(df: DataFrame, columns: list[str]) -> DataFrame:
     aggs = []
     for c in columns:
         v = F.col(f"`{c}`").cast("double")
+        v = F.when(~F.isnan(v), v)  # NaN is missing, as in the reference's scaler
         aggs.append(F.avg(v).alias(f"{c}__mean"))
         aggs.append(F.stddev_pop(v).alias(f"{c}__sd"))
     stats = df.agg(*aggs)

@@ -18,12 +18,13 @@ from datetime import datetime, timezone
 
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import GBTRegressionModel, GBTRegressor, LinearRegression, LinearRegressionModel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pricelab.functions.calendar import add_calendar_features
-from pricelab.operators import encode, series, stats
+from pricelab.operators import encode, metrics, series, stats
 from pricelab.session import small_frame
+from pricelab.sinks import writers
 
 # Boosted-tree settings of the reference run (100 trees, rate
 # 0.05, depth 6, min child 1, row and column sampling 0.8, seed 42), the
@@ -142,13 +143,15 @@ def sequence_frame(prep: Prepared, length: int = SEQUENCE_LENGTH) -> DataFrame:
     vector (time-major) in ``seq_features``."""
     w = series.sequence_windows(prep.frame, [], "label", length=length, pos_col="split_pos",
                                 partition_cols=["split"], out_col="seq", feature_array_col="xarr")
-    return w.withColumn("seq_features", array_to_vector(F.flatten("seq")))
+    return (w.withColumn("seq_features", array_to_vector(F.flatten("seq")))
+            .select(*prep.key, "ts", "split", "split_pos", "label", "seq_features"))
 
 
 def train_sequence(prep: Prepared, length: int = SEQUENCE_LENGTH, reg: float = 0.01,
                    elastic: float = 0.0) -> tuple[LinearRegressionModel, DataFrame]:
     """M2 (re-aimed): linear model on the flattened windows of train."""
-    seqs = sequence_frame(prep, length)
+    # read by the fit and by the predictions: computed once
+    seqs = sequence_frame(prep, length).checkpoint(eager=True)
     lr = LinearRegression(featuresCol="seq_features", labelCol="label", regParam=reg,
                           elasticNetParam=elastic, solver="auto")
     model = lr.fit(seqs.where(F.col("split") == "train"))
@@ -192,32 +195,45 @@ def load_sequence_model(spark: SparkSession, path: str) -> LinearRegressionModel
 
 def score_sequence(records: DataFrame, model: LinearRegressionModel, scaler: DataFrame,
                    feature_cols: list[str], pos_col: str, length: int = SEQUENCE_LENGTH,
-                   array_col: str = "features_raw", partition_cols: list[str] | None = None) -> DataFrame:
+                   array_col: str = "features_raw",
+                   partition_cols: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """M6 for the sequence model: each scored row needs the ``length``
     preceding rows, so raw lists are scaled, windowed over ``pos_col``
     (block-halo windows, no single-task sort) and flattened like at training.
-    Rows with a wrong list width or fewer than ``length`` predecessors are
-    not scored."""
-    n = len(feature_cols)
-    ok = records.where(F.size(array_col) == n)
+
+    Returns (scored, rejected). A list that is missing, has another width or
+    holds a missing value is bad; windows are cut over all rows first, and a row
+    whose window holds a bad list is rejected, not shifted. A bad row itself is
+    scored if its window is good (its own list is not part of it). Rows with
+    fewer than ``length`` predecessors are in neither output."""
     cols = {c: F.get(F.col(array_col), i) for i, c in enumerate(feature_cols)}
-    x = stats.apply_standard_scaler(ok.withColumns(cols), scaler, feature_cols, suffix="__z")
-    x = x.withColumn("__xz", F.array(*[F.col(f"{c}__z") for c in feature_cols])) \
+    x = stats.apply_standard_scaler(records.withColumns(cols), scaler, feature_cols, suffix="__z")
+    z = F.array(*[F.col(f"{c}__z") for c in feature_cols])
+    # a bad list becomes an empty one, which keeps its place in every window
+    x = x.withColumn("__xz", F.when(_good_list(F.col(array_col), len(feature_cols)), z)
+                     .otherwise(F.array().cast("array<double>"))) \
         .drop(*feature_cols, *[f"{c}__z" for c in feature_cols])
     w = series.sequence_windows(x, [], "", length=length, pos_col=pos_col, partition_cols=partition_cols,
-                                out_col="__seq", feature_array_col="__xz")
-    w = w.withColumn("seq_features", array_to_vector(F.flatten("__seq"))).drop("__seq", "__xz")
-    return model.transform(w).drop("seq_features")
+                                out_col="__seq", feature_array_col="__xz").drop("__xz")
+    whole = F.size(F.flatten("__seq")) == length * len(feature_cols)
+    ready = w.where(whole).withColumn("seq_features", array_to_vector(F.flatten("__seq"))).drop("__seq")
+    return model.transform(ready).drop("seq_features"), w.where(~whole).drop("__seq")
+
+
+def _good_list(values: Column, width: int) -> Column:
+    """Whether a feature list is there, has the right width and holds no missing value."""
+    missing = F.exists(values, lambda v: v.isNull() | F.isnan(v))
+    return (F.coalesce(F.size(values), F.lit(-1)) == width) & ~F.coalesce(missing, F.lit(True))
 
 
 def score_features(records: DataFrame, model: GBTRegressionModel, scaler: DataFrame, feature_cols: list[str],
                    array_col: str = "features_raw") -> tuple[DataFrame, DataFrame]:
-    """Score raw feature lists. Rows whose list length differs from
-    the model's width are rejected (second frame); the rest are scaled with
-    the stored scaler and scored."""
-    n = len(feature_cols)
-    ok = records.where(F.size(array_col) == n)
-    bad = records.where(F.size(array_col) != n)
+    """Score raw feature lists. Rows whose list is missing, has another
+    width than the model or holds a missing value are rejected (second frame);
+    the rest are scaled with the stored scaler and scored. Every row is in one
+    of the two."""
+    good = _good_list(F.col(array_col), len(feature_cols))
+    ok, bad = records.where(good), records.where(~good)
     cols = {c: F.get(F.col(array_col), i) for i, c in enumerate(feature_cols)}
     x = stats.apply_standard_scaler(ok.withColumns(cols), scaler, feature_cols, suffix="__z")
     x = x.withColumn("features", array_to_vector(F.array(*[F.col(f"{c}__z") for c in feature_cols])))
@@ -225,13 +241,44 @@ def score_features(records: DataFrame, model: GBTRegressionModel, scaler: DataFr
     return scored, bad
 
 
-def run_forecast(events: DataFrame, key: list[str], order_by: list[str], gbt_params: dict | None = None,
-                 length: int = SEQUENCE_LENGTH):
-    """M7: the whole run; returns (prepared, tree model, sequence model,
-    long predictions)."""
-    feats, cols = event_features(events, order_by)
-    prep = prepare(feats, cols, "value", key, order_by)
+@dataclass
+class ForecastRun:
+    """What a forecasting run leaves: fitted parts, frames, and where they were written."""
+
+    prepared: Prepared
+    tree: GBTRegressionModel
+    sequence: LinearRegressionModel
+    predictions: DataFrame             # long form, both models
+    metrics: DataFrame                 # long form: metric, model, value
+    winner: DataFrame                  # one row
+    aligned: DataFrame                 # actuals with both models' predictions
+    importance: DataFrame
+    paths: dict = field(default_factory=dict)
+
+
+def run_forecast(df: DataFrame, feature_cols: list[str], target: str, key: list[str], order_by: list[str],
+                 out: str | None = None, gbt_params: dict | None = None, length: int = SEQUENCE_LENGTH,
+                 stamp: str | None = None) -> ForecastRun:
+    """M7: the whole run on any table of numeric features: split -> scale -> two
+    models -> metrics and winner -> aligned predictions -> importances, and with
+    ``out`` the writes (predictions, metrics, models) under it."""
+    spark = df.sparkSession
+    prep = prepare(df, feature_cols, target, key, order_by)
     gbt = train_gbt(prep, gbt_params)
     seq_model, seqs = train_sequence(prep, length)
-    preds = gbt_predictions(prep, gbt).unionByName(sequence_predictions(prep, seq_model, seqs))
-    return prep, gbt, seq_model, preds
+    preds = gbt_predictions(prep, gbt).unionByName(sequence_predictions(prep, seq_model, seqs)).checkpoint(eager=True)
+    measured = metrics.regression_metrics(preds)
+    test = preds.where(F.col("split") == "test")
+    actual = test.where(F.col("model") == "tree").select(*key, "ts", "actual")
+    by_model = {m: test.where(F.col("model") == m).select(*key, "predicted") for m in ("tree", "sequence")}
+    run = ForecastRun(prep, gbt, seq_model, preds, metrics.metric_long(measured),
+                      metrics.model_winner(measured, ("tree", "sequence")),
+                      metrics.aligned_predictions(actual, by_model, key),
+                      feature_importance(spark, prep, gbt))
+    if out is not None:
+        stamp = stamp or writers.run_stamp()
+        run.paths = {"predictions": writers.write_run(run.aligned, f"{out}/predictions", stamp),
+                     "metrics": f"{out}/metrics", "models": f"{out}/models/run={stamp}"}
+        writers.append_metrics(run.metrics, run.paths["metrics"], stamp)
+        save_models(run.paths["models"], prep, gbt, seq_model, length)
+    return run

@@ -20,6 +20,7 @@ from pricelab.functions.names import clean_names
 from pricelab.operators import encode, metrics, profiles, series, stats
 from pricelab.plans import fixtures as fx
 from pricelab.plans.cleaning import clean_prices
+from pricelab.plans.model_keys import MODEL_KEYS
 from pricelab.session import scratch_path
 from pricelab.sources import feeds, prices
 
@@ -364,14 +365,4 @@ BATCH_KEYS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 
-def _all_keys() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    keys = dict(BATCH_KEYS)
-    try:
-        from pricelab.plans.model_keys import MODEL_KEYS
-        keys.update(MODEL_KEYS)
-    except ImportError:  # pragma: no cover - model keys are optional while building
-        pass
-    return keys
-
-
-ALL_KEYS = _all_keys()
+ALL_KEYS = {**BATCH_KEYS, **MODEL_KEYS}

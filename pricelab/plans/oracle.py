@@ -84,7 +84,41 @@ LOAD_ROWS = """
   FROM (SELECT *, unnest(range(0, 1 + event_id % 4)) AS i FROM events)
   WHERE event_id % 10 <> 0"""
 
+BAD_LIST = "(event_id % 11 = 0 OR event_id % 23 = 0 OR event_id % 37 = 0)"
+
 ORACLE_SQL: dict[str, str] = {
+    "gbt_forecast": f"""
+      SELECT event_id, split, value AS actual, TRUE AS scored, TRUE AS fits_train FROM ({EVENTS_SPLIT})""",
+    "sequence_forecast": f"""
+      SELECT event_id, split, value AS actual, TRUE AS scored, TRUE AS fits_train FROM ({EVENTS_SPLIT}) WHERE split_pos >= 24""",
+    "training_curve": "SELECT CAST(unnest(range(1, 101)) AS INTEGER) AS iteration, TRUE AS has_loss",
+    "feature_importance": """
+      SELECT feature, TRUE AS not_negative, TRUE AS shares_sum_to_one FROM (
+        SELECT unnest(['user_id', 'hour_of_day', 'day_of_week', 'month', 'is_weekend', 'value_lag1', 'value_lag2', 'value_lag3']) AS feature
+        UNION ALL SELECT DISTINCT 'event_type_' || event_type FROM events WHERE event_type IS NOT NULL)""",
+    "score_features": f"""
+      SELECT event_id, CASE WHEN {BAD_LIST} THEN 'rejected' ELSE 'scored' END AS status, NOT {BAD_LIST} AS has_prediction
+      FROM events""",
+    "model_roundtrip": f"""
+      WITH s AS (SELECT event_id, split, split_pos, {BAD_LIST} AS bad FROM ({EVENTS_SPLIT})),
+      w AS (SELECT *, count(*) FILTER (WHERE bad) OVER (PARTITION BY split ORDER BY split_pos
+                   ROWS BETWEEN 24 PRECEDING AND 1 PRECEDING) AS n_bad FROM s)
+      SELECT event_id, 'tree' AS model, CASE WHEN bad THEN 'rejected' ELSE 'scored' END AS status,
+             CASE WHEN NOT bad THEN TRUE END AS as_fitted FROM s
+      UNION ALL SELECT event_id, 'sequence', CASE WHEN n_bad > 0 THEN 'rejected' ELSE 'scored' END,
+             CASE WHEN n_bad = 0 THEN TRUE END FROM w WHERE split_pos >= 24""",
+    "forecast_run": f"""
+      SELECT s || ' ' || m AS metric, model, TRUE AS has_value,
+             (SELECT count(*) FROM ({EVENTS_SPLIT}) WHERE split = 'test') AS aligned_rows, TRUE AS models_load
+      FROM (SELECT unnest(['Training', 'Testing']) AS s), (SELECT unnest(['RMSE', 'MAE', 'R²']) AS m),
+           (SELECT unnest(['tree', 'sequence']) AS model)""",
+    "latest_file_scan": f"SELECT * FROM ({PRED_LONG}) WHERE model = 'tree'",
+    "stream_weather": f"""
+      SELECT observed_at AS timestamp, w.doc_id, w.temperature, w.wind_speed, w.humidity, w.cloud_cover AS cloud_coverage,
+             coalesce(s.solar_generation, 0) AS solar_generation
+      FROM ({WEATHER}) w LEFT JOIN ({SOLAR_TOTAL}) s ON CAST(w.observed_at AS DATE) = s.settlement_date
+      WHERE w.temperature IS NOT NULL""",
+    "stream_prices": "SELECT ts AS timestamp, value AS price, value / 100 AS volatility FROM events",
     "monthly_profile": f"""
       SELECT CAST(month(o_orderdate) AS INTEGER) AS month, round(sum(o_totalprice), 2) / count(o_totalprice) AS avg_price,
              count(o_totalprice) AS n
@@ -168,7 +202,7 @@ ORACLE_SQL: dict[str, str] = {
     "row_position": "SELECT event_id, row_number() OVER (ORDER BY ts, event_id) - 1 AS pos FROM events",
     "chronological_split": f"SELECT event_id, pos, split FROM ({EVENTS_SPLIT})",
     "hash_split": """
-      SELECT event_id, CASE WHEN ('0x' || substr(md5(CAST(event_id AS VARCHAR)), 1, 8))::BIGINT % 100 < 80
+      SELECT event_id, CASE WHEN ('0x' || substr(md5(CAST(event_id AS VARCHAR)), 1, 8))::BIGINT < round(0.8 * 4294967296)
                             THEN 'train' ELSE 'test' END AS split FROM events""",
     "validation_split": f"""
       SELECT event_id, CASE WHEN split = 'test' THEN 'test'

@@ -7,6 +7,7 @@ import os
 import tempfile
 import uuid
 
+from pyspark import SparkConf
 from pyspark.sql import SparkSession
 
 _LOCAL_CONF = {
@@ -18,6 +19,7 @@ _LOCAL_CONF = {
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
     "spark.driver.memory": "16g",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
@@ -26,11 +28,18 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
     """Local session used by tests, bench and examples.
 
     On a cluster the caller's own session is used instead; nothing in the
-    library depends on these settings except UTC as the session time zone.
+    library depends on these settings except UTC as the session time zone. Where
+    a master is set already (a running session, or a submitted application),
+    neither it nor the driver's memory is touched.
     """
     cpus = os.environ.get("BENCH_CPUS", "8")
-    builder = SparkSession.builder.master(master or f"local[{cpus}]").appName(app_name)
+    builder = SparkSession.builder.appName(app_name)
     conf = dict(_LOCAL_CONF)
+    given = SparkConf().get("spark.master") or SparkSession.getActiveSession()
+    if master or not given:
+        builder = builder.master(master or f"local[{cpus}]")
+    else:
+        conf.pop("spark.driver.memory")
     conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions or cpus)
     conf.update(extra or {})
     for k, v in conf.items():

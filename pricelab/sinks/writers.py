@@ -12,18 +12,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: Files of one partition of the clean table.
+FILES = 4
+
+
 def run_stamp(now: datetime | None = None) -> str:
     return (now or datetime.now(timezone.utc)).strftime("%Y%m%d_%H%M%S")
 
 
 def write_clean(df: DataFrame, path: str, fmt: str = "parquet",
                 partition_by: list[str] | None = None) -> None:
-    """Overwrite the clean table (K1); partitioned by year/month when present."""
+    """Overwrite the clean table (K1); partitioned by year/month when present.
+
+    Rows are dealt by partition first (a few files for each, ``FILES`` at most),
+    so that a write doesn't make tasks x partitions small files."""
     parts = partition_by if partition_by is not None else [c for c in ("year", "month") if c in df.columns]
     w = df.write.mode("overwrite").format(fmt)
     if fmt == "csv":
         w = w.option("header", "true")
     if parts:
+        w = (df.withColumn("__file", F.pmod(F.xxhash64(*df.columns), F.lit(FILES))).repartition(*parts, "__file").drop("__file")
+             .write.mode("overwrite").format(fmt))
+        if fmt == "csv":
+            w = w.option("header", "true")
         w = w.partitionBy(*parts)
     w.save(path)
 
@@ -39,6 +50,6 @@ def write_run(df: DataFrame, base: str, stamp: str | None = None, fmt: str = "pa
 
 
 def append_metrics(metrics_long: DataFrame, path: str, run_id: str | None = None) -> None:
-    """Append a metric table with its run id (K3)."""
-    metrics_long.withColumn("run_id", F.lit(run_id or run_stamp())) \
-        .write.mode("append").parquet(path)
+    """Add a metric table under its run id (K3): one folder per run, so writing
+    a run again replaces its rows and leaves the others'."""
+    metrics_long.drop("run_id").write.mode("overwrite").parquet(f"{path.rstrip('/')}/run_id={run_id or run_stamp()}")

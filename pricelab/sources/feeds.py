@@ -110,7 +110,8 @@ def generation_entries(docs: DataFrame, json_col: str = "json") -> DataFrame:
     data = F.col("__g.data")
     blank = F.array(F.struct(*[F.lit(None).cast(f.dataType).alias(f.name) for f in entry_t.fields]))
     filled = F.when(F.size(F.coalesce(data, F.array())) > 0, data).otherwise(blank)
-    day = F.to_date(F.col("__g.settlement_date"))
+    # a malformed date keeps its document, with a NULL day (see malformed_generation)
+    day = F.col("__g.settlement_date").cast("string").try_cast("date")
     period = F.col("__g.settlement_period")
     entries = F.transform(filled, lambda e: F.struct(
         day.alias("settlement_date"), period.alias("settlement_period"),
@@ -134,10 +135,22 @@ def solar_total(docs: DataFrame, json_col: str = "json", settlement_date=None,
     cond = F.col("settlement_period").between(period_from, period_to)
     if settlement_date is not None:
         cond = cond & (F.col("settlement_date") == F.to_date(F.lit(str(settlement_date))))
-    sums = e.where(cond).groupBy("settlement_date").agg(solar_micro_sum().alias("solar_micro"))
+    sums = (e.where(cond & F.col("settlement_date").isNotNull())
+            .groupBy("settlement_date").agg(solar_micro_sum().alias("solar_micro")))
+    if settlement_date is not None:
+        # the asked day has a row even without entries: its total is 0
+        asked = e.sparkSession.range(1).select(F.to_date(F.lit(str(settlement_date))).alias("settlement_date"))
+        sums = (asked.join(sums, "settlement_date", "left")
+                .select("settlement_date", F.coalesce("solar_micro", F.lit(0).cast("long")).alias("solar_micro")))
     return sums.select("settlement_date", solar_from_micro("solar_micro").alias("solar_generation"))
 
 
+def malformed_generation(docs: DataFrame, json_col: str = "json") -> DataFrame:
+    """The documents that give no settlement date: not JSON, no date, or one that doesn't parse."""
+    date = F.from_json(_c(json_col), GENERATION_SCHEMA).getField("settlement_date").cast("string")
+    return docs.where(date.try_cast("date").isNull())
+
+
 def solar_micro_sum() -> Column:
     """Aggregate: exact sum of solar quantities in micro-units (0 if none)."""
     micro = F.round(F.col("quantity") * F.lit(MICRO)).cast("long")
@@ -225,7 +238,7 @@ def grid_load_latest(docs: DataFrame, xml_col: str = "xml", keep: list[str] | No
 def weather_record(weather: DataFrame, solar_by_day: DataFrame, time_col: str = "observed_at") -> DataFrame:
     """The stored weather record: reading + that day's grid solar total
     (left equi-join on the day; P16 renames cloud_cover -> cloud_coverage and
-    uses the grid total, not the estimate). The join strategy is left to
+    uses the grid total, not the estimate; 0 for a day without entries). The join strategy is left to
     AQE: the day table is broadcast only when its measured size allows."""
     w = weather.withColumn("__day", F.to_date(F.col(time_col)))
     s = solar_by_day.select(F.col("settlement_date").alias("__day"), "solar_generation")
@@ -236,4 +249,4 @@ def weather_record(weather: DataFrame, solar_by_day: DataFrame, time_col: str =
                                                    "cloud_cover", "precipitation", "solar_estimate_kw")],
         "temperature", "wind_speed", "humidity",
         F.col("cloud_cover").alias("cloud_coverage"),
-        "solar_generation")
+        F.coalesce("solar_generation", F.lit(0).cast("long")).alias("solar_generation"))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pricelab.functions.names import clean_names as _clean_names
+from pricelab.session import path_exists
 
 
 def scan_prices(spark: SparkSession, path: str | list[str], schema: T.StructType | str | None = None,
@@ -22,7 +23,7 @@ def scan_prices(spark: SparkSession, path: str | list[str], schema: T.StructType
 
     Pass ``schema`` in production (inference costs an extra pass over the
     data); without it types are inferred. A missing path raises. Column names
-    are cleaned (P1) unless ``clean=False``.
+    are cleaned (P1) unless ``clean=False``. NaN is read as missing (NULL).
     """
     reader = spark.read.format(fmt)
     if fmt == "csv":
@@ -33,10 +34,18 @@ def scan_prices(spark: SparkSession, path: str | list[str], schema: T.StructType
         reader = reader.schema(schema)
     for k, v in options.items():
         reader = reader.option(k, v)
-    df = reader.load(path)
+    df = nan_to_null(reader.load(path))
     return _clean_names(df) if clean else df
 
 
+def nan_to_null(df: DataFrame) -> DataFrame:
+    """NaN in floating columns becomes NULL, so statistics skip it."""
+    floats = [f.name for f in df.schema.fields if f.dataType.typeName() in ("double", "float")]
+    if not floats:
+        return df
+    return df.withColumns({c: F.when(~F.isnan(F.col(f"`{c}`")), F.col(f"`{c}`")) for c in floats})
+
+
 def peek(df: DataFrame, n: int = 5) -> tuple[list[str], list]:
     """Column list and the first ``n`` rows (S2); reads only what ``n`` needs."""
     return df.columns, df.limit(n).collect()
@@ -79,23 +88,29 @@ def scan_latest(spark: SparkSession, path: str, glob: str = "*", fmt: str = "par
 def latest_run(spark: SparkSession, base: str, glob: str = "*") -> str:
     """Folder of the most recent run under ``base`` (S3 for multi-file runs).
 
-    A distributed run writes many files; the run's time is its newest file's
-    modification time and the folder name (a run stamp) breaks ties. The
-    listing is aggregated by Spark; one path comes back.
+    A run is a folder ``run=...`` that holds ``_SUCCESS``, with all its files at
+    any depth (partition folders included); unfinished runs don't count. The
+    run's time is its newest file's modification time and the folder name (a
+    run stamp) breaks ties. The listing is aggregated by Spark; one path comes
+    back.
     """
     files = (spark.read.format("binaryFile").option("pathGlobFilter", glob)
              .option("recursiveFileLookup", "true").load(base).select("path", "modificationTime"))
-    folder = F.regexp_extract("path", r"^(.*)/[^/]*$", 1)
-    runs = files.groupBy(folder.alias("folder")).agg(F.max("modificationTime").alias("mtime"))
+    folder = F.regexp_extract("path", r"^(.*/run=[^/]*)/", 1)
+    runs = (files.groupBy(folder.alias("folder")).agg(F.max("modificationTime").alias("mtime"))
+            .where(F.col("folder") != ""))
+    finished = [r["folder"] for r in runs.select("folder").collect() if path_exists(spark, f"{r['folder']}/_SUCCESS")]
+    runs = runs.where(F.col("folder").isin(finished))
     best = runs.agg(F.max(F.struct("mtime", "folder")).alias("m")).collect()[0]["m"]
     if best is None:
         raise FileNotFoundError(f"no files matching {glob!r} under {base}")
     return best["folder"]
 
 
-def union_prices(frames: list[DataFrame]) -> DataFrame:
-    """Union of chunks of one schema, matched by name."""
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+def union_prices(frames: list[DataFrame], allow_missing: bool = False) -> DataFrame:
+    """Union of chunks of one schema, matched by name (U1). A chunk without one
+    of the columns raises, or gives NULLs there with ``allow_missing``."""
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=allow_missing), frames)
 
 
 def scan_chunks(spark: SparkSession, paths: list[str], schema=None, fmt: str = "csv") -> DataFrame:

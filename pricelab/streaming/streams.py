@@ -89,17 +89,20 @@ def solar_totals_stream(spark: SparkSession, generation_path: str, table_path: s
                         available_now: bool = True, interval: str = WINDOW,
                         period_from: int = feeds.SETTLEMENT_PERIOD_FROM,
                         period_to: int = feeds.SETTLEMENT_PERIOD_TO):
-    """Maintain per-day solar totals (A8 over a stream) in ``table_path``,
-    partitioned by ``settlement_date``. Landed files hold one generation
-    document (JSON) per line."""
+    """Maintain per-day solar totals (A8 over a stream) in ``table_path``.
+
+    Every micro-batch writes the days whose total changed to a folder of its
+    own (``epoch={id}``: a replay overwrites the same folder), and readers take
+    the newest epoch of each day (:func:`read_solar_table`), so nothing is
+    replaced under a reader. Landed files hold one generation document (JSON)
+    per line; documents without a valid date add to no day."""
     raw = read_json_lines(spark, generation_path)
     e = feeds.generation_entries(raw, "json").where(F.col("settlement_period").between(period_from, period_to))
-    running = e.groupBy("settlement_date").agg(feeds.solar_micro_sum().alias("solar_micro"))
+    running = e.where("settlement_date is not null").groupBy("settlement_date").agg(feeds.solar_micro_sum().alias("solar_micro"))
 
-    def write(batch: DataFrame, _epoch: int) -> None:
+    def write(batch: DataFrame, epoch: int) -> None:
         out = batch.select("settlement_date", feeds.solar_from_micro("solar_micro").alias("solar_generation"))
-        (out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-            .partitionBy("settlement_date").parquet(table_path))
+        out.write.mode("overwrite").parquet(f"{table_path}/epoch={epoch}")
 
     w = running.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=interval)
@@ -107,15 +110,16 @@ def solar_totals_stream(spark: SparkSession, generation_path: str, table_path: s
 
 
 def read_solar_table(spark: SparkSession, table_path: str) -> DataFrame:
-    """The per-day totals as (settlement_date, solar_generation); empty when
-    nothing has been written yet."""
+    """The per-day totals of the newest epochs as (settlement_date,
+    solar_generation); empty when nothing has been written yet."""
     from pricelab.session import path_exists
 
     if not path_exists(spark, table_path):
         from pricelab.session import small_frame
 
         return small_frame(spark, [], "settlement_date date, solar_generation long")
-    return spark.read.parquet(table_path).select(F.col("settlement_date").cast("date"), "solar_generation")
+    rows = spark.read.schema("settlement_date date, solar_generation long, epoch long").parquet(table_path)
+    return rows.groupBy("settlement_date").agg(F.max_by("solar_generation", "epoch").alias("solar_generation"))
 
 
 def weather_records_stream(spark: SparkSession, weather_path: str, solar_table: str, out_path: str,
@@ -131,10 +135,12 @@ def weather_records_stream(spark: SparkSession, weather_path: str, solar_table:
     flat = feeds.weather_flatten(raw, keep=["doc_id", observed_col])
 
     def write(batch: DataFrame, epoch: int) -> None:
+        batch = batch.persist()  # parsed once for both sinks
         ok, bad = feeds.weather_guard(batch)
         rec = feeds.weather_record(ok, read_solar_table(spark, solar_table), time_col=observed_col)
         rec.write.mode("overwrite").parquet(f"{out_path}/epoch={epoch}")
         bad.write.mode("overwrite").parquet(f"{rejected_path}/epoch={epoch}")
+        batch.unpersist()
 
     w = flat.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=interval)

@@ -34,27 +34,5 @@ def test_entry_runs(spark):
     assert df.count() == 12
 
 
-ROWS_ONLY = sorted(set(ALL_KEYS) - set(E.oracle_sql()))
-EXPECTED_COLUMNS = {
-    "gbt_forecast": ["event_id", "split", "actual", "predicted"],
-    "sequence_forecast": ["event_id", "split", "actual", "predicted"],
-    "training_curve": ["iteration", "validation_mse"],
-    "feature_importance": ["feature", "importance", "share"],
-    "score_features": ["event_id", "status", "prediction"],
-    "model_roundtrip": ["event_id", "model", "prediction"],
-    "forecast_run": ["metric", "model", "value"],
-}
-
-
-def test_rows_only_keys_are_the_model_and_stream_keys():
-    assert ROWS_ONLY == sorted(["feature_importance", "forecast_run", "gbt_forecast", "latest_file_scan",
-                                "model_roundtrip", "score_features", "sequence_forecast", "stream_prices",
-                                "stream_weather", "training_curve"])
-
-
-@pytest.mark.parametrize("key", ROWS_ONLY)
-def test_rows_only_key_runs(spark, key):
-    df = E.queries()[key](spark, SF_SMALL)
-    if key in EXPECTED_COLUMNS:
-        assert df.columns == EXPECTED_COLUMNS[key]
-    assert df.count() > 0
+def test_every_key_of_the_inventory_has_sql():
+    assert set(ALL_KEYS) <= set(E.oracle_sql())

@@ -110,12 +110,36 @@ def test_sequence_model_rows_and_reloaded_scoring(spark, prepared):
     loaded = fc.load_sequence_model(spark, path)
     _, scaler, meta = fc.load_models(spark, path)
     rec = prep.frame.select("event_id", "split", "split_pos", F.col("xraw").alias("features_raw"))
-    scored = fc.score_sequence(rec, loaded, scaler, meta["feature_names"], "split_pos", partition_cols=["split"])
+    scored, rejected = fc.score_sequence(rec, loaded, scaler, meta["feature_names"], "split_pos", partition_cols=["split"])
+    assert rejected.count() == 0
     direct = fc.sequence_predictions(prep, model, seqs)
     both = scored.join(direct.select("event_id", "predicted"), "event_id")
     assert both.count() == direct.count() == scored.count()
     assert both.where(F.abs(F.col("prediction") - F.col("predicted")) > 1e-6).count() == 0
 
+    # spoiled lists: the same rows are scored and rejected however the blocks are cut
+    width = len(cols)
+    spoiled = rec.withColumn("features_raw", F.when(F.col("event_id") % 11 == 0, F.slice("features_raw", 1, width - 1))
+                             .when(F.col("event_id") % 23 != 0, F.col("features_raw")))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    counts = set()
+    for parts in ("3", "8"):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        ok, bad = fc.score_sequence(spoiled, loaded, scaler, meta["feature_names"], "split_pos", partition_cols=["split"])
+        counts.add((ok.count(), bad.count()))
+        tree_ok, tree_bad = fc.score_features(spoiled, fc.load_models(spark, path)[0], scaler, meta["feature_names"])
+        assert tree_ok.count() + tree_bad.count() == n and tree_bad.count() > 0
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert len(counts) == 1 and sum(counts.pop()) == direct.count()
+
+
+def test_windows_skip_gaps(spark):
+    from pricelab.operators import series
+
+    df = spark.range(400).where("id % 11 <> 0").select(F.col("id").alias("pos"), F.col("id").cast("double").alias("v"))
+    sizes = {series.sequence_windows(df, ["v"], "v", length=5, block_rows=b).count() for b in (5, 64, 1000)}
+    assert sizes == {sum(all((p - k) % 11 for k in range(1, 6)) and p >= 6 for p in range(400) if p % 11)}
+
 
 def test_readme_flow_on_orders(spark):
     from pricelab.operators import encode, metrics
