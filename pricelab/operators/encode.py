@@ -1,9 +1,11 @@
 """One-hot encoding of string columns.
 
-Categories are found with a distributed ``distinct`` (bounded by
-``max_categories``; a larger column is refused -- use Spark ML's
-``StringIndexer`` + ``OneHotEncoder`` for those) or passed in, frozen at fit
-time and reused at scoring so the output schema never depends on the batch.
+Two forms, chosen by the caller and never by the data: :func:`one_hot` makes
+one column per category (categories come from a distributed ``distinct``; more
+than ``max_categories`` raise, since each becomes a column of the plan), and
+:func:`one_hot_vector` makes one sparse vector per column at any number of
+categories. Both are frozen at fit time and reused at scoring, so the output
+never depends on the batch.
 """
 
 from __future__ import annotations
@@ -24,11 +26,12 @@ def categories(df: DataFrame, col: str, max_categories: int = DEFAULT_MAX_CATEGO
     return [r["v"] for r in vals]
 
 
-def one_hot_vector(df: DataFrame, col: str, out_col: str | None = None):
+def one_hot_vector(df: DataFrame, col: str, out_col: str | None = None, model=None):
     """High-cardinality form of P10: Spark ML ``StringIndexer`` (alphabetical,
     unseen / missing values kept as an extra index) + ``OneHotEncoder``
     (``dropLast=False``) into one sparse vector column. Returns the frame and
-    the fitted pipeline (reuse it at scoring so the width stays fixed)."""
+    the fitted pipeline; pass it as ``model`` at scoring, so the width stays
+    that of the fit."""
     from pyspark.ml import Pipeline
     from pyspark.ml.feature import OneHotEncoder, StringIndexer
 
@@ -36,35 +39,21 @@ def one_hot_vector(df: DataFrame, col: str, out_col: str | None = None):
     idx = StringIndexer(inputCol=col, outputCol=f"{col}__idx", handleInvalid="keep",
                         stringOrderType="alphabetAsc")
     enc = OneHotEncoder(inputCols=[f"{col}__idx"], outputCols=[out], dropLast=False)
-    model = Pipeline(stages=[idx, enc]).fit(df)
+    model = model or Pipeline(stages=[idx, enc]).fit(df)
     return model.transform(df).drop(f"{col}__idx"), model
 
 
 def one_hot(df: DataFrame, columns: list[str], vocab: dict[str, list[str]] | None = None,
-            max_categories: int = DEFAULT_MAX_CATEGORIES, drop: bool = True,
-            high_cardinality: str = "error") -> tuple[DataFrame, dict[str, list[str]]]:
+            max_categories: int = DEFAULT_MAX_CATEGORIES, drop: bool = True) -> tuple[DataFrame, dict[str, list[str]]]:
     """Replace each column by ``{col}_{value}`` 0/1 int columns, sorted by
     value, appended at the end; a missing value is all zeros. Returns the
-    frame and the vocabulary used (to reuse at scoring).
-
-    A column with more than ``max_categories`` values raises, or with
-    ``high_cardinality="vector"`` becomes one ``{col}_vec`` sparse vector
-    (:func:`one_hot_vector`); its vocabulary entry is then ``None``."""
+    frame and the vocabulary used (to reuse at scoring). A column with more
+    than ``max_categories`` values raises: use :func:`one_hot_vector`."""
     vocab = dict(vocab or {})
     for c in columns:
         if c not in vocab:
-            try:
-                vocab[c] = categories(df, c, max_categories)
-            except ValueError:
-                if high_cardinality != "vector":
-                    raise
-                vocab[c] = None
-    as_vector = [c for c in columns if vocab[c] is None]
-    for c in as_vector:
-        df, _ = one_hot_vector(df, c)
-    new = {}
-    for c in columns:
-        for v in vocab[c] or []:
-            new[f"{c}_{v}"] = F.when(F.col(c).cast("string") == F.lit(v), F.lit(1)).otherwise(F.lit(0))
+            vocab[c] = categories(df, c, max_categories)
+    new = {f"{c}_{v}": F.when(F.col(c).cast("string") == F.lit(v), F.lit(1)).otherwise(F.lit(0))
+           for c in columns for v in vocab[c]}
     kept = [x for x in df.columns if not (drop and x in columns)]
     return df.select(*kept, *[e.alias(n) for n, e in new.items()]), vocab

@@ -21,6 +21,8 @@ from pricelab.functions.names import numeric_columns, string_columns
 from pricelab.session import ensure_checkpoint_dir, small_frame
 
 DEFAULT_QUANTILE_BUCKETS = 64
+#: Distinct values of a range that is sorted by one task.
+RANGE_VALUES = 1 << 18
 
 
 # --------------------------------------------------------------------------
@@ -76,13 +78,14 @@ def quantiles_by_column(df: DataFrame, columns: list[str], probs: list[float],
 
     1. distinct values are counted per column (map-side combined shuffle: a
        hot value is one row, so skew cannot pile up) and checkpointed once;
-    2. each column's distinct values are cut into ``buckets`` ranges at
-       approximate quantiles (a bounded sketch -- it only balances the work,
-       the answer does not depend on it);
-    3. the per-range totals (columns x buckets numbers) locate, for every
-       target rank, its range and its rank inside the range;
-    4. only those ranges (about 2 per quantile) are sorted, with a window, to
-       read the values at the two ranks around each target.
+    2. every target rank starts with its column's whole value range. A range
+       with more than ``RANGE_VALUES`` distinct values is cut at approximate
+       quantiles (a bounded sketch -- it only balances the work, the answer does
+       not depend on it), the values in the pieces are counted, and the target
+       goes on with the piece that holds its rank, until all ranges are small;
+    3. only those ranges (about 2 per quantile, each of a bounded number of
+       rows whatever the column's size) are sorted, with a window, to read
+       the values at the two ranks around each target.
 
     ``method="approx"`` uses ``percentile_approx`` for very large inputs.
     """
@@ -97,58 +100,61 @@ def quantiles_by_column(df: DataFrame, columns: list[str], probs: list[float],
 
     ensure_checkpoint_dir(spark)
     vc = long.groupBy("name", "v").agg(F.count(F.lit(1)).alias("cnt")).checkpoint(eager=True)
-    bucket = F.lit(0)
-    if buckets > 1:
-        fracs = [i / buckets for i in range(1, buckets)]
-        bounds_rows = (vc.groupBy("name")
-                       .agg(F.percentile_approx("v", fracs, accuracy).alias("b"))
-                       .collect())  # columns x buckets doubles: bounded by parameters
-        bound_map = {r["name"]: sorted(set(float(x) for x in r["b"])) for r in bounds_rows}
-        if bound_map:
-            m = F.create_map(*[x for name, b in bound_map.items()
-                               for x in (F.lit(name), F.array(*[F.lit(v) for v in b]))])
-            bucket = F.size(F.filter(F.element_at(m, F.col("name")), lambda b: b < F.col("v")))
-    vc = vc.withColumn("bk", bucket.cast("int"))
-    totals = vc.groupBy("name", "bk").agg(F.sum("cnt").alias("bt")).collect()  # bounded as above
-
-    per_name: dict[str, list[tuple[int, int]]] = {}
-    for r in totals:
-        per_name.setdefault(r["name"], []).append((r["bk"], r["bt"]))
-    targets, meta = [], []
-    for name, parts in per_name.items():
-        parts.sort()
-        n = sum(bt for _, bt in parts)
-        starts, acc = [], 0
-        for bk, bt in parts:
-            starts.append((bk, acc, bt))
-            acc += bt
-        fr = []
-        for i, p in enumerate(probs):
-            h = (n - 1) * float(p)
-            fr.append(h - math.floor(h))
-            for slot, rank in ((f"lo{i}", math.floor(h)), (f"hi{i}", math.ceil(h))):
-                bk, off, _ = next(x for x in starts if x[1] <= rank < x[1] + x[2])
-                targets.append((name, bk, rank - off, slot))
-        meta.append((name, n, fr))
-    if not meta:
+    sizes = vc.groupBy("name").agg(F.sum("cnt").alias("n"), F.count(F.lit(1)).alias("values")).collect()  # one row per column
+    if not sizes:
         return small_frame(spark, [], "name string, n long, " + ", ".join(f"q{i} double" for i in range(len(probs))))
-
-    tdf = small_frame(spark, targets, "name string, bk int, local long, slot string")
-    need = tdf.select("name", "bk").distinct()
-    sel = vc.join(F.broadcast(need), ["name", "bk"])  # targets: a few rows per column
-    w = Window.partitionBy("name", "bk").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    sel = sel.withColumn("hi_r", F.sum("cnt").over(w)).withColumn("lo_r", F.col("hi_r") - F.col("cnt"))
-    hit = sel.join(F.broadcast(tdf), ["name", "bk"]).where(
-        (F.col("lo_r") <= F.col("local")) & (F.col("local") < F.col("hi_r")))
+    meta, targets = [], []
+    for r in sizes:
+        h = [(r["n"] - 1) * float(p) for p in probs]
+        meta.append((r["name"], r["n"], [x - math.floor(x) for x in h]))
+        targets += [{"name": r["name"], "slot": f"{side}{i}", "lo": None, "hi": None, "rank": f(x), "values": r["values"]}
+                    for i, x in enumerate(h) for side, f in (("lo", math.floor), ("hi", math.ceil))]
+    while any(t["values"] > RANGE_VALUES for t in targets):
+        _narrow(spark, vc, [t for t in targets if t["values"] > RANGE_VALUES], buckets, accuracy)
+    own = _in_ranges(spark, vc, targets)
+    w = Window.partitionBy("name", "slot").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    own = own.withColumn("upto", F.sum("cnt").over(w))
+    hit = own.where((F.col("upto") - F.col("cnt") <= F.col("rank")) & (F.col("rank") < F.col("upto")))
     picked = hit.groupBy("name").agg(*[F.max(F.when(F.col("slot") == s_, F.col("v"))).alias(s_)
                                        for i in range(len(probs)) for s_ in (f"lo{i}", f"hi{i}")])
-    mdf = small_frame(spark, [(name, n, fr) for name, n, fr in meta], "name string, n long, fr array<double>")
+    mdf = small_frame(spark, meta, "name string, n long, fr array<double>")
     out = picked.join(F.broadcast(mdf), "name")
     return out.select("name", "n", *[
         (F.col(f"lo{i}") + (F.col(f"hi{i}") - F.col(f"lo{i}")) * F.get(F.col("fr"), i)).alias(f"q{i}")
         for i in range(len(probs))])
 
 
+def _in_ranges(spark, vc: DataFrame, targets: list[dict]) -> DataFrame:
+    """The value counts inside each target's range (lo, hi], with its slot and rank."""
+    rows = small_frame(spark, [(t["name"], t["slot"], t["lo"], t["hi"], t["rank"]) for t in targets],
+                       "name string, slot string, lo double, hi double, rank long")
+    inside = (F.col("lo").isNull() | (F.col("v") > F.col("lo"))) & (F.col("hi").isNull() | (F.col("v") <= F.col("hi")))
+    return vc.join(F.broadcast(rows), "name").where(inside)  # a few targets per column
+
+
+def _narrow(spark, vc: DataFrame, targets: list[dict], buckets: int, accuracy: int) -> None:
+    """Cut each target's range once and keep the piece that holds its rank (updates ``targets``)."""
+    own = _in_ranges(spark, vc, targets)
+    fracs = [i / max(2, buckets) for i in range(1, max(2, buckets))]
+    cuts = {(r["name"], r["slot"]): sorted(set(r["b"])) for r in
+            own.groupBy("name", "slot").agg(F.percentile_approx("v", fracs, accuracy).alias("b")).collect()}
+    listed = small_frame(spark, [(n, k, [float(x) for x in b]) for (n, k), b in cuts.items()], "name string, slot string, cuts array<double>")
+    piece = F.size(F.filter("cuts", lambda b: b < F.col("v")))
+    pieces: dict[tuple, list] = {}
+    for r in (own.join(F.broadcast(listed), ["name", "slot"]).groupBy("name", "slot", piece.alias("piece"))
+              .agg(F.sum("cnt").alias("n"), F.count(F.lit(1)).alias("values")).collect()):  # targets x buckets numbers
+        pieces.setdefault((r["name"], r["slot"]), []).append((r["piece"], r["n"], r["values"]))
+    for t in targets:
+        bounds = cuts[t["name"], t["slot"]]
+        for k, n, values in sorted(pieces[t["name"], t["slot"]]):
+            if t["rank"] < n:
+                t["lo"] = bounds[k - 1] if k else t["lo"]
+                t["hi"] = bounds[k] if k < len(bounds) else t["hi"]
+                t["values"] = values
+                break
+            t["rank"] -= n
+
+
 def one_row(per_column: DataFrame, columns: list[str], fields: dict[str, str]) -> DataFrame:
     """Turn a one-row-per-column statistics frame into a single wide row.
 

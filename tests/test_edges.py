@@ -241,8 +241,11 @@ def test_latest_file_and_text_stream(spark):
 def test_one_hot_high_cardinality_vector(spark):
     df = spark.range(300).select(F.col("id"), F.format_string("c%03d", F.col("id") % 260).alias("cat"),
                                  F.lit("x").alias("small"))
-    out, vocab = encode.one_hot(df, ["cat", "small"], high_cardinality="vector")
-    assert vocab["cat"] is None and vocab["small"] == ["x"]
-    assert "cat" not in out.columns and "cat_vec" in out.columns and "small_x" in out.columns
+    with pytest.raises(ValueError):
+        encode.one_hot(df, ["cat"])
+    out, model = encode.one_hot_vector(df, "cat")
     row = out.where("id = 5").collect()[0]
     assert row.cat_vec.size == 261 and row.cat_vec[5] == 1.0  # 260 values + one slot for unseen
+    # a batch with few of the values, scored with the fitted encoder: the same width
+    few, _ = encode.one_hot_vector(df.where("id in (5, 7)"), "cat", model=model)
+    assert {r.cat_vec.size for r in few.collect()} == {261}

@@ -24,6 +24,19 @@ def _frame(spark, vals):
                                  "k long, x double")
 
 
+def test_quantile_ranges_stay_bounded(spark, monkeypatch):
+    """With two cuts a round and many distinct values, what is sorted at the end is small and the answer exact."""
+    monkeypatch.setattr(stats, "RANGE_VALUES", 100)
+    seen = []
+    plain = stats._in_ranges
+    monkeypatch.setattr(stats, "_in_ranges", lambda s, vc, t: seen.append([dict(x) for x in t]) or plain(s, vc, t))
+    df = spark.range(20_000).selectExpr("cast((id * 7919) % 20011 as double) as x")
+    row = stats.quantiles_by_column(df, ["x"], [0.25, 0.5], buckets=4).first()
+    vals = np.array([(i * 7919) % 20011 for i in range(20_000)], dtype=float)
+    assert [row.q0, row.q1] == np.quantile(vals, [0.25, 0.5]).tolist()
+    assert len(seen) > 2 and all(t["values"] <= 100 for t in seen[-1])
+
+
 @SETTINGS
 @given(vals=values, buckets=st.sampled_from([1, 3, 64]))
 def test_exact_quantiles_match_numpy(spark, vals, buckets):
