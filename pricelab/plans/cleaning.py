@@ -36,8 +36,10 @@ def clean_prices(df: DataFrame, time_col: str | None = None, price_col: str | No
     x = nan_to_null(clean_names(df))
     times = list(dict.fromkeys([*time_columns(x), *([time_col] if time_col else [])]))
     unparsed = unparsed_times(x, times, time_formats)
+    if unparsed is not None:
+        x = x.withColumn("__unparsed", unparsed)  # from the texts, before they are replaced
     x = parse_times(x, times, time_formats)
-    roles = detect_roles(x, time_col=time_col, price_col=price_col)
+    roles = detect_roles(x.drop("__unparsed"), time_col=time_col, price_col=price_col)
     skip = {*(impute_exclude or []), *times}
     num = [c for c in roles.numeric if c not in skip]
     cats = [c for c in roles.categorical if c not in skip]
@@ -47,7 +49,6 @@ def clean_prices(df: DataFrame, time_col: str | None = None, price_col: str | No
     if roles.time_col:
         probe.append(F.max(F.col(roles.time_col).isNotNull().cast("int")).alias("__has_time"))
     if unparsed is not None:
-        x = x.withColumn("__unparsed", unparsed)
         probe.append(F.sum("__unparsed").alias("__n_unparsed"))
     flags = x.agg(*probe).collect()[0] if probe else {}
     x = x.drop("__unparsed")

@@ -16,6 +16,9 @@ VALUE_GAP_MOD = 17
 EVENT_TYPE_GAP_MOD = 13
 USER_GAP_MOD = 31
 SPOILED_TIME_MOD = 19
+OTHER_FORMAT_MOD = 3
+NAN_MOD = 23
+OUTLIER_MOD = 41
 # Document shapes built from events.
 NO_RAIN_MOD = 3            # rain block absent
 NO_TEMPERATURE_MOD = 29    # main.temp absent -> rejected reading
@@ -48,6 +51,15 @@ def events_with_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
                      "props")
 
 
+def dirty_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events with gaps, NaN, outliers, and times as text: ISO, day/month/year or no time at all."""
+    ev, k = events_with_gaps(spark, sf_dir), F.col("event_id")
+    observed = F.when(k % SPOILED_TIME_MOD == 0, F.lit("not a date")) \
+        .when(k % OTHER_FORMAT_MOD == 0, F.date_format("ts", "dd/MM/yyyy HH:mm")).otherwise(F.col("ts").cast("string"))
+    value = F.when(k % NAN_MOD == 0, F.lit(float("nan"))).when(k % OUTLIER_MOD == 0, F.col("value") * 100).otherwise(F.col("value"))
+    return ev.select("event_id", observed.alias("Seen At"), "user_id", "event_type", value.alias("Value"))
+
+
 # ---------------------------------------------------------------- feed documents
 
 def weather_docs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,6 +22,7 @@ from pricelab.plans import fixtures as fx
 from pricelab.plans.cleaning import clean_prices
 from pricelab.plans.model_keys import MODEL_KEYS
 from pricelab.session import scratch_path
+from pricelab.sinks.writers import append_metrics, write_clean
 from pricelab.sources import feeds, prices
 
 ORDER_EVENTS = ["ts", "event_id"]
@@ -91,6 +92,30 @@ def q_calendar_features(spark: SparkSession, sf: str) -> DataFrame:
     return x.select("o_orderkey", "day_of_week", "month", "year", "hour_of_day", "is_weekend")
 
 
+def q_clean_run(spark: SparkSession, sf: str) -> DataFrame:
+    """The whole cleaning run on dirty data: an explicit time column whose name says nothing of time, two time
+    formats and bad times, missing numbers and categories, NaN, and outliers."""
+    clean, roles = clean_prices(fx.dirty_events(spark, sf), time_col="seen_at", price_col="value",
+                                impute_exclude=["event_id"], time_formats=["dd/MM/yyyy HH:mm"])
+    return clean.select("event_id", "seen_at", "user_id", "event_type", _r("value").alias("value"), "day_of_week",
+                        "month", "hour_of_day", F.lit(roles["unparsed_times"]).cast("long").alias("unparsed_times"))
+
+
+def q_clean_store(spark: SparkSession, sf: str) -> DataFrame:
+    """K1: the clean table written by year and month, read back."""
+    path = scratch_path(spark, "clean")
+    write_clean(_orders_clean(spark, sf), path)
+    return spark.read.parquet(path).select("o_orderkey", "o_totalprice", "year", "month")
+
+
+def q_metric_store(spark: SparkSession, sf: str) -> DataFrame:
+    """K3: the metric table stored under two runs, the first one twice, read back."""
+    path, table = scratch_path(spark, "metrics"), metrics.metric_long(_metrics(spark, sf))
+    for run in ("first", "second", "first"):
+        append_metrics(table, path, run)
+    return spark.read.parquet(path).select("run_id", "metric", "model", _r("value", 4).alias("value"))
+
+
 # ------------------------------------------------------------------ statistics on events
 
 def q_null_profile(spark: SparkSession, sf: str) -> DataFrame:
@@ -326,6 +351,9 @@ BATCH_KEYS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "clean_names": q_clean_names,
     "parse_times": q_parse_times,
     "calendar_features": q_calendar_features,
+    "clean_run": q_clean_run,
+    "clean_store": q_clean_store,
+    "metric_store": q_metric_store,
     "null_profile": q_null_profile,
     "impute_median": q_impute_median,
     "impute_mode": q_impute_mode,

@@ -136,6 +136,26 @@ ORACLE_SQL: dict[str, str] = {
              CAST(year(ts) AS INTEGER) AS year, CAST(hour(ts) AS INTEGER) AS hour_of_day,
              CASE WHEN isodow(ts) >= 6 THEN 1 ELSE 0 END AS is_weekend
       FROM t""",
+    "clean_run": f"""
+      WITH g AS (
+        SELECT event_id, CASE WHEN event_id % 19 = 0 THEN NULL WHEN event_id % 3 = 0 THEN date_trunc('minute', ts) ELSE ts END AS seen_at,
+               user_id, event_type,
+               CASE WHEN event_id % 23 = 0 THEN NULL WHEN event_id % 41 = 0 THEN value * 100 ELSE value END AS value
+        FROM ({EVENTS_GAPS})),
+      m AS (SELECT median(user_id) AS mu, median(value) AS mv FROM g),
+      mo AS (SELECT event_type AS me FROM g WHERE event_type IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, event_type LIMIT 1),
+      x AS (SELECT event_id, seen_at, coalesce(CAST(user_id AS DOUBLE), mu) AS user_id, coalesce(event_type, me) AS event_type,
+                   coalesce(value, mv) AS value FROM g, m, mo),
+      b AS (SELECT quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3 FROM x)
+      SELECT event_id, seen_at, user_id, event_type, round(value, 6) AS value, CAST(isodow(seen_at) - 1 AS INTEGER) AS day_of_week,
+             CAST(month(seen_at) AS INTEGER) AS month, CAST(hour(seen_at) AS INTEGER) AS hour_of_day,
+             (SELECT count(*) FROM events WHERE event_id % 19 = 0) AS unparsed_times
+      FROM x, b WHERE value >= q1 - 1.5 * (q3 - q1) AND value <= q3 + 1.5 * (q3 - q1)""",
+    "clean_store": f"""
+      SELECT o_orderkey, o_totalprice, CAST(year(o_orderdate) AS INTEGER) AS year, CAST(month(o_orderdate) AS INTEGER) AS month
+      FROM ({ORDERS_CLEAN})""",
+    "metric_store": f"""
+      SELECT run_id, metric, model, value FROM ({METRIC_LONG}), (SELECT unnest(['first', 'second']) AS run_id)""",
     "null_profile": f"""
       WITH g AS ({EVENTS_GAPS})
       SELECT * FROM (
