@@ -13,12 +13,23 @@ from pyspark.sql import functions as F
 
 from pricelab.functions.calendar import day_name
 from pricelab.operators.stats import quantiles_by_column
+from pricelab.session import ensure_checkpoint_dir
 
 # Kernel density defaults (grid points, cut in bandwidths) and
-# the pre-binning resolution used before evaluating the kernel.
+# how many bins of pre-aggregated values a bandwidth holds.
 KDE_GRID_SIZE = 200
 KDE_CUT = 3.0
-KDE_PREBINS = 4096
+KDE_BINS_PER_BANDWIDTH = 16
+#: Groups up to which one statistics row per group is broadcast (a few MB).
+SMALL_GROUPS = 50_000
+
+
+def _per_group(stats: DataFrame) -> DataFrame:
+    """Statistics rows (one per group), fixed once and broadcast after a check of their number, so the raw
+    rows needn't be shuffled on what may be two values; beyond it Spark joins as it sees fit."""
+    ensure_checkpoint_dir(stats.sparkSession)
+    stats = stats.checkpoint()
+    return F.broadcast(stats) if stats.count() <= SMALL_GROUPS else stats
 
 
 def group_means(df: DataFrame, key: str, value: str, out: str = "avg_price") -> DataFrame:
@@ -96,13 +107,14 @@ def histogram(df: DataFrame, col: str, bins: int | None = None) -> DataFrame:
 
 def kernel_density(df: DataFrame, value_col: str, group_col: str | None = None,
                    grid_size: int = KDE_GRID_SIZE, cut: float = KDE_CUT,
-                   prebins: int = KDE_PREBINS) -> DataFrame:
+                   bins_per_bandwidth: int = KDE_BINS_PER_BANDWIDTH) -> DataFrame:
     """Gaussian kernel density per group on an evenly spaced grid.
 
     Bandwidth is Scott's rule: sample std * n^(-1/5); the grid runs from
-    min - cut*bw to max + cut*bw. Values are first reduced to ``prebins``
-    equal-width weighted bins (bin centres) so the kernel work is bounded by
-    prebins x grid_size per group whatever the row count.
+    min - cut*bw to max + cut*bw. Values are first counted in bins of a fixed part
+    of the bandwidth (only bins that hold values exist), so the density is that
+    of the exact kernel to about (1 / bins_per_bandwidth)^2 / 24 of its curvature,
+    whatever the range and the tails.
     Output: group, grid_i, x, density.
     """
     g = [F.col(group_col).alias("grp")] if group_col else [F.lit("all").alias("grp")]
@@ -112,13 +124,11 @@ def kernel_density(df: DataFrame, value_col: str, group_col: str | None = None,
                               F.max("__x").alias("hi"), F.stddev_samp("__x").alias("sd"))
     st = st.withColumns({
         "bw": F.col("sd") * F.pow(F.col("n").cast("double"), F.lit(-0.2)),
-        "bin_w": (F.col("hi") - F.col("lo")) / F.lit(float(prebins)),
-    })
-    # one statistics row per group: joined without a hint, so Spark
-    # broadcasts it only when its measured size is under the threshold
+    }).withColumn("bin_w", F.col("bw") / F.lit(float(bins_per_bandwidth)))
+    st = _per_group(st)
     j = x.join(st.select("grp", "lo", "bin_w"), "grp")
     raw = F.when(F.col("bin_w") > 0, F.floor((F.col("__x") - F.col("lo")) / F.col("bin_w"))).otherwise(F.lit(0))
-    binned = j.groupBy("grp", F.least(raw.cast("long"), F.lit(prebins - 1)).alias("b")) \
+    binned = j.groupBy("grp", raw.cast("long").alias("b")) \
         .agg(F.count(F.lit(1)).alias("w"))
     centres = binned.join(st, "grp").select(
         "grp", "w", "n", "bw", "lo", "hi",
@@ -158,7 +168,7 @@ def residual_bins(pred_long: DataFrame, bins: int = 50) -> DataFrame:
                          (F.col("actual") - F.col("predicted")).alias("e"))
     st = r.groupBy("model").agg(F.min("p").alias("p_lo"), F.max("p").alias("p_hi"),
                                 F.min("e").alias("e_lo"), F.max("e").alias("e_hi"))
-    j = r.join(st, "model")  # one row per model; Spark picks broadcast by measured size
+    j = r.join(_per_group(st), "model")
 
     def _bin(v: str, lo: str, hi: str) -> Column:
         w = (F.col(hi) - F.col(lo)) / F.lit(float(bins))

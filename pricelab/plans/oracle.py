@@ -282,8 +282,8 @@ ORACLE_SQL: dict[str, str] = {
     "error_density": f"""
       WITH e AS (SELECT model, actual - predicted AS x FROM ({PRED_LONG})),
       st AS (SELECT model, count(*) AS n, min(x) AS lo, max(x) AS hi, stddev_samp(x) AS sd FROM e GROUP BY model),
-      st2 AS (SELECT *, sd * pow(CAST(n AS DOUBLE), -0.2) AS bw, (hi - lo) / 4096.0 AS bin_w FROM st),
-      b AS (SELECT e.model, least(CAST(CASE WHEN bin_w > 0 THEN floor((x - lo) / bin_w) ELSE 0 END AS BIGINT), 4095) AS b,
+      st2 AS (SELECT *, sd * pow(CAST(n AS DOUBLE), -0.2) AS bw, sd * pow(CAST(n AS DOUBLE), -0.2) / 16.0 AS bin_w FROM st),
+      b AS (SELECT e.model, CAST(CASE WHEN bin_w > 0 THEN floor((x - lo) / bin_w) ELSE 0 END AS BIGINT) AS b,
                    count(*) AS w FROM e JOIN st2 USING (model) GROUP BY 1, 2),
       c AS (SELECT b.model, w, n, bw, lo, hi, lo + (b + 0.5) * bin_w AS c FROM b JOIN st2 USING (model)),
       g AS (SELECT c.*, gi AS grid_i, (lo - 3.0 * bw) + gi * ((hi - lo + 6.0 * bw) / 199.0) AS gx

@@ -125,3 +125,14 @@ def test_binned_density_close_to_exact_kde(spark):
     assert len(got) == 200
     assert np.max(np.abs(got.density.to_numpy() - exact)) < 1e-3 * exact.max()
     assert abs(np.trapezoid(got.density.to_numpy(), got.x.to_numpy()) - 1) < 1e-2
+
+
+def test_density_of_heavy_tails(spark):
+    from pricelab.operators.profiles import kernel_density
+
+    xs = np.random.default_rng(3).standard_t(2, 20_000)
+    df = spark.createDataFrame([(float(v),) for v in xs], "x double")
+    got = kernel_density(df, "x").orderBy("grid_i").toPandas()
+    bw = xs.std(ddof=1) * xs.size ** -0.2
+    exact = np.exp(-0.5 * ((got.x.to_numpy()[:, None] - xs[None, :]) / bw) ** 2).sum(1) / (xs.size * bw * np.sqrt(2 * np.pi))
+    assert np.max(np.abs(got.density.to_numpy() - exact)) < 2e-3 * exact.max()
