@@ -61,10 +61,20 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
+_POWERS: dict[int, np.ndarray] = {}
+
+
 def powers(root: int, n: int) -> np.ndarray:
-    out = np.full(n + 1, root, dtype=U64)
+    """root ** 0 .. n modulo 2^64; those of a usual step are kept."""
+    size = max(n, STEP_BYTES + (STEP_BYTES >> 3))
+    if size > n and root in _POWERS:
+        return _POWERS[root][: n + 1]
+    out = np.full(size + 1, root, dtype=U64)
     out[0] = 1
-    return np.multiply.accumulate(out)
+    out = np.multiply.accumulate(out)
+    if size > n:
+        _POWERS[root] = out
+    return out[: n + 1]
 
 
 def words(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
