@@ -86,6 +86,10 @@ def test_near_duplicates_equal_brute_force(spark):
     assert _found(QUERIES["op9_near_dedup"](spark, SF_CHECK)) == _expected(rows, 4)
 
 
+def test_near_duplicates_equal_sql(spark):
+    assert compare(QUERIES["op9_near_dedup"](spark, SF_SMALL), duck_connection(SF_SMALL).sql(ORACLES["op9_near_dedup"])) == []
+
+
 def test_near_duplicates_of_odd_rows(spark, odd):
     rows = [tuple(r) for r in odd.select("doc_id", "text").collect()]
     assert _found(near_dedup.near_duplicates(odd, 0.8, 4)) == _expected(rows, 4)
