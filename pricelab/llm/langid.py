@@ -205,8 +205,12 @@ def code_lengths(model: Model, buf: np.ndarray, offsets: np.ndarray) -> np.ndarr
 
 
 def _has_letter(column: pa.Array, buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    letters = np.concatenate([[0], np.cumsum(_LETTER[buf])])
-    out = letters[offsets[1:]] > letters[offsets[:-1]]
+    out = np.zeros(len(offsets) - 1, bool)
+    for i, j in tb.steps(offsets):
+        letters = np.zeros(int(offsets[j] - offsets[i]) + 1, np.int32)
+        np.cumsum(_LETTER[buf[offsets[i]: offsets[j]]], out=letters[1:])
+        own = offsets[i: j + 1] - offsets[i]
+        out[i:j] = letters[own[1:]] > letters[own[:-1]]
     for d in np.flatnonzero(~out & (offsets[1:] > offsets[:-1])):
         out[d] = any(c.isalpha() for c in column[int(d)].as_py() or "")
     return out
