@@ -2,8 +2,8 @@
 
 A text is a sequence of tokens: runs of up to ``TOKEN`` characters that are no white space. Its k-mers are the runs of
 ``KMER`` tokens, each numbered by its occurrence (the first, second, ... time that k-mer stands in the text),
-so equal k-mers stay apart. Every numbered k-mer has one 64-bit hash; signature element j orders the k-mers by
-the distance of their hash above j / ``ELEMENTS`` (a power of two) of the hash range (wrapping around), selects the ``PICK`` minimal
+so equal k-mers stay apart. Every numbered k-mer has one hash of ``HASH_BITS`` bits, the same in every text, whatever
+its length; signature element j orders the k-mers by the distance of their hash above j / ``ELEMENTS`` (a power of two) of the hash range (wrapping around), selects the ``PICK`` minimal
 ones, puts them back into text order and hashes their tuple. Likeness is the share of equal elements; since the
 order inside the tuples counts, it follows the edit distance and not only the shared content.
 
@@ -31,44 +31,61 @@ PICK = 2
 ELEMENTS = 64
 NONE = "-"
 
+#: Bits of a k-mer's hash, the same ones in every text, and of its place where both are one number.
+HASH_BITS = 42
+PLACE_BITS = 20
+
 #: Rows of a range of ids, and the largest number of ranges (beyond it ranges grow; each is sorted, not held).
 RANGE_ROWS = 4096
 RANGES = 16384
 
 
-def with_elements(df: DataFrame, text: str, out: str) -> DataFrame:
+def with_elements(df: DataFrame, text: str, out: str, packed_tokens: int = 1 << PLACE_BITS) -> DataFrame:
     """``df`` with the array ``out`` of the ``ELEMENTS`` signature hashes of a text (empty for one without tokens).
 
-    A k-mer and its place are one number: the hash's high bits above as many bits as places need, so plain
-    number sorts do. Every step is a column of its own, which keeps it compiled; a column that a function reads
-    for each element is used more than once, so the optimiser never moves its definition into that function."""
+    Texts of up to ``packed_tokens`` tokens (at most 1 << PLACE_BITS) sort packed numbers, longer ones pairs; the
+    hashes are the same ones in both."""
+    df = df.withColumn("__all", F.regexp_extract_all(F.col(text), F.lit(r"[^\x20\x09-\x0D]{1,%d}" % TOKEN), F.lit(0)))
+    tokens, none = F.col("__all"), F.array().cast("array<string>")
+    few = F.size("__all") <= packed_tokens
+    df = _signed(df.withColumn("__t", F.when(few, tokens).otherwise(none)), "__short", packed=True)
+    df = _signed(df.withColumn("__t", F.when(few, none).otherwise(tokens)), "__long", packed=False)
+    return df.withColumn(out, F.when(few, F.col("__short")).otherwise(F.col("__long"))).drop("__all", "__short", "__long")
+
+
+def _signed(df: DataFrame, out: str, packed: bool) -> DataFrame:
+    """``df`` with the signature hashes ``out`` of the tokens ``__t``, which it drops.
+
+    ``packed``: a k-mer and its place are one number, the ``HASH_BITS`` of its hash above the ``PLACE_BITS`` of its
+    place, so plain number sorts do; else they are a pair of the same hash and place. Every step is a column of its
+    own, which keeps it compiled; a column that a function reads for each element is used more than once, so the
+    optimiser never moves its definition into that function."""
     t, n = F.col("__t"), F.size("__t")
-    # bits that hold every place of this text, one more than the last one's
-    df = df.withColumn("__t", F.regexp_extract_all(F.col(text), F.lit(r"[^\x20\x09-\x0D]{1,%d}" % TOKEN), F.lit(0)))
-    df = df.withColumn("__bits", F.length(F.bin(n))).withColumn("__kmers", F.greatest(n - (KMER - 1), F.least(n, F.lit(1))))
-    bits, kmers = F.col("__bits"), F.col("__kmers")
+    df = df.withColumn("__kmers", F.greatest(n - (KMER - 1), F.least(n, F.lit(1))))
+    kmers = F.col("__kmers")
 
     def placed(h: Column, i: Column) -> Column:
-        high = F.call_function("shiftright", h.bitwiseAND((1 << 62) - 1), bits)
-        return F.call_function("shiftleft", high, bits) + i
+        high = F.shiftright(h.bitwiseAND((1 << 62) - 1), 62 - HASH_BITS)
+        return F.shiftleft(high, PLACE_BITS) + i if packed else F.struct(high.alias("h"), i.alias("i"))
+
+    key = lambda x: F.shiftright(x, PLACE_BITS) if packed else x["h"]
+    place = lambda x: x.bitwiseAND((1 << PLACE_BITS) - 1) if packed else x["i"]
 
     def kmer(w: Column, i: Column) -> Column:
         return placed(F.xxhash64(w, *[F.coalesce(F.get(t, i + k), F.lit("")) for k in range(1, KMER)]), i)
 
     df = df.withColumn("__s", F.sort_array(F.slice(F.transform(t, kmer), F.lit(1), kmers)))
     s = F.col("__s")
-    key = lambda x: F.call_function("shiftright", x, bits)
     every = F.when(kmers > 0, F.sequence(F.lit(0), kmers - 1)).otherwise(F.array().cast("array<int>"))
     # where each run of equal k-mers begins, and one past the end; then the occurrence numbers along the runs
     df = df.withColumn("__b", F.concat(F.filter(every, lambda i: (i == 0) | (key(F.get(s, i)) != key(F.get(s, i - 1)))), F.array(kmers)))
     begin = F.col("__b")
     df = df.withColumn("__nth", F.flatten(F.transform(F.slice(begin, F.lit(1), F.size(begin) - 1),
                                                       lambda b, r: F.sequence(F.lit(0), F.get(begin, r + 1) - b - 1))))
-    place = lambda x: x - F.call_function("shiftleft", key(x), bits)
     df = df.withColumn("__ring", F.sort_array(F.zip_with(s, "__nth", lambda x, k: placed(F.xxhash64(key(x), k), place(x)))))
     ring = F.col("__ring")
     # the number of element starts at or below a hash; it changes where the ring passes a start
-    reached = lambda i: F.shiftright(F.get(ring, i), 62 - ELEMENTS.bit_length() + 1).cast("int") + 1
+    reached = lambda i: F.shiftright(key(F.get(ring, i)), HASH_BITS - ELEMENTS.bit_length() + 1).cast("int") + 1
     df = df.withColumn("__c", F.filter(every, lambda i: (i == 0) | (reached(i) != reached(i - 1))))
     crossing = F.col("__c")
     opened = F.flatten(F.transform(crossing, lambda i, r: F.array_repeat(
@@ -83,7 +100,7 @@ def with_elements(df: DataFrame, text: str, out: str) -> DataFrame:
 
     none = F.array().cast("array<bigint>")
     df = df.withColumn(out, F.when(kmers > 0, F.transform("__o", picked)).otherwise(none))
-    return df.drop("__t", "__bits", "__kmers", "__s", "__b", "__nth", "__ring", "__c", "__o")
+    return df.drop("__t", "__kmers", "__s", "__b", "__nth", "__ring", "__c", "__o")
 
 
 def fingerprint(parts: Column) -> Column:

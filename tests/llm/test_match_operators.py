@@ -229,6 +229,20 @@ def test_elements_equal_a_plain_order_minhash(spark):
         assert [r.x for r in asked.select("j", F.xxhash64("w").alias("x")).orderBy("j").collect()] == list(parts)
 
 
+def test_elements_do_not_depend_on_the_number_of_tokens(spark):
+    """Texts on both sides of a power of two share their elements, and both forms of the numbers give the same ones."""
+    rng = np.random.default_rng(7)
+    words = [f"w{x}" for x in rng.integers(0, 3000, 520)]
+    texts = [" ".join(words[:n]) for n in (7, 8, 127, 128, 511, 513)] + ["", "one", "a b a b a b c"]
+    got = _parts(spark, texts)
+    like = lambda x, y: sum(p == q for p, q in zip(x, y)) / order_minhash.ELEMENTS
+    assert like(got[0], got[1]) > 0.3 and like(got[2], got[3]) > 0.9 and like(got[4], got[5]) > 0.9
+    table = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    for packed_tokens in (0, 127):
+        other = order_minhash.with_elements(table, "t", "p", packed_tokens).orderBy("i").collect()
+        assert [r.p for r in other] == got
+
+
 def test_likeness_follows_edits(spark):
     rng = np.random.default_rng(2)
     words = [f"w{x}" for x in rng.integers(0, 3000, 400)]
