@@ -10,9 +10,12 @@ Method
 3. In every region each class is first held against one anchor (a linear number of pairs). Then
    rounds hold neighbours in the sorted order - those with the longest common prefix - against each
    other where they are still in different components: up to ``NEIGHBOURS`` places apart at first, twice as
-   far in each next round, until a round finds no new link. So a region of up to NEIGHBOURS + 1 components is
-   compared wholly, and a larger one as far as it pays. A region with over ``REGION`` classes is cut at a
-   deeper prefix, as often as needed (adaptive depth).
+   far in each next round, until a round finds no new link. For these rounds a region with over ``REGION``
+   classes is cut at a deeper prefix, as often as needed (adaptive depth). The classes of regions (uncut) that
+   still hold several components and more classes than a round reaches are joined exactly: a prefix-filter join
+   on their shingles, rarest first, finds every pair of two components that can reach the similarity. Shingles
+   of one component only drop out; a shingle's holders outside its largest component meet all holders in salted
+   blocks. Members of a family just below the similarity can still share a prefix, which costs its pairs.
 4. Every candidate pair is confirmed on the full shingle sets: 100 * |a n b| >= 100 * similarity * |a u b|.
 5. Components of the confirmed links come from large-star / small-star rounds on checkpointed tables.
 
@@ -45,6 +48,7 @@ SIGNATURE = 64
 DEPTH = 4
 REGION = 4096
 NEIGHBOURS = 8
+HOLDERS = 1024  # of a shingle, for each salted block of the exact join
 BITMAP_BITS = 1 << 23
 
 _rng = np.random.default_rng(20240229)
@@ -214,6 +218,34 @@ def _pairs(frame: DataFrame) -> DataFrame:
     return frame.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def _exact_pairs(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Every pair (a, b) of ``nodes`` (node, root) with two roots that can be similar enough.
+
+    A partner shares at least ``need`` shingles, all of them held under several roots; so of the m such
+    shingles of a class, in one order for all, one of the first m - need + 1 is shared."""
+    items = nodes.join(sets, "node").select("node", "root", F.size("items").cast("long").alias("n"), F.explode("items").alias("x"))
+    held = (items.groupBy("x").agg(F.count("*").alias("holders"), F.min("root").alias("lo"), F.max("root").alias("hi"))
+            .filter("lo <> hi").select("x", "holders"))
+    own = Window.partitionBy("node")
+    first = (items.join(held, "x").withColumn("i", F.row_number().over(own.orderBy("holders", "x")) - 1)
+             .withColumn("m", F.count("*").over(own)).filter(f"i <= m - ({percent} * n + 99) div 100")
+             .select("x", "node", "root", "n", "i", "m").checkpoint())
+    by_root = first.groupBy("x", "root").agg(F.count("*").alias("c"))
+    lists = (by_root.groupBy("x").agg(F.max_by("root", "c").alias("big"), F.sum("c").alias("c"), F.count("*").alias("roots"))
+             .filter("roots > 1").select("x", "big", F.ceil(F.col("c") / HOLDERS).cast("int").alias("blocks")))
+    listed = first.join(lists, "x")
+    left = (listed.filter("root <> big").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+            .select("x", "block", *[F.col(c).alias(f"{c}_a") for c in ("node", "root", "n", "i", "m")]))
+    right = (listed.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+             .select("x", "block", *[F.col(c).alias(f"{c}_b") for c in ("node", "root", "n", "i", "m")]))
+    # shared at most: those before this shingle, itself and those after it
+    most = F.least("i_a", "i_b") + 1 + F.least(F.col("m_a") - F.col("i_a"), F.col("m_b") - F.col("i_b")) - 1
+    alike = ((100 + percent) * most >= percent * (F.col("n_a") + F.col("n_b"))) & (
+        100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
+    met = left.join(right, ["x", "block"]).filter((F.col("root_a") != F.col("root_b")) & alike)
+    return _pairs(met.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")))
+
+
 def link_classes(documents: DataFrame, similarity: float = 0.8, shingle_words: int = 5) -> tuple[DataFrame, DataFrame]:
     """(rows, links): rows has rid (the row's position), doc_id, n_shingles and node (the class) of every document,
     links the confirmed links (a, b) between classes that connect all components found."""
@@ -247,10 +279,18 @@ def link_classes(documents: DataFrame, similarity: float = 0.8, shingle_words: i
         fresh = _pairs(found).join(tried, ["a", "b"], "left_anti").checkpoint()
         new = _confirmed(fresh, sets, percent).checkpoint()
         if new.isEmpty():
-            return rows.select("rid", "doc_id", "n_shingles", "node"), links
+            break
         links = links.unionByName(new).checkpoint()
         tried = tried.unionByName(fresh).checkpoint()
         reach *= 2
+    # the rest of the regions that no round has compared wholly
+    wide = regions.filter(F.col("n") > min(reach + 1, REGION)).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    mixed = wide.groupBy("tree", "prefix").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi")
+    rest = wide.join(mixed, ["tree", "prefix"], "left_semi").select("node", "root").distinct().checkpoint()
+    if not rest.isEmpty():
+        fresh = _exact_pairs(rest, sets, percent).join(tried, ["a", "b"], "left_anti")
+        links = links.unionByName(_confirmed(fresh, sets, percent)).checkpoint()
+    return rows.select("rid", "doc_id", "n_shingles", "node"), links
 
 
 def _placed(rows: DataFrame, links: DataFrame) -> DataFrame:

@@ -115,6 +115,48 @@ def test_large_region_of_near_copies(spark, monkeypatch):
     assert _found(near_dedup.near_duplicates(table, 0.8, 4)) == _expected(rows, 4)
 
 
+def test_unlinked_template_family(spark, monkeypatch):
+    """Texts that share a template, too unlike to be linked, with some pairs at the similarity among them."""
+    monkeypatch.setattr(near_dedup, "REGION", 256)
+    rng = np.random.default_rng(11)
+    template = [f"t{x}" for x in range(160)]
+    rows = [(i, template + [f"o{i}x{k}" for k in range(int(rng.integers(30, 44)))]) for i in range(2000)]
+    for i in range(60):  # a text's own words with some replaced, on both sides of the similarity
+        own = list(rows[i * 7][1])
+        for at in range(160, 160 + 6 + i % 20):
+            own[at] = f"n{i}x{at}"
+        rows.append((2000 + i, own))
+    rng.shuffle(order := np.arange(len(rows)))
+    rows = [(int(k), " ".join(rows[i][1])) for k, i in enumerate(order)]
+    sets, column = [_shingles(t, 4) for _, t in rows], {}
+    held = np.zeros((len(rows), 160), np.float32)
+    holders = defaultdict(list)
+    for i, s in enumerate(sets):
+        for x in s:
+            if all(w[:1] == b"t" for w in x):
+                held[i, column.setdefault(x, len(column))] = 1
+            else:
+                holders[x].append(i)
+    common = (held @ held.T).astype(int)
+    for own in holders.values():
+        for a, b in combinations(own, 2):
+            common[a, b] += 1
+            common[b, a] += 1
+    n = np.array([len(s) for s in sets])
+    linked = np.argwhere(np.triu(100 * common >= 80 * (n[:, None] + n - common), 1))
+    root = np.arange(len(rows))
+    for _ in range(len(rows)):
+        before = root.copy()
+        for a, b in linked:
+            root[a] = root[b] = min(root[a], root[b])
+        if (root == before).all():
+            break
+    assert 20 < len(linked) and len(set(root)) > 1000
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(table, 0.8, 4).collect()}
+    assert got == dict(enumerate(root.tolist()))
+
+
 # --- op6 -------------------------------------------------------------------------------------------
 
 
