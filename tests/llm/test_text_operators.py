@@ -324,3 +324,19 @@ def test_encode_and_decode_round_trip(spark, odd):
     for r in back:
         assert r.decoded == (r.text or "") and r.n_ids == len(r.ids)
     assert sentencepiece_codec.encode(odd.limit(0), data).count() == 0
+
+
+def test_rare_words_meet_in_a_plain_join(spark, monkeypatch):
+    """No bucket of words goes whole into one task, and the scores are the same whether words are hot or rare."""
+    rows = [(k, " ".join(f"v{(k * 7 + x * x) % 211}" for x in range(40)) + " novel" * (k % 5)) for k in range(60)] + [(None, None), (3, "v1 v1 zz")]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    order = ["doc_id", "n_tokens", "n_known", "base_score"]
+    hot = context_mixing.score_documents(table, "doc_id % 5 = 0").orderBy(order).collect()
+    monkeypatch.setattr(context_mixing, "HOT", 0)
+    rare = context_mixing.score_documents(table, "doc_id % 5 = 0")
+    assert "CoGroup" not in rare._jdf.queryExecution().executedPlan().toString()
+    rare = rare.orderBy(order).collect()
+    assert len(hot) == len(rows)
+    for a, b in zip(hot, rare, strict=True):
+        assert (a.doc_id, a.held_out, a.n_tokens, a.n_known, a.train_tokens, a.score) == (b.doc_id, b.held_out, b.n_tokens, b.n_known, b.train_tokens, b.score)
+        assert abs(a.base_score - b.base_score) < 1e-9
