@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from pricelab.llm import (
     context_mixing,
+    exact_dedup,
+    filter_audit,
     hash_forest,
     langid,
     license_scan,
@@ -19,6 +21,7 @@ from pricelab.llm import (
     perspectives,
     sentencepiece_codec,
     url_filter,
+    whitening,
 )
 
 #: The public SentencePiece model that op4 and the pipeline encode with; read on the driver, never copied.
@@ -74,6 +77,18 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(_table(spark, sf_dir, "pages"), url_filter.RULES)
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten_rows(_table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+
+
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.groups(_table(spark, sf_dir, "documents"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_context_mixing": op1_context_mixing,
     "op2_budget_mix": op2_budget_mix,
@@ -85,6 +100,9 @@ QUERIES = {
     "op8_license_scan": op8_license_scan,
     "op9_near_dedup": op9_near_dedup,
     "op10_url_filter": op10_url_filter,
+    "op11_whitening": op11_whitening,
+    "op12_exact_dedup": op12_exact_dedup,
+    "op13_filter_audit": op13_filter_audit,
 }
 
 NEAR_DEDUP_SQL = """
@@ -106,4 +124,6 @@ FROM r LEFT JOIN n USING (doc_id) GROUP BY doc_id
 ORACLES: dict[str, str] = {
     "op9_near_dedup": NEAR_DEDUP_SQL,
     "op5_perspectives": perspectives.ORACLE,
+    "op12_exact_dedup": exact_dedup.ORACLE,
+    "op13_filter_audit": filter_audit.ORACLE,
 }
