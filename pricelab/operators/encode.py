@@ -43,6 +43,13 @@ def one_hot_vector(df: DataFrame, col: str, out_col: str | None = None, model=No
     return model.transform(df).drop(f"{col}__idx"), model
 
 
+def one_hot_long(df: DataFrame, vector_col: str, key: list[str]) -> DataFrame:
+    """The non-zero entries of a sparse vector column in long form: ``key``, ``slot``, ``value`` (no row for an empty vector)."""
+    cells = F.unwrap_udt(F.col(vector_col))
+    pairs = F.arrays_zip(cells["indices"].alias("slot"), cells["values"].alias("value"))
+    return df.select(*key, F.inline(pairs)).where(F.col("value") != 0)
+
+
 def one_hot(df: DataFrame, columns: list[str], vocab: dict[str, list[str]] | None = None,
             max_categories: int = DEFAULT_MAX_CATEGORIES, drop: bool = True) -> tuple[DataFrame, dict[str, list[str]]]:
     """Replace each column by ``{col}_{value}`` 0/1 int columns, sorted by

@@ -18,6 +18,8 @@ series for every row whose home is that block.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,6 +27,10 @@ from pricelab.session import ensure_checkpoint_dir
 
 _LOCAL_BITS = 33  # monotonically_increasing_id: partition id above bit 33
 MAX_BLOCK_ROWS = 1 << 20  # unless a window itself is longer
+#: Rows of a range that one task sorts to read a rank; cuts of a larger range, and rows sampled to place them.
+RANGE_ROWS = 1 << 18
+CUTS = 63
+SAMPLE_ROWS = 2048
 
 
 def _order_cols(order_by) -> list[Column]:
@@ -87,16 +93,88 @@ def chronological_split(df: DataFrame, order_by: list, test_size: float = 0.2,
     return out if keep_position else out.drop(pos_col)
 
 
+def rows_at_ranks(df: DataFrame, order_by: list, ranks: list[int], range_rows: int = RANGE_ROWS) -> DataFrame:
+    """One row: ``r0``, ``r1``, ... = the order columns (a struct) of the rows at the 0-based ``ranks``; NULL beyond the table.
+
+    No full sort and no shuffle of rows. A range that holds a rank and more than ``range_rows`` rows is cut at up to
+    ``CUTS`` of its own rows, taken from a sample (the sample balances the work, the answer doesn't depend on it);
+    the rows of the pieces are counted in one map-side combined scan of the order columns, and the rank goes on in
+    its piece. A range that is small enough is sorted by one task; one whose rows are all equal is the answer.
+    Ties beyond the order columns are rows of equal rank value: end ``order_by`` with a key to tell rows apart."""
+    ensure_checkpoint_dir(df.sparkSession)
+    own = df.select(F.struct(*[c.alias(f"o{i}") for i, c in enumerate(_order_cols(order_by))]).alias("o"))
+    n = own.count()
+    free = own.limit(0).agg(F.max("o").alias("lo"), F.max("o").alias("hi"))
+    todo = [(free, n, {f"r{i}": r for i, r in enumerate(ranks) if 0 <= r < n}, 1.0)]
+    found: list[DataFrame] = []
+    while todo:
+        bounds, size, slots, effort = todo.pop()
+        if not slots:
+            continue
+        inside = own.crossJoin(F.broadcast(bounds)).where(
+            (F.col("lo").isNull() | (F.col("o") > F.col("lo"))) & (F.col("hi").isNull() | (F.col("o") <= F.col("hi")))).select("o")
+        if size <= range_rows:
+            place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("o")) - 1
+            at = inside.withColumn("__at", place).where(F.col("__at").isin(list(slots.values())))
+            found.append(at.agg(*[F.max(F.when(F.col("__at") == r, F.col("o"))).alias(s) for s, r in slots.items()]).checkpoint(eager=True))
+            continue
+        sampled = inside.sample(fraction=min(1.0, effort * SAMPLE_ROWS / size), seed=7).agg(F.array_sort(F.collect_set("o")).alias("s"))
+        step = F.size("s") / F.lit(CUTS + 1.0)
+        cuts = sampled.select(F.array_distinct(F.when(F.size("s") <= CUTS, F.col("s")).otherwise(F.transform(
+            F.sequence(F.lit(1), F.lit(CUTS)), lambda i: F.get("s", F.floor(i * step).cast("int"))))).alias("cuts")).checkpoint(eager=True)
+        piece = F.size(F.filter("cuts", lambda c: c < F.col("o")))
+        counted = sorted((r["piece"], r["count"]) for r in inside.crossJoin(F.broadcast(cuts)).groupBy(piece.alias("piece")).count().collect())
+        if len(counted) == 1 and inside.agg((F.min("o") == F.max("o")).alias("same")).first()["same"]:
+            found.append(inside.agg(*[F.max("o").alias(s) for s in slots]).checkpoint(eager=True))
+            continue
+        before = 0
+        for k, rows in counted:
+            in_piece = {s: r - before for s, r in slots.items() if before <= r < before + rows}
+            before += rows
+            if in_piece:
+                lo = F.get("cuts", F.lit(k - 1)) if k else F.lit(None)
+                narrowed = bounds.crossJoin(F.broadcast(cuts)).select(F.coalesce(lo, F.col("lo")).alias("lo"),
+                                                                      F.coalesce(F.get("cuts", F.lit(k)), F.col("hi")).alias("hi")).checkpoint(eager=True)
+                todo.append((narrowed, rows, in_piece, effort * 8 if len(counted) == 1 else 1.0))
+    out = own.limit(0).agg(*[F.max("o").alias(f"r{i}") for i in range(len(ranks))])
+    for part in found:
+        out = out.drop(*part.columns).crossJoin(F.broadcast(part))
+    return out.select(*[f"r{i}" for i in range(len(ranks))]).checkpoint(eager=True)
+
+
+def split_labels(df: DataFrame, order_by: list, test_size: float = 0.2, validation_size: float | None = None,
+                 split_col: str = "split", preceded_by: int | None = None, preceded_col: str = "preceded") -> DataFrame:
+    """The labels of the chronological split (T4) without positions and without a sort: the last train row is found by
+    :func:`rows_at_ranks`, every row is compared with it.
+
+    With ``validation_size`` the last part of train becomes ``validation`` and the earlier one ``fit`` (T6). With
+    ``preceded_by`` also a flag: whether the row has that many rows before it in its split (train or test)."""
+    n = df.count()
+    n_train = math.floor(n * (1.0 - test_size))
+    n_fit = None if validation_size is None else math.floor(n_train * (1.0 - validation_size))
+    need = [n_train - 1, *([] if n_fit is None else [n_fit - 1]), *([] if not preceded_by else [preceded_by - 1, n_train + preceded_by - 1])]
+    ranks = rows_at_ranks(df, order_by, need)
+    names = [f"__{c}" for c in ranks.columns]
+    x = df.crossJoin(F.broadcast(ranks.toDF(*names)))
+    row = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(_order_cols(order_by))])
+
+    def upto(i: int, rank: int) -> Column:
+        return F.lit(False) if rank < 0 else row <= F.col(names[i]) if rank < n else F.lit(True)
+
+    in_train = upto(0, need[0])
+    train = F.lit("train") if n_fit is None else F.when(upto(1, need[1]), F.lit("fit")).otherwise(F.lit("validation"))
+    new = {split_col: F.when(in_train, train).otherwise(F.lit("test"))}
+    if preceded_by is not None:
+        k = len(need)
+        new[preceded_col] = F.lit(True) if not preceded_by else F.when(in_train, ~upto(k - 2, need[-2])).otherwise(~upto(k - 1, need[-1]))
+    return x.withColumns(new).drop(*names)
+
+
 def validation_split(df: DataFrame, order_by: list, test_size: float = 0.2,
                      validation_size: float = 0.2, split_col: str = "split") -> DataFrame:
     """Chronological split, then the last ``validation_size`` of train becomes
-    ``validation`` (T6); the earlier part is ``fit``."""
-    out = chronological_split(df, order_by, test_size=test_size, split_col=split_col)
-    n_fit = F.floor(F.col("split_n") * F.lit(1.0 - validation_size)).cast("long")
-    label = (F.when(F.col(split_col) == "test", F.lit("test"))
-              .when(F.col("split_pos") < n_fit, F.lit("fit"))
-              .otherwise(F.lit("validation")))
-    return out.withColumn(split_col, label)
+    ``validation`` (T6); the earlier part is ``fit``. Labels only: no sort."""
+    return split_labels(df, order_by, test_size, validation_size, split_col)
 
 
 def hash_number(key_cols: list[str]) -> Column:

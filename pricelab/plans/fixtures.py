@@ -142,16 +142,16 @@ def lineitem_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     chronological split (sequence predictions only where 24 earlier rows of
     the same split exist, as a sequence model would give).
 
-    Long form: key..., ts, split, split_pos, model, actual, predicted.
+    Long form: key..., ts, split, model, actual, predicted.
     """
-    from pricelab.operators.series import chronological_split
+    from pricelab.operators.series import split_labels
 
     li = table(spark, sf_dir, "lineitem").select(*LINEITEM_KEY, "l_shipdate", "l_quantity", "l_extendedprice")
-    s = chronological_split(li, ["l_shipdate", *LINEITEM_KEY], keep_position=False)
-    common = [*LINEITEM_KEY, F.col("l_shipdate").alias("ts"), "split", "split_pos",
+    s = split_labels(li, ["l_shipdate", *LINEITEM_KEY], preceded_by=SEQUENCE_LENGTH)
+    common = [*LINEITEM_KEY, F.col("l_shipdate").alias("ts"), "split",
               F.col("l_extendedprice").alias("actual")]
     tree = s.select(*common, F.lit("tree").alias("model"),
                     (F.col("l_quantity") * TREE_FACTOR).alias("predicted"))
-    seq = s.where(F.col("split_pos") >= SEQUENCE_LENGTH).select(
+    seq = s.where("preceded").select(
         *common, F.lit("sequence").alias("model"), (F.col("l_quantity") * SEQUENCE_FACTOR).alias("predicted"))
     return tree.unionByName(seq)

@@ -90,6 +90,12 @@ def prepare(df: DataFrame, feature_cols: list[str], target: str, key: list[str],
     # lag windows, imputation) once in the shared checkpoint folder, and fix
     # the one-row scaler the same way so no later pass recomputes either
     s = s.checkpoint(eager=True)
+    gaps = stats.columns_with_missing(s, feature_cols)
+    if gaps:  # a missing feature takes the train median (0 where train holds no value), as at scoring of raw rows
+        middle = stats.medians(s.where(F.col("split") == "train"), gaps).checkpoint(eager=True)
+        value = {c: F.col(f"`{c}`").cast("double") for c in gaps}
+        s = s.crossJoin(F.broadcast(middle)).withColumns(
+            {c: F.coalesce(F.when(~F.isnan(v), v), F.col(f"`{c}__median`"), F.lit(0.0)) for c, v in value.items()}).drop(*middle.columns)
     scaler = stats.fit_standard_scaler(s.where(F.col("split") == "train"), feature_cols).checkpoint(eager=True)
     x = stats.apply_standard_scaler(s, scaler, feature_cols, suffix="__z")
     z = [f"{c}__z" for c in feature_cols]
@@ -138,6 +144,24 @@ def feature_importance(spark: SparkSession, prep: Prepared, model: GBTRegression
               .orderBy(F.col("importance").desc(), "feature").limit(top))
 
 
+def gain_importance(model: GBTRegressionModel, feature_names: list[str], top: int = 15) -> DataFrame:
+    """M4/T2 by gain: the features with the largest mean gain of a split over all trees (``feature``, ``gain``, ``splits``).
+
+    Read from the stored trees' node table, one row a node, with Spark: a split's gain is its drop in squared error
+    over the rows it cuts (the node's impurity gain times its rows). Features without a split have gain 0."""
+    from pricelab.session import scratch_path
+
+    spark = SparkSession.active()
+    path = scratch_path(spark, "trees")
+    model.write().save(path)
+    nodes = spark.read.parquet(f"{path}/data").select("nodeData.*").where("leftChild >= 0")
+    per = nodes.groupBy(F.col("split.featureIndex").alias("__at")).agg(
+        F.avg(F.col("gain") * F.col("rawCount")).alias("gain"), F.count(F.lit(1)).alias("splits"))
+    names = spark.range(1).select(F.posexplode(F.array(*[F.lit(c) for c in feature_names])).alias("__at", "feature"))  # one a feature
+    out = names.join(per, "__at", "left").select("feature", F.coalesce("gain", F.lit(0.0)).alias("gain"), F.coalesce("splits", F.lit(0)).alias("splits"))
+    return out.orderBy(F.col("gain").desc(), "feature").limit(top)
+
+
 def sequence_frame(prep: Prepared, length: int = SEQUENCE_LENGTH) -> DataFrame:
     """W1 windows of the scaled feature rows per split, flattened to one
     vector (time-major) in ``seq_features``."""

@@ -151,6 +151,15 @@ def q_one_hot(spark: SparkSession, sf: str) -> DataFrame:
     return x
 
 
+def q_one_hot_wide(spark: SparkSession, sf: str) -> DataFrame:
+    """Customers as categories (thousands of them), fitted on the orders of even keys and applied to all: (order, slot,
+    value) of the sparse vectors; customers that weren't seen share the last slot."""
+    orders = fx.table(spark, sf, "orders").select("o_orderkey", F.col("o_custkey").cast("string").alias("customer"))
+    _, model = encode.one_hot_vector(orders.where("o_orderkey % 2 = 0"), "customer")
+    x, _ = encode.one_hot_vector(orders, "customer", model=model)
+    return encode.one_hot_long(x, "customer_vec", ["o_orderkey"])
+
+
 def q_price_histogram(spark: SparkSession, sf: str) -> DataFrame:
     h = profiles.histogram(fx.table(spark, sf, "events"), "value")
     return h.select("bin", _r("bin_start").alias("bin_start"), _r("bin_end").alias("bin_end"), "count")
@@ -192,6 +201,12 @@ def q_hash_split(spark: SparkSession, sf: str) -> DataFrame:
     return series.hash_split(fx.table(spark, sf, "events"), ["event_id"]).select("event_id", "split")
 
 
+def q_split_labels(spark: SparkSession, sf: str) -> DataFrame:
+    """The chronological split's labels, and which rows have 24 rows before them in their split, without a sort."""
+    x = series.split_labels(fx.table(spark, sf, "events"), ORDER_EVENTS, preceded_by=fx.SEQUENCE_LENGTH)
+    return x.select("event_id", "split", "preceded")
+
+
 def q_validation_split(spark: SparkSession, sf: str) -> DataFrame:
     return series.validation_split(fx.table(spark, sf, "events"), ORDER_EVENTS).select("event_id", "split")
 
@@ -361,11 +376,13 @@ BATCH_KEYS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "iqr_filter": q_iqr_filter,
     "outlier_report": q_outlier_report,
     "one_hot": q_one_hot,
+    "one_hot_wide": q_one_hot_wide,
     "price_histogram": q_price_histogram,
     "weekday_profile": q_weekday_profile,
     "price_series": q_price_series,
     "row_position": q_row_position,
     "chronological_split": q_chronological_split,
+    "split_labels": q_split_labels,
     "hash_split": q_hash_split,
     "validation_split": q_validation_split,
     "sequence_windows": q_sequence_windows,

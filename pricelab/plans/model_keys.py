@@ -13,10 +13,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from pricelab.plans import fixtures as fx
 from pricelab.plans import forecast as fc
+from pricelab.plans import forecaster as fo
 from pricelab.session import scratch_path, small_frame
 from pricelab.sinks.writers import write_run
 from pricelab.sources import feeds, prices
@@ -28,6 +30,7 @@ ORDER = ["ts", "event_id"]
 SPOILED_WIDTH_MOD = 11
 MISSING_LIST_MOD = 23
 MISSING_VALUE_MOD = 37
+UNSEEN_MOD = 7
 
 
 def _features(spark: SparkSession, sf: str) -> tuple[DataFrame, list[str]]:
@@ -84,6 +87,71 @@ def q_feature_importance(spark: SparkSession, sf: str) -> DataFrame:
             .select("feature", (F.col("importance") >= 0).alias("not_negative"), "shares_sum_to_one"))
 
 
+def q_gain_importance(spark: SparkSession, sf: str) -> DataFrame:
+    """The features by gain (top 15), whether a feature has gain just where it has splits, and whether gains fall."""
+    prep = _prepared(spark, sf)
+    top = fc.gain_importance(fc.train_gbt(prep), prep.feature_cols)
+    above = F.lag("gain").over(Window.orderBy(F.col("gain").desc(), "feature"))  # 15 rows
+    return top.select("feature", ((F.col("gain") > 0) == (F.col("splits") > 0)).alias("consistent"),
+                      (F.coalesce(above, F.col("gain")) >= F.col("gain")).alias("falling"))
+
+
+def _raw_events(spark: SparkSession, sf: str) -> DataFrame:
+    """Raw rows for scoring: gaps, categories that the run hasn't seen, numbers as text, and rows without a time."""
+    k = F.col("event_id")
+    return fx.events_with_gaps(spark, sf).select(
+        "event_id", F.when(k % fx.SPOILED_TIME_MOD != 0, F.col("ts")).alias("ts"),
+        F.when(k % UNSEEN_MOD == 0, F.lit("not seen")).otherwise(F.col("event_type")).alias("event_type"),
+        F.when(k % MISSING_LIST_MOD == 0, F.lit("n/a")).otherwise(F.col("user_id").cast("string")).alias("user_id"))
+
+
+def _fitted(spark: SparkSession, sf: str, by_type: bool) -> fo.Forecaster:
+    """A run on the raw events, stored and loaded."""
+    events = fx.events_with_gaps(spark, sf)
+    run, _ = fo.fit(events, "value", KEY, "ts", series_cols=["event_type"] if by_type else None, numeric=["user_id"], categorical=["event_type"])
+    return run
+
+
+def _reloaded(spark: SparkSession, run: fo.Forecaster) -> fo.Forecaster:
+    path = scratch_path(spark, "forecaster")
+    fo.save(run, path)
+    return fo.load(spark, path)
+
+
+def _scores_beside(scores: DataFrame, other: DataFrame, name: str) -> DataFrame:
+    """Statuses, which predictions are numbers, and whether both are those of ``other`` (missing where that has none)."""
+    def same(c: str):
+        a, b = F.col(c), F.col(f"o_{c}")
+        return (a.isNull() & b.isNull()) | F.coalesce(F.abs(a - b) <= 1e-6 * (1 + F.abs(b)), F.lit(False))
+
+    kept = [F.col(c).alias(f"o_{c}") for c in ("tree_predicted", "sequence_predicted")]
+    x = scores.join(other.select("event_id", *kept), "event_id")
+    return x.select("event_id", "tree_status", "sequence_status", _is_number("tree_predicted").alias("has_tree"),
+                    _is_number("sequence_predicted").alias("has_sequence"), (same("tree_predicted") & same("sequence_predicted")).alias(name))
+
+
+def q_score_raw(spark: SparkSession, sf: str) -> DataFrame:
+    """S9/M6 on raw rows: a stored run scores every event by both models; ``as_fitted``: as the run before it was stored."""
+    run, raw = _fitted(spark, sf, by_type=False), _raw_events(spark, sf)
+    return _scores_beside(fo.score(_reloaded(spark, run), raw), fo.score(run, raw), "as_fitted")
+
+
+def q_stream_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """S9/M6 on a stream: the events land in four parts by time and are scored by a stored run, a series per event
+    type, the stream being started anew for each; ``as_batch``: as one batch over all."""
+    run, raw = _reloaded(spark, _fitted(spark, sf, by_type=True)), _raw_events(spark, sf)
+    root = scratch_path(spark, "score_stream")
+    span = raw.agg(F.min("ts").alias("__from"), F.max("ts").alias("__to"))
+    seconds = F.unix_seconds(F.col("ts").cast("timestamp")) - F.unix_seconds(F.col("__from").cast("timestamp"))
+    whole = F.unix_seconds(F.col("__to").cast("timestamp")) - F.unix_seconds(F.col("__from").cast("timestamp")) + 1
+    parts = raw.crossJoin(F.broadcast(span)).withColumn("__part", F.coalesce((seconds * 4 / whole).cast("int"), F.lit(0)))
+    for i in range(4):
+        parts.where(F.col("__part") == i).select(*raw.columns).write.mode("append").parquet(f"{root}/in")
+        stream = spark.readStream.schema(raw.schema).parquet(f"{root}/in")
+        fo.score_stream(run, stream, f"{root}/out", f"{root}/ckpt", tail_epochs=2).awaitTermination()
+    return _scores_beside(spark.read.parquet(f"{root}/out"), fo.score(run, raw), "as_batch")
+
+
 def _raw_feature_records(prep: fc.Prepared) -> DataFrame:
     """Raw feature lists per event, read from the checkpointed prepared frame; some lose their last value,
     some hold a missing value and some are missing, to exercise the guard."""
@@ -184,6 +252,9 @@ MODEL_KEYS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "training_curve": q_training_curve,
     "feature_importance": q_feature_importance,
     "score_features": q_score_features,
+    "gain_importance": q_gain_importance,
+    "score_raw": q_score_raw,
+    "stream_scores": q_stream_scores,
     "model_roundtrip": q_model_roundtrip,
     "forecast_run": q_forecast_run,
     "latest_file_scan": q_latest_file_scan,

@@ -221,6 +221,29 @@ ORACLE_SQL: dict[str, str] = {
       FROM ({ORDERS_CLEAN}) WHERE o_orderdate IS NOT NULL GROUP BY 1""",
     "row_position": "SELECT event_id, row_number() OVER (ORDER BY ts, event_id) - 1 AS pos FROM events",
     "chronological_split": f"SELECT event_id, pos, split FROM ({EVENTS_SPLIT})",
+    "split_labels": f"SELECT event_id, split, split_pos >= 24 AS preceded FROM ({EVENTS_SPLIT})",
+    "one_hot_wide": """
+      WITH c AS (SELECT customer, CAST(row_number() OVER (ORDER BY customer) - 1 AS INTEGER) AS slot, count(*) OVER () AS n
+                 FROM (SELECT DISTINCT CAST(o_custkey AS VARCHAR) AS customer FROM orders WHERE o_orderkey % 2 = 0 AND o_custkey IS NOT NULL))
+      SELECT o_orderkey, CAST(coalesce(slot, (SELECT count(*) FROM c)) AS INTEGER) AS slot, CAST(1 AS DOUBLE) AS value
+      FROM orders LEFT JOIN c ON c.customer = CAST(o_custkey AS VARCHAR)""",
+    "gain_importance": """
+      SELECT unnest(['user_id', 'hour_of_day', 'day_of_week', 'month', 'is_weekend', 'value_lag1', 'value_lag2', 'value_lag3']
+                    || (SELECT list('event_type_' || t) FROM (SELECT DISTINCT coalesce(event_type, 'unknown') AS t FROM events))) AS feature,
+             TRUE AS consistent, TRUE AS falling""",
+    "score_raw": """
+      WITH r AS (SELECT event_id, CASE WHEN event_id % 19 = 0 THEN NULL ELSE ts END AS ts FROM events),
+      p AS (SELECT event_id, CASE WHEN ts IS NOT NULL THEN row_number() OVER (PARTITION BY ts IS NULL ORDER BY ts, event_id) END AS pos FROM r)
+      SELECT event_id, CASE WHEN pos IS NULL THEN 'rejected' ELSE 'scored' END AS tree_status,
+             CASE WHEN pos IS NULL THEN 'rejected' WHEN pos > 24 THEN 'scored' ELSE 'short' END AS sequence_status,
+             pos IS NOT NULL AS has_tree, coalesce(pos > 24, FALSE) AS has_sequence, TRUE AS as_fitted FROM p""",
+    "stream_scores": """
+      WITH r AS (SELECT event_id, CASE WHEN event_id % 19 = 0 THEN NULL ELSE ts END AS ts,
+                        CASE WHEN event_id % 7 = 0 THEN 'not seen' WHEN event_id % 13 = 0 THEN NULL ELSE event_type END AS kind FROM events),
+      p AS (SELECT event_id, CASE WHEN ts IS NOT NULL THEN row_number() OVER (PARTITION BY ts IS NULL, kind ORDER BY ts, event_id) END AS pos FROM r)
+      SELECT event_id, CASE WHEN pos IS NULL THEN 'rejected' ELSE 'scored' END AS tree_status,
+             CASE WHEN pos IS NULL THEN 'rejected' WHEN pos > 24 THEN 'scored' ELSE 'short' END AS sequence_status,
+             pos IS NOT NULL AS has_tree, coalesce(pos > 24, FALSE) AS has_sequence, TRUE AS as_batch FROM p""",
     "hash_split": """
       SELECT event_id, CASE WHEN ('0x' || substr(md5(CAST(event_id AS VARCHAR)), 1, 8))::BIGINT < round(0.8 * 4294967296)
                             THEN 'train' ELSE 'test' END AS split FROM events""",
