@@ -13,7 +13,7 @@ One variable-order byte context tree per language, all kept in one set of tables
 
 Prediction: the language with the shortest code length (ties: the smallest name); ``score`` is its
 posterior probability under equal priors. A text that is null or has no letter is ``und`` with score 0,
-as is every text when nothing was learned. Texts are used whole, in pieces of ``textbytes.STEP_BYTES``
+as is every text when nothing was learned. Texts are used whole, in pieces of ``STEP_BYTES``
 with the bytes before them as context, so memory does not grow with a text's length. Repeated rows give
 repeated result rows; an empty table gives an empty result. Columns of the input that have the names of
 the result's columns are replaced; all others pass through.
@@ -37,6 +37,8 @@ UNDETERMINED = "und"
 #: A model's tables hold a cost for each language, so their number is limited.
 MAX_LANGUAGES = 256
 PAD = 0x0A
+#: Bytes of text that one step looks up; its tables of numbers take about a hundred times as much.
+STEP_BYTES = 1 << 18
 
 _LETTER = np.zeros(256, bool)
 _LETTER[65:91] = _LETTER[97:123] = True
@@ -47,14 +49,14 @@ def _pieces(buf: np.ndarray, offsets: np.ndarray, order: int) -> Iterator[tuple[
     pad = np.full(order, PAD, np.uint8)
     doc, parts, begin, end, size = [], [], [], [], 0
     for d in range(len(offsets) - 1):
-        for a in range(int(offsets[d]), int(offsets[d + 1]), tb.STEP_BYTES):
-            b = min(a + tb.STEP_BYTES, int(offsets[d + 1]))
+        for a in range(int(offsets[d]), int(offsets[d + 1]), STEP_BYTES):
+            b = min(a + STEP_BYTES, int(offsets[d + 1]))
             parts += [pad if a == offsets[d] else buf[a - order: a], buf[a:b]]
             doc.append(d)
             begin.append(size + order)
             size += order + b - a
             end.append(size)
-            if size >= tb.STEP_BYTES:
+            if size >= STEP_BYTES:
                 yield np.array(doc), np.concatenate(parts), np.array(begin), np.array(end)
                 doc, parts, begin, end, size = [], [], [], [], 0
     if doc:
@@ -124,7 +126,7 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", doc_id: str
         return Model([], max_order, [], [], [], uuid.uuid4().hex)
     share = F.create_map(*[F.lit(x) for k in languages for x in (k, min(1 << 30, int(docs_per_language / sizes[k] * (1 << 30)) + 1))])
     sample = rows.filter(F.col("h") < F.element_at(share, F.col("lang"))).select("lang", "text")
-    counts = (sample.mapInArrow(_count(max_order), "lang string, k int, gram long, n long")
+    counts = (sample.mapInArrow(tb.frugal(_count(max_order)), "lang string, k int, gram long, n long")
               .groupBy("k", "gram", "lang").agg(F.sum("n").alias("n")).toPandas())
     number = {x: i for i, x in enumerate(languages)}
     grams, costs, escapes = [], [], []
@@ -157,15 +159,9 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", doc_id: str
     return Model(languages, max_order, grams, as32(costs), as32(escapes), uuid.uuid4().hex)
 
 
-_CACHE: dict[str, list[np.ndarray]] = {}
-
-
 def code_lengths(model: Model, buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Bits of each text under each language."""
-    if model.key not in _CACHE:
-        _CACHE.clear()
-        _CACHE[model.key] = model.tables()
-    tables, order, n_langs = _CACHE[model.key], model.max_order, len(model.languages)
+    tables, order, n_langs = tb.kept(("langid", model.key), model.tables), model.max_order, len(model.languages)
     bits = np.zeros((len(offsets) - 1, n_langs))
     for doc, flat, begin, end in _pieces(buf, offsets, order):
         byte = flat.astype(np.int32)
@@ -206,7 +202,7 @@ def code_lengths(model: Model, buf: np.ndarray, offsets: np.ndarray) -> np.ndarr
 
 def _has_letter(column: pa.Array, buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     out = np.zeros(len(offsets) - 1, bool)
-    for i, j in tb.steps(offsets):
+    for i, j in tb.steps(offsets, STEP_BYTES):
         letters = np.zeros(int(offsets[j] - offsets[i]) + 1, np.int32)
         np.cumsum(_LETTER[buf[offsets[i]: offsets[j]]], out=letters[1:])
         own = offsets[i: j + 1] - offsets[i]
@@ -246,4 +242,4 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField("lang_pred", T.StringType()),
                            T.StructField("score", T.DoubleType()), T.StructField("bits_per_byte", T.DoubleType())])
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return docs.select(*keep).mapInArrow(_predict(shared, text, keep), schema)
+    return docs.select(*keep).mapInArrow(tb.frugal(_predict(shared, text, keep)), schema)

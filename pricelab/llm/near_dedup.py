@@ -7,15 +7,15 @@ Method
    equal sets are one *class* from here on (a group of copies is one row).
 2. The forest: tree t orders all classes by the signature rotated by t * ``DEPTH`` values. Classes
    that share the first ``DEPTH`` values of an order form a region; regions of one class end here.
-3. In every region each class is first held against one anchor (a linear number of pairs). Then
-   rounds hold neighbours in the sorted order - those with the longest common prefix - against each
-   other where they are still in different components: up to ``NEIGHBOURS`` places apart at first, twice as
-   far in each next round, until a round finds no new link. For these rounds a region with over ``REGION``
-   classes is cut at a deeper prefix, as often as needed (adaptive depth). The classes of regions (uncut) that
-   still hold several components and more classes than a round reaches are joined exactly: a prefix-filter join
-   on their shingles, rarest first, finds every pair of two components that can reach the similarity. Shingles
-   of one component only drop out; a shingle's holders outside its largest component meet all holders in salted
-   blocks. Members of a family just below the similarity can still share a prefix, which costs its pairs.
+3. In every region each class is first held against one anchor (a linear number of pairs). Regions of one component
+   are then done. In the others, neighbours in the sorted order - those with the longest common prefix - are held
+   against each other up to ``NEIGHBOURS`` places apart where they are in different components; for this a region with
+   over ``REGION`` classes is cut at a deeper prefix, as often as needed (adaptive depth). That compares a region of up to
+   ``NEIGHBOURS`` + 1 classes wholly. The classes of larger regions (uncut) that still hold several components
+   are joined exactly: a prefix-filter join on their shingles, rarest first, finds every pair of two components
+   that can reach the similarity. Shingles of one component only drop out; a shingle's holders outside its largest
+   component meet the holders of a similar set size (in bands of sizes), in salted blocks. Members of a family just
+   below the similarity can still share a prefix, which costs its pairs.
 4. Every candidate pair is confirmed on the full shingle sets: 100 * |a n b| >= 100 * similarity * |a u b|.
 5. Components of the confirmed links come from large-star / small-star rounds on checkpointed tables.
 
@@ -33,6 +33,7 @@ give repeated result rows. Extra columns are ignored. An empty table gives an em
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -214,6 +215,16 @@ def _cut(regions: DataFrame) -> DataFrame:
     return done
 
 
+def _in_components(regions: DataFrame, stars: DataFrame) -> DataFrame:
+    return (regions.join(stars, "node", "left").withColumn("root", F.coalesce("root", "node"))
+            .select("tree", "prefix", "order", "node", "root"))
+
+
+def _mixed(placed: DataFrame) -> DataFrame:
+    """The regions (tree, prefix) that hold several components."""
+    return placed.groupBy("tree", "prefix").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("tree", "prefix")
+
+
 def _pairs(frame: DataFrame) -> DataFrame:
     return frame.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
@@ -230,19 +241,21 @@ def _exact_pairs(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     first = (items.join(held, "x").withColumn("i", F.row_number().over(own.orderBy("holders", "x")) - 1)
              .withColumn("m", F.count("*").over(own)).filter(f"i <= m - ({percent} * n + 99) div 100")
              .select("x", "node", "root", "n", "i", "m").checkpoint())
-    by_root = first.groupBy("x", "root").agg(F.count("*").alias("c"))
-    lists = (by_root.groupBy("x").agg(F.max_by("root", "c").alias("big"), F.sum("c").alias("c"), F.count("*").alias("roots"))
-             .filter("roots > 1").select("x", "big", F.ceil(F.col("c") / HOLDERS).cast("int").alias("blocks")))
-    listed = first.join(lists, "x")
-    left = (listed.filter("root <> big").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-            .select("x", "block", *[F.col(c).alias(f"{c}_a") for c in ("node", "root", "n", "i", "m")]))
-    right = (listed.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-             .select("x", "block", *[F.col(c).alias(f"{c}_b") for c in ("node", "root", "n", "i", "m")]))
+    # sets in bands of sizes: a partner's band is the same or a neighbouring one
+    first = first.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / math.log(max(1.05, 100 / percent)) + 1e-9).cast("int"))
+    near = first.withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))
+    by_root = near.groupBy("x", "band", "root").agg(F.count("*").alias("c"))
+    lists = (by_root.groupBy("x", "band").agg(F.max_by("root", "c").alias("big"), F.sum("c").alias("c"), F.count("*").alias("roots"))
+             .filter("roots > 1").select("x", "band", "big", F.ceil(F.col("c") / HOLDERS).cast("int").alias("blocks")))
+    left = (first.join(lists, ["x", "band"]).filter("root <> big").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+            .select("x", "band", "block", *[F.col(c).alias(f"{c}_a") for c in ("node", "root", "n", "i", "m")]))
+    asked = left.select("x", "band", "block").distinct()
+    right = near.join(asked, ["x", "band"]).select("x", "band", "block", *[F.col(c).alias(f"{c}_b") for c in ("node", "root", "n", "i", "m")])
     # shared at most: those before this shingle, itself and those after it
     most = F.least("i_a", "i_b") + 1 + F.least(F.col("m_a") - F.col("i_a"), F.col("m_b") - F.col("i_b")) - 1
     alike = ((100 + percent) * most >= percent * (F.col("n_a") + F.col("n_b"))) & (
         100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
-    met = left.join(right, ["x", "block"]).filter((F.col("root_a") != F.col("root_b")) & alike)
+    met = left.join(right, ["x", "band", "block"]).filter((F.col("root_a") != F.col("root_b")) & alike)
     return _pairs(met.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")))
 
 
@@ -253,43 +266,34 @@ def link_classes(documents: DataFrame, similarity: float = 0.8, shingle_words: i
     ensure_checkpoint_dir(spark)
     percent = round(100 * similarity)
     docs = documents.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = docs.mapInArrow(_signatures(shingle_words), "rid long, doc_id long, n_shingles long, node binary, sig binary").checkpoint()
+    rows = docs.mapInArrow(tb.frugal(_signatures(shingle_words)), "rid long, doc_id long, n_shingles long, node binary, sig binary").checkpoint()
     classes = rows.filter("n_shingles > 0").groupBy("node").agg(F.min("sig").alias("sig"))
     regions = _regions(classes)
     involved = regions.select("node").distinct().checkpoint()
     bitmap = spark.sparkContext.broadcast(_bitmap(involved))
-    sets = (docs.select("text").mapInArrow(_involved_sets(shingle_words, bitmap), "node binary, items array<bigint>")
+    sets = (docs.select("text").mapInArrow(tb.frugal(_involved_sets(shingle_words, bitmap)), "node binary, items array<bigint>")
             .join(involved, "node", "left_semi").groupBy("node").agg(F.first("items").alias("items")).checkpoint())
 
     anchor = regions.groupBy("tree", "prefix").agg(F.min("node").alias("a"))
     tried = _pairs(regions.join(anchor, ["tree", "prefix"]).select("a", F.col("node").alias("b"))).checkpoint()
     links = _confirmed(tried, sets, percent).checkpoint()
-    cut, reach = _cut(regions), NEIGHBOURS
-    while True:
-        roots = components(links)
-        placed = (cut.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-                  .select("tree", "prefix", "order", "node", "root"))
-        mixed = placed.groupBy("tree", "prefix").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi")
-        w = Window.partitionBy("tree", "prefix").orderBy("order", "node")
-        near = F.array(*[F.struct(F.lag("node", k).over(w).alias("a"), F.lag("root", k).over(w).alias("r"))
-                         for k in range(1, reach + 1)])
-        found = (placed.join(mixed, ["tree", "prefix"], "left_semi")
-                 .withColumn("near", near).select("node", "root", F.explode("near").alias("x"))
-                 .filter("x.a is not null and x.r <> root").select("x.a", F.col("node").alias("b")))
-        fresh = _pairs(found).join(tried, ["a", "b"], "left_anti").checkpoint()
-        new = _confirmed(fresh, sets, percent).checkpoint()
-        if new.isEmpty():
-            break
-        links = links.unionByName(new).checkpoint()
-        tried = tried.unionByName(fresh).checkpoint()
-        reach *= 2
-    # the rest of the regions that no round has compared wholly
-    wide = regions.filter(F.col("n") > min(reach + 1, REGION)).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed = wide.groupBy("tree", "prefix").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi")
-    rest = wide.join(mixed, ["tree", "prefix"], "left_semi").select("node", "root").distinct().checkpoint()
+    stars = components(links)
+    placed = _in_components(_cut(regions), stars)
+    w = Window.partitionBy("tree", "prefix").orderBy("order", "node")
+    near = F.array(*[F.struct(F.lag("node", k).over(w).alias("a"), F.lag("root", k).over(w).alias("r")) for k in range(1, NEIGHBOURS + 1)])
+    found = (placed.join(_mixed(placed), ["tree", "prefix"], "left_semi")
+             .withColumn("near", near).select("node", "root", F.explode("near").alias("x"))
+             .filter("x.a is not null and x.r <> root").select("x.a", F.col("node").alias("b")))
+    fresh = _pairs(found).join(tried, ["a", "b"], "left_anti").checkpoint()
+    new = _confirmed(fresh, sets, percent).checkpoint()
+    links = links.unionByName(new)
+    # larger regions than the round compares wholly
+    wide = regions.filter(F.col("n") > NEIGHBOURS + 1)
+    wide = _in_components(wide, components(_pairs(stars.select(F.col("root").alias("a"), F.col("node").alias("b"))).unionByName(new)))
+    rest = wide.join(_mixed(wide), ["tree", "prefix"], "left_semi").select("node", "root").distinct().checkpoint()
     if not rest.isEmpty():
-        fresh = _exact_pairs(rest, sets, percent).join(tried, ["a", "b"], "left_anti")
-        links = links.unionByName(_confirmed(fresh, sets, percent)).checkpoint()
+        more = _exact_pairs(rest, sets, percent).join(tried, ["a", "b"], "left_anti").join(fresh, ["a", "b"], "left_anti")
+        links = links.unionByName(_confirmed(more, sets, percent).checkpoint())
     return rows.select("rid", "doc_id", "n_shingles", "node"), links
 
 
@@ -326,6 +330,8 @@ def keep_one(documents: DataFrame, similarity: float = 0.8, shingle_words: int =
     kept = (rows.filter("n_shingles > 0").groupBy("node").agg(first.alias("first"))
             .join(_placed(rows, links), "node").groupBy("root").agg(F.min("first").alias("first")).select("first.rid"))
     alone = rows.filter("n_shingles = 0").select("rid")
-    at = documents.withColumn("__dedup_rid", F.monotonically_increasing_id())
-    wanted = kept.unionByName(alone).withColumnRenamed("rid", "__dedup_rid")
-    return at.join(wanted, "__dedup_rid", "left_semi").select(*documents.columns)
+    taken = {c.lower() for c in documents.columns}
+    rid = next(c for i in range(len(taken) + 1) if (c := f"__dedup_rid{i}") not in taken)
+    at = documents.withColumn(rid, F.monotonically_increasing_id())
+    wanted = kept.unionByName(alone).withColumnRenamed("rid", rid)
+    return at.join(wanted, rid, "left_semi").select(*[F.col(f"`{c}`") for c in documents.columns])

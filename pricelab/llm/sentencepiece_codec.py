@@ -35,6 +35,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from pricelab.llm import textbytes as tb
+
 MARK = "▁"
 #: Numbers of the model file's format.
 UNIGRAM, BPE = 1, 2
@@ -233,22 +235,18 @@ def codec_of(model: bytes) -> Codec:
     return Codec(read_model(model))
 
 
-_WORKER: dict[bytes, tuple] = {}
-
-
 def _worker(model: bytes):
     """The rebuilt tokenizer, the byte table and the reference processor, once per Python worker."""
-    key = xxhash.xxh64_digest(model)
-    if key not in _WORKER:
+    def make():
         import sentencepiece
 
         context = TaskContext.get()
         os.environ["TOKENIZERS_PARALLELISM"] = "true"
         os.environ.setdefault("RAYON_NUM_THREADS", str(context.cpus() if context else 1))
         spec = read_model(model)
-        _WORKER.clear()
-        _WORKER[key] = (Codec(spec), _Lookup(spec), sentencepiece.SentencePieceProcessor(model_proto=model))
-    return _WORKER[key]
+        return Codec(spec), _Lookup(spec), sentencepiece.SentencePieceProcessor(model_proto=model)
+
+    return tb.kept(("sentencepiece", xxhash.xxh64_digest(model)), make)
 
 
 def _encode(model, text: str, keep: list[str]):
@@ -283,7 +281,7 @@ def encode(docs: DataFrame, model: bytes, text: str = "text", keep: list[str] |
     schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField("ids", T.ArrayType(T.IntegerType())),
                            T.StructField("n_ids", T.LongType()), T.StructField("round_trip", T.BooleanType())])
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return docs.select(*dict.fromkeys([*keep, text])).mapInArrow(_encode(shared, text, keep), schema)
+    return docs.select(*dict.fromkeys([*keep, text])).mapInArrow(tb.frugal(_encode(shared, text, keep)), schema)
 
 
 def _decode(model, ids: str, keep: list[str]):
@@ -302,4 +300,4 @@ def decode(encoded: DataFrame, model: bytes, ids: str = "ids") -> DataFrame:
     keep = [c for c in encoded.columns if c != "decoded"]
     schema = T.StructType([*(encoded.schema[c] for c in keep), T.StructField("decoded", T.StringType())])
     shared = encoded.sparkSession.sparkContext.broadcast(model)
-    return encoded.select(*dict.fromkeys([*keep, ids])).mapInArrow(_decode(shared, ids, keep), schema)
+    return encoded.select(*dict.fromkeys([*keep, ids])).mapInArrow(tb.frugal(_decode(shared, ids, keep)), schema)

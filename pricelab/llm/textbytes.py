@@ -6,7 +6,9 @@ back plus their offsets, so that the cost per text is small.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -61,6 +63,39 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
+#: What a Python worker keeps between tasks: one thing at a time, whichever operator asked for it last.
+_SLOT: dict = {}
+
+
+def kept(key, make: Callable):
+    """``make()``, kept in this worker until another key is asked for. Workers are reused by later stages, so what
+    one operator leaves behind must not add to the next one's memory."""
+    if key not in _SLOT:
+        _SLOT.clear()
+        _SLOT[key] = make()
+    return _SLOT[key]
+
+
+def _trim() -> None:
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc: the allocator gives back what it will
+        pass
+
+
+def frugal(run: Callable) -> Callable:
+    """``run`` (a function for mapInArrow) whose worker gives freed memory back to the system when a task ends."""
+    @wraps(run)
+    def whole(batches):
+        try:
+            yield from run(batches)
+        finally:
+            _trim()
+
+    return whole
+
+
 _POWERS: dict[int, np.ndarray] = {}
 
 

@@ -254,18 +254,18 @@ def test_elements_equal_a_plain_order_minhash(spark):
     for text, parts in zip(texts, got):
         tokens = text.split()
         kmers = [tuple(tokens[i: i + 2]) for i in range(max(1, len(tokens) - 1))]
-        bits = len(tokens).bit_length()
-        top = ((1 << 62) - 1) >> bits
+        bits = order_minhash.HASH_BITS
+        high = f"shiftright({{}} & {(1 << 62) - 1}, {62 - bits}) as h"
         table = spark.createDataFrame([(i, *(k + ("",))[:2]) for i, k in enumerate(kmers)], "i int, a string, b string")
-        keys = [r.h for r in table.selectExpr("i", f"shiftright(xxhash64(a, b) & {(1 << 62) - 1}, {bits}) as h").orderBy("i").collect()]
+        keys = [r.h for r in table.selectExpr("i", high.format("xxhash64(a, b)")).orderBy("i").collect()]
         nth = [keys[:i].count(k) for i, k in enumerate(keys)]
         table = spark.createDataFrame([(i, k, x) for i, (k, x) in enumerate(zip(keys, nth))], "i int, k long, nth int")
-        hashes = table.selectExpr("i", f"shiftright(xxhash64(k, nth) & {(1 << 62) - 1}, {bits}) as h").collect()
-        assert all(0 <= r.h <= top for r in hashes)
+        hashes = table.selectExpr("i", high.format("xxhash64(k, nth)")).collect()
+        assert all(0 <= r.h < 1 << bits for r in hashes)
         want = []
         for j in range(n):
-            start = (j * ((1 << 62) // n)) >> bits
-            picked = sorted(hashes, key=lambda r: ((r.h - start) % (1 << (62 - bits)), r.i))[: order_minhash.PICK]
+            start = j * ((1 << bits) // n)
+            picked = sorted(hashes, key=lambda r: ((r.h - start) % (1 << bits), r.i))[: order_minhash.PICK]
             want.append([r.h for r in sorted(picked, key=lambda r: r.i)])
         asked = spark.createDataFrame([(j, w) for j, w in enumerate(want)], "j int, w array<long>")
         assert [r.x for r in asked.select("j", F.xxhash64("w").alias("x")).orderBy("j").collect()] == list(parts)
