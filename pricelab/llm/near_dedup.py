@@ -143,9 +143,9 @@ def _bitmap(nodes: DataFrame) -> bytes:
     """A fixed-size bitmap (BITMAP_BITS / 8 bytes at any input size) of the nodes; false hits only cost work."""
     rows = (nodes.select(_slot(F.col("node")).alias("s"))
             .groupBy((F.col("s") / 32).cast("long").alias("w"))
-            .agg(F.bit_or(F.expr("shiftleft(1L, cast(s % 32 as int))")).alias("b")).toPandas())
+            .agg(F.bit_or(F.expr("shiftleft(1L, cast(s % 32 as int))")).alias("b")).toArrow())
     out = np.zeros(BITMAP_BITS // 32, np.uint32)
-    out[rows["w"].to_numpy(np.int64)] = rows["b"].to_numpy(np.int64).astype(np.uint32)
+    out[rows["w"].to_numpy()] = rows["b"].to_numpy().astype(np.uint32)
     return out.astype("<u4").tobytes()
 
 
@@ -259,9 +259,9 @@ def _exact_pairs(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return _pairs(met.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")))
 
 
-def link_classes(documents: DataFrame, similarity: float = 0.8, shingle_words: int = 5) -> tuple[DataFrame, DataFrame]:
-    """(rows, links): rows has rid (the row's position), doc_id, n_shingles and node (the class) of every document,
-    links the confirmed links (a, b) between classes that connect all components found."""
+def link_classes(documents: DataFrame, similarity: float = 0.8, shingle_words: int = 5) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows, links, stars): rows has rid (the row's position), doc_id, n_shingles and node (the class) of every document,
+    links the confirmed links (a, b) between classes that connect all components found, stars those components (node, root)."""
     spark = documents.sparkSession
     ensure_checkpoint_dir(spark)
     percent = round(100 * similarity)
@@ -286,30 +286,37 @@ def link_classes(documents: DataFrame, similarity: float = 0.8, shingle_words: i
              .filter("x.a is not null and x.r <> root").select("x.a", F.col("node").alias("b")))
     fresh = _pairs(found).join(tried, ["a", "b"], "left_anti").checkpoint()
     new = _confirmed(fresh, sets, percent).checkpoint()
-    links = links.unionByName(new)
+    links, stars = links.unionByName(new), _joined(stars, new)
     # larger regions than the round compares wholly
-    wide = regions.filter(F.col("n") > NEIGHBOURS + 1)
-    wide = _in_components(wide, components(_pairs(stars.select(F.col("root").alias("a"), F.col("node").alias("b"))).unionByName(new)))
+    wide = _in_components(regions.filter(F.col("n") > NEIGHBOURS + 1), stars)
     rest = wide.join(_mixed(wide), ["tree", "prefix"], "left_semi").select("node", "root").distinct().checkpoint()
     if not rest.isEmpty():
         more = _exact_pairs(rest, sets, percent).join(tried, ["a", "b"], "left_anti").join(fresh, ["a", "b"], "left_anti")
-        links = links.unionByName(_confirmed(more, sets, percent).checkpoint())
-    return rows.select("rid", "doc_id", "n_shingles", "node"), links
+        more = _confirmed(more, sets, percent).checkpoint()
+        links, stars = links.unionByName(more), _joined(stars, more)
+    return rows.select("rid", "doc_id", "n_shingles", "node"), links, stars
 
 
-def _placed(rows: DataFrame, links: DataFrame) -> DataFrame:
+def _joined(stars: DataFrame, links: DataFrame) -> DataFrame:
+    """The components ``stars`` (node, root) after further links."""
+    if links.isEmpty():
+        return stars
+    return components(_pairs(stars.select(F.col("root").alias("a"), F.col("node").alias("b"))).unionByName(links))
+
+
+def _placed(rows: DataFrame, stars: DataFrame) -> DataFrame:
     """(node, root) of every class with shingles."""
     nodes = rows.filter("n_shingles > 0").select("node").distinct()
-    return nodes.join(components(links), "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+    return nodes.join(stars, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
 
 
 def near_duplicates(documents: DataFrame, similarity: float = 0.8, shingle_words: int = 5) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id reachable), kept (doc_id = component_id) and
     class_links (confirmed links of its class) of every document."""
-    rows, links = link_classes(documents, similarity, shingle_words)
+    rows, links, stars = link_classes(documents, similarity, shingle_words)
     degree = (links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("class_links")))
     nodes = rows.filter("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    placed = nodes.join(_placed(rows, links), "node")
+    placed = nodes.join(_placed(rows, stars), "node")
     least = placed.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     by_node = (placed.join(least, "root").join(degree, "node", "left")
                .select("node", "component_id", F.coalesce("class_links", F.lit(0)).alias("class_links")))
@@ -325,10 +332,10 @@ def keep_one(documents: DataFrame, similarity: float = 0.8, shingle_words: int =
     """``documents`` with one row of each group: the smallest doc_id's (null ids last), of repeated rows the first.
 
     ``documents`` must be a stable scan (such as a written table): rows are found again by their position."""
-    rows, links = link_classes(documents, similarity, shingle_words)
+    rows, _, stars = link_classes(documents, similarity, shingle_words)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid"))
     kept = (rows.filter("n_shingles > 0").groupBy("node").agg(first.alias("first"))
-            .join(_placed(rows, links), "node").groupBy("root").agg(F.min("first").alias("first")).select("first.rid"))
+            .join(_placed(rows, stars), "node").groupBy("root").agg(F.min("first").alias("first")).select("first.rid"))
     alone = rows.filter("n_shingles = 0").select("rid")
     taken = {c.lower() for c in documents.columns}
     rid = next(c for i in range(len(taken) + 1) if (c := f"__dedup_rid{i}") not in taken)
