@@ -9,10 +9,11 @@ Method
    that share the first ``DEPTH`` values of an order form a region; regions of one class end here.
 3. In every region each class is first held against one anchor (a linear number of pairs). Regions of one component
    are then done. In the others, neighbours in the sorted order - those with the longest common prefix - are held
-   against each other up to ``NEIGHBOURS`` places apart where they are in different components; for this a region with
-   over ``REGION`` classes is cut at a deeper prefix, as often as needed (adaptive depth). That compares a region of up to
-   ``NEIGHBOURS`` + 1 classes wholly. The classes of larger regions (uncut) that still hold several components
-   are joined exactly: a prefix-filter join on their shingles, rarest first, finds every pair of two components
+   against each other up to ``NEIGHBOURS`` places apart where they are in different components, and classes outside
+   the region's largest component against as many of its members; for this a region with over ``REGION`` classes is
+   cut at a deeper prefix, as often as needed (adaptive depth). That compares a region of up to ``NEIGHBOURS`` + 1
+   classes wholly; regions that stay mixed get up to ``ROUNDS`` such rounds while links are found. The
+   classes of larger regions (uncut) that then still hold several components are joined exactly: a prefix-filter join on their shingles, rarest first, finds every pair of two components
    that can reach the similarity. Shingles of one component only drop out; a shingle's holders outside its largest
    component meet the holders of a similar set size (in bands of sizes), in salted blocks. Members of a family just
    below the similarity can still share a prefix, which costs its pairs.
@@ -49,6 +50,7 @@ SIGNATURE = 64
 DEPTH = 4
 REGION = 4096
 NEIGHBOURS = 8
+ROUNDS = 3
 HOLDERS = 1024  # of a shingle, for each salted block of the exact join
 BITMAP_BITS = 1 << 23
 
@@ -225,6 +227,26 @@ def _mixed(placed: DataFrame) -> DataFrame:
     return placed.groupBy("tree", "prefix").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("tree", "prefix")
 
 
+def _neighbours(placed: DataFrame) -> DataFrame:
+    """Pairs (a, b) of two components up to ``NEIGHBOURS`` places apart in the order of a region."""
+    w = Window.partitionBy("tree", "prefix").orderBy("order", "node")
+    near = F.array(*[F.struct(F.lag("node", k).over(w).alias("a"), F.lag("root", k).over(w).alias("r")) for k in range(1, NEIGHBOURS + 1)])
+    return (placed.withColumn("near", near).select("node", "root", F.explode("near").alias("x"))
+            .filter("x.a is not null and x.r <> root").select("x.a", F.col("node").alias("b")))
+
+
+def _to_largest(placed: DataFrame) -> DataFrame:
+    """Pairs (a, b) of ``NEIGHBOURS`` members of a region's largest component with each class outside it: a linear number
+    that joins most of a large group of near copies, which leaves little to the exact join."""
+    region = ["tree", "prefix"]
+    sizes = placed.groupBy(*region, "root").agg(F.count("*").alias("c"))
+    largest = sizes.groupBy(*region).agg(F.max_by("root", F.struct("c", "root")).alias("big"))
+    known = placed.select(*region, "node", "root").join(largest, region)
+    pick = Window.partitionBy(*region).orderBy(F.xxhash64("node", "tree"), "node")  # of a region's rows, at most REGION
+    hubs = known.filter("root = big").withColumn("k", F.row_number().over(pick)).filter(f"k <= {NEIGHBOURS}").select(*region, F.col("node").alias("a"))
+    return known.filter("root <> big").join(hubs, region).select("a", F.col("node").alias("b"))
+
+
 def _pairs(frame: DataFrame) -> DataFrame:
     return frame.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
@@ -277,21 +299,21 @@ def link_classes(documents: DataFrame, similarity: float = 0.8, shingle_words: i
     anchor = regions.groupBy("tree", "prefix").agg(F.min("node").alias("a"))
     tried = _pairs(regions.join(anchor, ["tree", "prefix"]).select("a", F.col("node").alias("b"))).checkpoint()
     links = _confirmed(tried, sets, percent).checkpoint()
-    stars = components(links)
-    placed = _in_components(_cut(regions), stars)
-    w = Window.partitionBy("tree", "prefix").orderBy("order", "node")
-    near = F.array(*[F.struct(F.lag("node", k).over(w).alias("a"), F.lag("root", k).over(w).alias("r")) for k in range(1, NEIGHBOURS + 1)])
-    found = (placed.join(_mixed(placed), ["tree", "prefix"], "left_semi")
-             .withColumn("near", near).select("node", "root", F.explode("near").alias("x"))
-             .filter("x.a is not null and x.r <> root").select("x.a", F.col("node").alias("b")))
-    fresh = _pairs(found).join(tried, ["a", "b"], "left_anti").checkpoint()
-    new = _confirmed(fresh, sets, percent).checkpoint()
-    links, stars = links.unionByName(new), _joined(stars, new)
-    # larger regions than the round compares wholly
+    stars, cut = components(links), _cut(regions)
+    for _ in range(ROUNDS):
+        placed = _in_components(cut, stars)
+        placed = placed.join(_mixed(placed), ["tree", "prefix"], "left_semi").checkpoint()
+        fresh = _pairs(_neighbours(placed).unionByName(_to_largest(placed))).join(tried, ["a", "b"], "left_anti").checkpoint()
+        new = _confirmed(fresh, sets, percent).checkpoint()
+        tried = tried.unionByName(fresh)
+        if new.isEmpty():
+            break
+        links, stars = links.unionByName(new), _joined(stars, new)
+    # larger regions than a round compares wholly
     wide = _in_components(regions.filter(F.col("n") > NEIGHBOURS + 1), stars)
     rest = wide.join(_mixed(wide), ["tree", "prefix"], "left_semi").select("node", "root").distinct().checkpoint()
     if not rest.isEmpty():
-        more = _exact_pairs(rest, sets, percent).join(tried, ["a", "b"], "left_anti").join(fresh, ["a", "b"], "left_anti")
+        more = _exact_pairs(rest, sets, percent).join(tried, ["a", "b"], "left_anti")
         more = _confirmed(more, sets, percent).checkpoint()
         links, stars = links.unionByName(more), _joined(stars, more)
     return rows.select("rid", "doc_id", "n_shingles", "node"), links, stars
