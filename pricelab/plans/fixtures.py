@@ -137,18 +137,23 @@ def price_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---------------------------------------------------------------- predictions
 
-def lineitem_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+def lineitem_predictions(spark: SparkSession, sf_dir: str, positions: bool = False) -> DataFrame:
     """Actuals with two stand-in model predictions, key, time and the
     chronological split (sequence predictions only where 24 earlier rows of
     the same split exist, as a sequence model would give).
 
-    Long form: key..., ts, split, model, actual, predicted.
+    Long form: key..., ts, split, model, actual, predicted; with ``positions`` (a
+    full sort) also split_pos.
     """
-    from pricelab.operators.series import split_labels
+    from pricelab.operators.series import chronological_split, split_labels
 
     li = table(spark, sf_dir, "lineitem").select(*LINEITEM_KEY, "l_shipdate", "l_quantity", "l_extendedprice")
-    s = split_labels(li, ["l_shipdate", *LINEITEM_KEY], preceded_by=SEQUENCE_LENGTH)
-    common = [*LINEITEM_KEY, F.col("l_shipdate").alias("ts"), "split",
+    order = ["l_shipdate", *LINEITEM_KEY]
+    if positions:
+        s = chronological_split(li, order, keep_position=False).withColumn("preceded", F.col("split_pos") >= SEQUENCE_LENGTH)
+    else:
+        s = split_labels(li, order, preceded_by=SEQUENCE_LENGTH)
+    common = [*LINEITEM_KEY, F.col("l_shipdate").alias("ts"), "split", *(["split_pos"] if positions else []),
               F.col("l_extendedprice").alias("actual")]
     tree = s.select(*common, F.lit("tree").alias("model"),
                     (F.col("l_quantity") * TREE_FACTOR).alias("predicted"))

@@ -22,8 +22,8 @@ from pricelab.plans import fixtures as fx
 from pricelab.plans.cleaning import clean_prices
 from pricelab.plans.model_keys import MODEL_KEYS
 from pricelab.session import scratch_path
-from pricelab.sinks.writers import append_metrics, write_clean
-from pricelab.sources import feeds, prices
+from pricelab.sinks.writers import append_metrics, publish, read_published, write_clean, write_run
+from pricelab.sources import feeds, predictions, prices
 
 ORDER_EVENTS = ["ts", "event_id"]
 MODELS = ["tree", "sequence"]
@@ -108,6 +108,17 @@ def q_clean_store(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(path).select("o_orderkey", "o_totalprice", "year", "month")
 
 
+def q_clean_published(spark: SparkSession, sf: str) -> DataFrame:
+    """K1 for readers: a first version holds half of the clean table, a second one all of it; what is current is read,
+    and so is the first version, which a reader held while the second was published (``version``)."""
+    base, clean = scratch_path(spark, "published"), _orders_clean(spark, sf)
+    publish(clean.where("o_orderkey % 2 = 0"), base)
+    held = read_published(spark, base)
+    publish(clean, base)
+    cols = ["o_orderkey", "o_totalprice", "year", "month"]
+    return held.select(F.lit(1).alias("version"), *cols).unionByName(read_published(spark, base).select(F.lit(2).alias("version"), *cols))
+
+
 def q_metric_store(spark: SparkSession, sf: str) -> DataFrame:
     """K3: the metric table stored under two runs, the first one twice, read back."""
     path, table = scratch_path(spark, "metrics"), metrics.metric_long(_metrics(spark, sf))
@@ -242,7 +253,8 @@ def q_standard_scale(spark: SparkSession, sf: str) -> DataFrame:
 
 def q_tumbling_15m(spark: SparkSession, sf: str) -> DataFrame:
     from pricelab.streaming.streams import tumbling_average
-    return tumbling_average(fx.table(spark, sf, "events"), "ts", "value")
+    w = tumbling_average(fx.table(spark, sf, "events"), "ts", "value")
+    return w.withColumn("avg_value", _r("avg_value"))
 
 
 # ------------------------------------------------------------------ predictions on lineitem
@@ -252,6 +264,26 @@ def q_prediction_errors(spark: SparkSession, sf: str) -> DataFrame:
     return p.select(*fx.LINEITEM_KEY, "model", _r("error", 4).alias("error"))
 
 
+def q_stored_predictions(spark: SparkSession, sf: str) -> DataFrame:
+    """The predictions stored as a CSV run in wide form (one model's error column left out), read back by its header."""
+    p = fx.lineitem_predictions(spark, sf)
+    actual = p.where(F.col("model") == "tree").select(*fx.LINEITEM_KEY, "ts", "actual")
+    preds = {m: p.where(F.col("model") == m).select(*fx.LINEITEM_KEY, "predicted") for m in MODELS}
+    base = scratch_path(spark, "stored_predictions")
+    wide = predictions.to_wide(metrics.aligned_predictions(actual, preds, fx.LINEITEM_KEY), "price", MODELS, errors=["tree"])
+    write_run(wide, base, stamp="20250101_000000", fmt="csv")
+    x = predictions.read_run(spark, base)
+    kinds = dict(fx.table(spark, sf, "lineitem").dtypes)
+    return x.select(*[F.col(c).cast(kinds[c]) for c in fx.LINEITEM_KEY], "model", _r("error", 4).alias("error"))
+
+
+def q_union_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    """U1 by frames: the chunks of the price table as separate frames, one of them without the priority column."""
+    orders = fx.table(spark, sf, "orders").select("o_orderkey", "o_totalprice", "o_orderpriority")
+    parts = [orders.where(F.col("o_orderkey") % 3 == i) for i in range(3)]
+    return prices.union_prices([parts[0], parts[1].drop("o_orderpriority"), parts[2]], allow_missing=True)
+
+
 def _metrics(spark: SparkSession, sf: str) -> DataFrame:
     return metrics.regression_metrics(fx.lineitem_predictions(spark, sf))
 
@@ -368,6 +400,7 @@ BATCH_KEYS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "calendar_features": q_calendar_features,
     "clean_run": q_clean_run,
     "clean_store": q_clean_store,
+    "clean_published": q_clean_published,
     "metric_store": q_metric_store,
     "null_profile": q_null_profile,
     "impute_median": q_impute_median,
@@ -390,6 +423,8 @@ BATCH_KEYS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "standard_scale": q_standard_scale,
     "tumbling_15m": q_tumbling_15m,
     "prediction_errors": q_prediction_errors,
+    "stored_predictions": q_stored_predictions,
+    "union_chunks": q_union_chunks,
     "regression_metrics": q_regression_metrics,
     "metric_table": q_metric_table,
     "metric_long": q_metric_long,

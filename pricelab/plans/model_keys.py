@@ -31,6 +31,7 @@ SPOILED_WIDTH_MOD = 11
 MISSING_LIST_MOD = 23
 MISSING_VALUE_MOD = 37
 UNSEEN_MOD = 7
+TRUNCATED_MOD = 37
 
 
 def _features(spark: SparkSession, sf: str) -> tuple[DataFrame, list[str]]:
@@ -213,7 +214,7 @@ def q_forecast_run(spark: SparkSession, sf: str) -> DataFrame:
 
 def q_latest_file_scan(spark: SparkSession, sf: str) -> DataFrame:
     """Two run-stamped prediction writes; only the newest run is scanned."""
-    p = fx.lineitem_predictions(spark, sf)
+    p = fx.lineitem_predictions(spark, sf, positions=True)
     base = scratch_path(spark, "predictions")
     write_run(p.where(F.col("model") == "sequence"), base, stamp="20250101_000000")
     write_run(p.where(F.col("model") == "tree"), base, stamp="20250101_000001")
@@ -236,6 +237,56 @@ def q_stream_weather(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(f"{root}/out").drop("epoch")
 
 
+def q_stream_dead_letters(spark: SparkSession, sf: str) -> DataFrame:
+    """R1 with faults: a part of the weather documents is cut short, and every batch's first attempt fails; where each
+    document ends up (record, rejected or malformed)."""
+    root = scratch_path(spark, "weather_faults")
+    docs = fx.weather_docs(spark, sf)
+    cut = F.when(F.col("doc_id") % TRUNCATED_MOD == 0, F.expr("left(json, length(json) - 1)")).otherwise(F.col("json"))
+    streams.land_json(docs.withColumn("json", cut), f"{root}/in")
+    seen: set[int] = set()
+
+    def fails_once(batch: DataFrame, epoch: int) -> None:
+        if epoch not in seen:
+            seen.add(epoch)
+            raise RuntimeError("service not reachable")
+
+    streams.supervise(lambda: streams.weather_records_stream(
+        spark, f"{root}/in", f"{root}/solar", f"{root}/out", f"{root}/rejected", f"{root}/ckpt", dead_path=f"{root}/dead", before_batch=fails_once))
+    ends = {"record": f"{root}/out", "rejected": f"{root}/rejected", "malformed": f"{root}/dead/documents"}
+    failures = spark.read.parquet(f"{root}/dead/failures").agg(F.count_distinct("epoch").alias("n"), F.max("attempt").alias("m"))
+    logged = failures.select(((F.col("n") > 0) & (F.col("m") == 1)).alias("failures_logged"))
+    rows = [spark.read.parquet(p).select("doc_id", F.lit(k).alias("status")) for k, p in ends.items()]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2]).crossJoin(F.broadcast(logged))
+
+
+def q_solar_total_table(spark: SparkSession, sf: str) -> DataFrame:
+    """generation documents land in a table partitioned by settlement day, which answers for every day."""
+    root = scratch_path(spark, "generation_table")
+    fx.generation_docs(spark, sf).select("json").write.text(f"{root}/in")
+    streams.generation_table_stream(spark, f"{root}/in", f"{root}/table", f"{root}/ckpt").awaitTermination()
+    return streams.solar_total_of_table(spark.read.parquet(f"{root}/table"))
+
+
+def q_tumbling_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """R3 on a stream: the events land in time order, in two parts that share a few events (sent twice); the watermark closes
+    the windows that it has passed, duplicates count once."""
+    root = scratch_path(spark, "tumbling")
+    ev = fx.table(spark, sf, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "value")
+    half = ev.agg(F.expr("timestamp_micros(cast((unix_micros(min(ts)) + unix_micros(max(ts))) / 2 as bigint))").alias("__half"))
+    x = ev.crossJoin(F.broadcast(half))
+    late = F.col("ts") >= F.col("__half")
+    again = (F.col("ts") >= F.expr("__half - interval 30 minutes")) & ~late
+    for part in (x.where(~late), x.where(late | again)):
+        part.drop("__half").write.mode("append").parquet(f"{root}/in")
+        stream = spark.readStream.schema(ev.schema).parquet(f"{root}/in")
+        out = streams.tumbling_average_stream(stream, "ts", "value", ["event_id"])
+        streams.start_to_parquet(out, f"{root}/out", f"{root}/ckpt").awaitTermination()
+    done = spark.read.parquet(f"{root}/out")
+    ntz = [F.col(c).cast("timestamp_ntz").alias(c) for c in ("window_start", "window_end")]
+    return done.select(*ntz, "n", F.round("avg_value", 6).alias("avg_value"))
+
+
 def q_stream_prices(spark: SparkSession, sf: str) -> DataFrame:
     """R2: price ticks appended as they land."""
     root = scratch_path(spark, "price_stream")
@@ -260,4 +311,7 @@ MODEL_KEYS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "latest_file_scan": q_latest_file_scan,
     "stream_weather": q_stream_weather,
     "stream_prices": q_stream_prices,
+    "stream_dead_letters": q_stream_dead_letters,
+    "solar_total_table": q_solar_total_table,
+    "tumbling_stream": q_tumbling_stream,
 }

@@ -154,6 +154,9 @@ ORACLE_SQL: dict[str, str] = {
     "clean_store": f"""
       SELECT o_orderkey, o_totalprice, CAST(year(o_orderdate) AS INTEGER) AS year, CAST(month(o_orderdate) AS INTEGER) AS month
       FROM ({ORDERS_CLEAN})""",
+    "clean_published": f"""
+      SELECT version, o_orderkey, o_totalprice, CAST(year(o_orderdate) AS INTEGER) AS year, CAST(month(o_orderdate) AS INTEGER) AS month
+      FROM ({ORDERS_CLEAN}), (SELECT unnest([1, 2])::INTEGER AS version) WHERE version = 2 OR o_orderkey % 2 = 0""",
     "metric_store": f"""
       SELECT run_id, metric, model, value FROM ({METRIC_LONG}), (SELECT unnest(['first', 'second']) AS run_id)""",
     "null_profile": f"""
@@ -282,6 +285,11 @@ ORACLE_SQL: dict[str, str] = {
     "prediction_errors": f"""
       SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, model, round(actual - predicted, 4) AS error
       FROM ({PRED_LONG})""",
+    "stored_predictions": f"""
+      SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, model, round(actual - predicted, 4) AS error
+      FROM ({PRED_LONG})""",
+    "union_chunks": """
+      SELECT o_orderkey, o_totalprice, CASE WHEN o_orderkey % 3 <> 1 THEN o_orderpriority END AS o_orderpriority FROM orders""",
     "regression_metrics": f"""
       SELECT model, split, n, round(rmse, 4) AS rmse, round(mae, 4) AS mae, round(mse, 0) AS mse, round(r2, 6) AS r2
       FROM ({METRICS})""",
@@ -347,6 +355,16 @@ ORACLE_SQL: dict[str, str] = {
     "weather_guard": f"""
       SELECT doc_id, CASE WHEN temperature IS NULL THEN 'rejected' ELSE 'accepted' END AS status,
              round(temperature, 6) AS temperature FROM ({WEATHER})""",
+    "solar_total_table": SOLAR_TOTAL,
+    "stream_dead_letters": f"""
+      SELECT doc_id, CASE WHEN doc_id % 37 = 0 THEN 'malformed' WHEN temperature IS NULL THEN 'rejected' ELSE 'record' END AS status,
+             TRUE AS failures_logged FROM ({WEATHER})""",
+    "tumbling_stream": """
+      WITH e AS (SELECT *, max(ts) OVER () - INTERVAL '1 hour' AS closed FROM events)
+      SELECT time_bucket(INTERVAL '15 minutes', ts) AS window_start,
+             time_bucket(INTERVAL '15 minutes', ts) + INTERVAL '15 minutes' AS window_end,
+             count(value) AS n, round(avg(value), 6) AS avg_value
+      FROM e GROUP BY 1, closed HAVING time_bucket(INTERVAL '15 minutes', ts) + INTERVAL '15 minutes' <= closed""",
     "weather_record": f"""
       SELECT w.observed_at AS timestamp, w.doc_id, round(w.temperature, 6) AS temperature,
              round(w.wind_speed, 6) AS wind_speed, w.humidity, w.cloud_cover AS cloud_coverage, s.solar_generation

@@ -91,20 +91,19 @@ def latest_run(spark: SparkSession, base: str, glob: str = "*") -> str:
     A run is a folder ``run=...`` that holds ``_SUCCESS``, with all its files at
     any depth (partition folders included); unfinished runs don't count. The
     run's time is its newest file's modification time and the folder name (a
-    run stamp) breaks ties. The listing is aggregated by Spark; one path comes
-    back.
+    run stamp) breaks ties. The listing is aggregated by Spark; folders come back
+    one after the other, newest first, until a finished one.
     """
     files = (spark.read.format("binaryFile").option("pathGlobFilter", glob)
              .option("recursiveFileLookup", "true").load(base).select("path", "modificationTime"))
     folder = F.regexp_extract("path", r"^(.*/run=[^/]*)/", 1)
     runs = (files.groupBy(folder.alias("folder")).agg(F.max("modificationTime").alias("mtime"))
             .where(F.col("folder") != ""))
-    finished = [r["folder"] for r in runs.select("folder").collect() if path_exists(spark, f"{r['folder']}/_SUCCESS")]
-    runs = runs.where(F.col("folder").isin(finished))
-    best = runs.agg(F.max(F.struct("mtime", "folder")).alias("m")).collect()[0]["m"]
-    if best is None:
-        raise FileNotFoundError(f"no files matching {glob!r} under {base}")
-    return best["folder"]
+    # newest first, until one is finished
+    for r in runs.orderBy(F.col("mtime").desc(), F.col("folder").desc()).toLocalIterator():
+        if path_exists(spark, f"{r['folder']}/_SUCCESS"):
+            return r["folder"]
+    raise FileNotFoundError(f"no files matching {glob!r} under {base}")
 
 
 def union_prices(frames: list[DataFrame], allow_missing: bool = False) -> DataFrame:
