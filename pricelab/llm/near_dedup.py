@@ -251,8 +251,8 @@ def _exact_pairs(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             .select("x", "band", "block", *[F.col(c).alias(f"{c}_a") for c in ("node", "root", "n", "i", "m")]))
     asked = left.select("x", "band", "block").distinct()
     right = near.join(asked, ["x", "band"]).select("x", "band", "block", *[F.col(c).alias(f"{c}_b") for c in ("node", "root", "n", "i", "m")])
-    # shared at most: those before this shingle, itself and those after it
-    most = F.least("i_a", "i_b") + 1 + F.least(F.col("m_a") - F.col("i_a"), F.col("m_b") - F.col("i_b")) - 1
+    # at the first shingle that a pair shares: that one and those after it; a similar pair stands this test there
+    most = F.least(F.col("m_a") - F.col("i_a"), F.col("m_b") - F.col("i_b"))
     alike = ((100 + percent) * most >= percent * (F.col("n_a") + F.col("n_b"))) & (
         100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
     met = left.join(right, ["x", "band", "block"]).filter((F.col("root_a") != F.col("root_b")) & alike)
