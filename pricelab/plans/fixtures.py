@@ -160,3 +160,16 @@ def lineitem_predictions(spark: SparkSession, sf_dir: str, positions: bool = Fal
     seq = s.where("preceded").select(
         *common, F.lit("sequence").alias("model"), (F.col("l_quantity") * SEQUENCE_FACTOR).alias("predicted"))
     return tree.unionByName(seq)
+
+
+def lineitem_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same predictions with a column per model (rows that share a key stay apart): key..., ts, actual,
+    tree_predicted, sequence_predicted (NULL where the sequence has none), and the errors."""
+    from pricelab.operators.series import split_labels
+
+    li = table(spark, sf_dir, "lineitem").select(*LINEITEM_KEY, "l_shipdate", "l_quantity", "l_extendedprice")
+    s = split_labels(li, ["l_shipdate", *LINEITEM_KEY], preceded_by=SEQUENCE_LENGTH)
+    x = s.select(*LINEITEM_KEY, F.col("l_shipdate").alias("ts"), F.col("l_extendedprice").alias("actual"),
+                 (F.col("l_quantity") * TREE_FACTOR).alias("tree_predicted"),
+                 F.when(F.col("preceded"), F.col("l_quantity") * SEQUENCE_FACTOR).alias("sequence_predicted"))
+    return x.withColumns({f"{m}_error": F.col("actual") - F.col(f"{m}_predicted") for m in ("tree", "sequence")})

@@ -266,11 +266,8 @@ def q_prediction_errors(spark: SparkSession, sf: str) -> DataFrame:
 
 def q_stored_predictions(spark: SparkSession, sf: str) -> DataFrame:
     """The predictions stored as a CSV run in wide form (one model's error column left out), read back by its header."""
-    p = fx.lineitem_predictions(spark, sf)
-    actual = p.where(F.col("model") == "tree").select(*fx.LINEITEM_KEY, "ts", "actual")
-    preds = {m: p.where(F.col("model") == m).select(*fx.LINEITEM_KEY, "predicted") for m in MODELS}
     base = scratch_path(spark, "stored_predictions")
-    wide = predictions.to_wide(metrics.aligned_predictions(actual, preds, fx.LINEITEM_KEY), "price", MODELS, errors=["tree"])
+    wide = predictions.to_wide(fx.lineitem_wide(spark, sf), "price", MODELS, errors=["tree"])
     write_run(wide, base, stamp="20250101_000000", fmt="csv")
     x = predictions.read_run(spark, base)
     kinds = dict(fx.table(spark, sf, "lineitem").dtypes)
