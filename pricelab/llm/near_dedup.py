@@ -187,15 +187,20 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _regions(classes: DataFrame) -> DataFrame:
-    """(tree, prefix, order, node) of the classes that share a region with another; deep where a region is large."""
+    """(tree, prefix, n, node) of the classes that share a region of n classes with another."""
     trees = SIGNATURE // DEPTH
     width = 4 * DEPTH
     flat = classes.select("node", F.posexplode(F.array(*[
         F.xxhash64(F.substring("sig", 1 + width * t, width)) for t in range(trees)])).alias("tree", "prefix"))
     shared = flat.groupBy("tree", "prefix").agg(F.count("*").alias("n")).filter("n > 1")
-    rows = flat.join(shared, ["tree", "prefix"]).select("tree", "prefix", "node", "n")
+    return flat.join(shared, ["tree", "prefix"]).select("tree", "prefix", "n", "node").checkpoint()
+
+
+def _ordered(regions: DataFrame, classes: DataFrame) -> DataFrame:
+    """``regions`` with ``order``, the classes' signatures in the order of the tree."""
+    width = 4 * DEPTH
     order = F.concat(F.expr(f"substring(sig, tree * {width} + 1, {4 * SIGNATURE})"), F.expr(f"substring(sig, 1, tree * {width})"))
-    return rows.join(classes.select("node", "sig"), "node").select("tree", "prefix", "n", order.alias("order"), "node").checkpoint()
+    return regions.join(classes.select("node", "sig"), "node").withColumn("order", order).drop("sig")
 
 
 def _cut(regions: DataFrame) -> DataFrame:
@@ -216,8 +221,7 @@ def _cut(regions: DataFrame) -> DataFrame:
 
 
 def _in_components(regions: DataFrame, stars: DataFrame) -> DataFrame:
-    return (regions.join(stars, "node", "left").withColumn("root", F.coalesce("root", "node"))
-            .select("tree", "prefix", "order", "node", "root"))
+    return regions.join(stars, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
 
 def _mixed(placed: DataFrame) -> DataFrame:
@@ -278,11 +282,12 @@ def link_classes(documents: DataFrame, similarity: float = 0.8, shingle_words: i
     tried = _pairs(regions.join(anchor, ["tree", "prefix"]).select("a", F.col("node").alias("b"))).checkpoint()
     links = _confirmed(tried, sets, percent).checkpoint()
     stars = components(links)
-    placed = _in_components(_cut(regions), stars)
+    # only regions of several components go on, and only from here on do they carry signatures
+    placed = _in_components(regions, stars)
+    mixed = _ordered(placed.join(_mixed(placed), ["tree", "prefix"], "left_semi"), classes).checkpoint()
     w = Window.partitionBy("tree", "prefix").orderBy("order", "node")
     near = F.array(*[F.struct(F.lag("node", k).over(w).alias("a"), F.lag("root", k).over(w).alias("r")) for k in range(1, NEIGHBOURS + 1)])
-    found = (placed.join(_mixed(placed), ["tree", "prefix"], "left_semi")
-             .withColumn("near", near).select("node", "root", F.explode("near").alias("x"))
+    found = (_cut(mixed).withColumn("near", near).select("node", "root", F.explode("near").alias("x"))
              .filter("x.a is not null and x.r <> root").select("x.a", F.col("node").alias("b")))
     fresh = _pairs(found).join(tried, ["a", "b"], "left_anti").checkpoint()
     new = _confirmed(fresh, sets, percent).checkpoint()
