@@ -1,6 +1,6 @@
 """Language identification by prediction by partial matching (PPM).
 
-One variable-order byte context tree per language, all kept in one set of tables:
+One variable-order byte context tree per language:
 
 * counts of every (k+1)-byte string, k = 0 .. ``max_order``, per language, are summed by Spark over a
   bounded sample of labelled documents (``docs_per_language`` documents of each language in expectation,
@@ -16,7 +16,8 @@ posterior probability under equal priors. A text that is null or has no letter i
 as is every text when nothing was learned. Texts are used whole, in pieces of ``STEP_BYTES``
 with the bytes before them as context, so memory does not grow with a text's length. Repeated rows give
 repeated result rows; an empty table gives an empty result. Columns of the input that have the names of
-the result's columns are replaced; all others pass through.
+the result's columns are replaced; all others pass through. Any number of languages: their tables are made and
+looked up by ``GROUP`` of them, and a text's cost under one language depends on no other.
 """
 
 from __future__ import annotations
@@ -26,16 +27,18 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pricelab.llm import textbytes as tb
+from pricelab.session import ensure_checkpoint_dir
 
 UNDETERMINED = "und"
-#: A model's tables hold a cost for each language, so their number is limited.
-MAX_LANGUAGES = 256
+#: Languages whose tables are dense in one another; further languages get tables of their own.
+GROUP = 256
 PAD = 0x0A
 #: Bytes of text that one step looks up; its tables of numbers take about a hundred times as much.
 STEP_BYTES = 1 << 18
@@ -88,18 +91,16 @@ def _count(max_order: int):
 
 
 @dataclass
-class Model:
-    """Frozen statistics. ``grams[k]``: sorted strings of k + 1 bytes; ``costs[k]``: bits of each one's last
-    byte per language; ``escapes[k]``: bits of the escape from context ``grams[k - 1]``."""
+class Tables:
+    """Frozen statistics of some languages. ``grams[k]``: sorted strings of k + 1 bytes; ``costs[k]``: bits of each one's
+    last byte per language; ``escapes[k]``: bits of the escape from context ``grams[k - 1]``."""
 
-    languages: list[str]
-    max_order: int
+    n_languages: int
     grams: list[np.ndarray]
     costs: list[np.ndarray]
     escapes: list[np.ndarray]
-    key: str
 
-    def tables(self) -> list[np.ndarray]:
+    def steps(self) -> list[np.ndarray]:
         """next[k][number of the string before * 256 + byte]: the number of the string with that byte added,
         or one past the last number if it isn't known."""
         out, before = [], np.zeros(1, np.uint64)
@@ -112,22 +113,42 @@ class Model:
         return out
 
 
+@dataclass
+class Model:
+    """The languages by name, and the tables of each ``GROUP`` of them."""
+
+    languages: list[str]
+    max_order: int
+    groups: list[Tables]
+    key: str
+
+
 def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id",
         docs_per_language: int = 1000, max_order: int = 3, seed: int = 17) -> Model:
     """Learn from the rows of ``labelled`` that have a language and a text."""
     rows = (labelled.select(F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang"),
                             F.pmod(F.xxhash64(F.col(doc_id), F.lit(seed)), F.lit(1 << 30)).alias("h"))
             .filter("lang is not null and text is not null"))
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(MAX_LANGUAGES + 1).collect()}
-    if len(sizes) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    languages = sorted(sizes)
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("n")).toPandas()  # a row for each language, as in the model
+    languages = sorted(sizes["lang"])
     if not languages:
-        return Model([], max_order, [], [], [], uuid.uuid4().hex)
-    share = F.create_map(*[F.lit(x) for k in languages for x in (k, min(1 << 30, int(docs_per_language / sizes[k] * (1 << 30)) + 1))])
-    sample = rows.filter(F.col("h") < F.element_at(share, F.col("lang"))).select("lang", "text")
+        return Model([], max_order, [], uuid.uuid4().hex)
+    cuts = [(x, min(1 << 30, int(docs_per_language / n * (1 << 30)) + 1)) for x, n in zip(sizes["lang"], sizes["n"].tolist())]
+    cuts = labelled.sparkSession.createDataFrame(cuts, "lang string, cut long")
+    sample = rows.join(F.broadcast(cuts), "lang").filter("h < cut").select("lang", "text")
     counts = (sample.mapInArrow(tb.frugal(_count(max_order)), "lang string, k int, gram long, n long")
-              .groupBy("k", "gram", "lang").agg(F.sum("n").alias("n")).toPandas())
+              .groupBy("k", "gram", "lang").agg(F.sum("n").alias("n")))
+    parts = [languages[i: i + GROUP] for i in range(0, len(languages), GROUP)]
+    if len(parts) > 1:
+        ensure_checkpoint_dir(labelled.sparkSession)
+        counts = counts.checkpoint()
+    groups = [_tables(part, (counts if len(parts) == 1 else counts.filter(F.col("lang").isin(part))).toPandas(), max_order)
+              for part in parts]
+    return Model(languages, max_order, groups, uuid.uuid4().hex)
+
+
+def _tables(languages: list[str], counts: pd.DataFrame, max_order: int) -> Tables:
+    """The tables of ``languages`` from the counts (k, gram, lang, n) of their strings."""
     number = {x: i for i, x in enumerate(languages)}
     grams, costs, escapes = [], [], []
     for k in range(max_order + 1):
@@ -156,12 +177,19 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", doc_id: str
         costs.append(np.where(c > 0, seen, escape[parent] + shorter))
         escapes.append(escape)
     as32 = lambda xs: [np.ascontiguousarray(x.T.astype(np.float32)) for x in xs]
-    return Model(languages, max_order, grams, as32(costs), as32(escapes), uuid.uuid4().hex)
+    return Tables(len(languages), grams, as32(costs), as32(escapes))
 
 
 def code_lengths(model: Model, buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Bits of each text under each language."""
-    tables, order, n_langs = tb.kept(("langid", model.key), model.tables), model.max_order, len(model.languages)
+    steps = tb.kept(("langid", model.key), lambda: [g.steps() for g in model.groups])
+    none = [np.zeros((len(offsets) - 1, 0))]
+    return np.hstack([*none, *(_group_lengths(g, s, model.max_order, buf, offsets) for g, s in zip(model.groups, steps))])
+
+
+def _group_lengths(model: Tables, tables: list[np.ndarray], order: int, buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Bits of each text under each language of one group."""
+    n_langs = model.n_languages
     bits = np.zeros((len(offsets) - 1, n_langs))
     for doc, flat, begin, end in _pieces(buf, offsets, order):
         byte = flat.astype(np.int32)

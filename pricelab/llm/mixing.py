@@ -8,8 +8,9 @@
    above is shared again by weight until none is above.
 3. A source's whole part of target / words is that many full copies of the source. The remaining budget
    is fitted by length: every length gets its proportional count, rounded down; what is still left is a
-   bounded-knapsack problem over the documents left of each length, solved by dynamic programming on a
-   bit set of reachable sums, so the source's sum is as close under its target as its lengths allow.
+   bounded-knapsack problem over the documents left of each length, solved by dynamic programming over the
+   reachable sums in a window that grows until no choice of documents comes closer (``fit_counts``), so the
+   source's sum is as close under its target as its lengths allow.
 4. The chosen number of documents of each (source, length) are those with the smallest seeded hashes of
    (doc_id, text). The cut is found through hash ranges of about ``RANGE_ROWS`` rows, so that a (source,
    length) that holds a third of all rows is never sorted in one task.
@@ -25,6 +26,7 @@ from __future__ import annotations
 import math
 from fractions import Fraction
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -34,7 +36,10 @@ from pricelab.session import ensure_checkpoint_dir
 
 WORD = r"[^\x20\x09-\x0D]+"
 RANGE_ROWS = 256
-DP_WORDS = 1 << 16
+#: Words that the dynamic programme of a source starts with.
+WINDOW = 1 << 16
+#: Its largest table of sums (five bytes each), for sources of a few very long lengths that fit no sum well.
+MOST_SUMS = 1 << 25
 KEY = ["__mix_none", "__mix_source"]
 
 
@@ -70,42 +75,80 @@ def targets(sizes: DataFrame, weights: tuple[float, ...], budget: float, max_epo
         *KEY, "source_size", F.coalesce(F.least("cap", F.col("first") * F.col("w")), F.col("cap")).alias("target"))
 
 
-def fit_counts(lengths: list[int], counts: list[int], rest: int) -> list[int]:
-    """How many documents of each length to take, so that their words come to ``rest`` or as little under it
-    as the dynamic programme can reach."""
-    total = sum(a * b for a, b in zip(lengths, counts))
-    if rest <= 0 or total <= 0:
-        return [0] * len(lengths)
-    take = [c * rest // total for c in counts]
-    left = rest - sum(a * b for a, b in zip(lengths, take))
-    # lengths whose proportional count lost most by rounding come first; equal losses by length
-    order = sorted((i for i in range(len(lengths)) if lengths[i] > 0 and counts[i] > take[i]),
-                   key=lambda i: (-Fraction(counts[i] * rest % total, total), lengths[i]))
-    rest_order = []
+def _knapsack(lengths: list[int], free: list[int], order: list[int], goal: int) -> tuple[int, list[int]]:
+    """The largest sum up to ``goal`` that ``free`` documents of each length reach, and how many of each it takes.
+
+    Counts are split into powers of two; ``first`` holds the part that reached a sum first, so a sum's parts are
+    found by walking down, and memory is a few bytes a word of ``goal``, however many parts there are."""
+    first = np.full(goal + 1, -1, np.int32)
+    first[0] = 0
+    parts = [(0, 0)]
     for i in order:
-        if left > DP_WORDS and lengths[i] <= left:
-            take[i] += 1
-            left -= lengths[i]
-        if counts[i] > take[i]:
-            rest_order.append(i)
-    # bounded knapsack: counts split into powers of two, reachable sums as the bits of one number
-    reach, mask, trail = 1, (1 << (left + 1)) - 1, []
-    for i in rest_order:
-        free, part = min(counts[i] - take[i], left // lengths[i]), 1
-        while free > 0 and not reach >> left & 1:
-            part_n = min(part, free)
-            trail.append((i, part_n, reach))
-            reach |= (reach << (lengths[i] * part_n)) & mask
-            free -= part_n
+        left, part = min(free[i], goal // lengths[i]), 1
+        while left > 0 and first[goal] < 0:
+            n = min(part, left)
+            parts.append((i, n))
+            w = lengths[i] * n
+            fresh = (first[w:] < 0) & (first[: goal + 1 - w] >= 0)
+            first[w:][fresh] = len(parts) - 1
+            left -= n
             part *= 2
-        if reach >> left & 1:
+        if first[goal] >= 0:
             break
-    at = reach.bit_length() - 1
-    for i, n, before in reversed(trail):
-        if not before >> at & 1:
-            take[i] += n
-            at -= n * lengths[i]
-    return take
+    best = at = int(np.flatnonzero(first >= 0)[-1])
+    take = [0] * len(lengths)
+    while at:
+        i, n = parts[first[at]]
+        take[i] += n
+        at -= n * lengths[i]
+    return best, take
+
+
+def fit_counts(lengths: list[int], counts: list[int], rest: int, window: int = WINDOW) -> list[int]:
+    """How many documents of each length to take, so that their words come to ``rest`` or as little under it as any
+    choice does.
+
+    Every length gets its proportional count, rounded down. What is left above ``window`` words goes to single documents
+    of the lengths that lost most by the rounding, the last ``window`` words to the dynamic programme. If that misses
+    the best sum that the lengths' common divisor allows, the window doubles; once it holds all that is left, 1, 2, 4, ...
+    documents of each length are given back to it. No best sum needs more given back than twice the largest length (over
+    the common divisor): of more changes, some would cancel out. So the result is exact wherever its last table has at
+    most ``MOST_SUMS`` sums, that is but for sources of a few lengths around 10,000 words and more that reach no sum
+    near enough; those keep the best sum found so far. In nearly every case the first window is enough.
+    """
+    use = [i for i in range(len(lengths)) if lengths[i] > 0 and counts[i] > 0]
+    total = sum(lengths[i] * counts[i] for i in use)
+    none = [0] * len(lengths)
+    if rest <= 0 or total <= 0:
+        return none
+    if rest >= total:
+        return [c if size > 0 else 0 for size, c in zip(lengths, counts)]
+    share = [counts[i] * rest // total if lengths[i] > 0 else 0 for i in range(len(lengths))]
+    # lengths whose proportional count lost most by rounding come first; equal losses by length
+    order = sorted(use, key=lambda i: (-Fraction(counts[i] * rest % total, total), lengths[i]))
+    divisor = math.gcd(*(lengths[i] for i in use))
+    goal, most = rest - rest % divisor, 2 * max(lengths[i] for i in use) // divisor
+    best_sum, best, back = -1, none, 0
+    while True:
+        take = [max(0, n - back) for n in share]
+        left = goal - sum(a * b for a, b in zip(lengths, take))
+        whole = left <= window
+        for i in order:
+            if left > window and lengths[i] <= left and counts[i] > take[i]:
+                take[i] += 1
+                left -= lengths[i]
+        free = [c - n if size > 0 else 0 for size, c, n in zip(lengths, counts, take)]
+        if best != none and left // divisor >= MOST_SUMS:
+            return best
+        units = [size // divisor for size in lengths]
+        reached, more = _knapsack(units, free, order, left // divisor)
+        if goal - left + reached * divisor > best_sum:
+            best_sum, best = goal - left + reached * divisor, [a + b for a, b in zip(take, more)]
+        if best_sum == goal or (whole and (back >= most or not any(share[i] > back for i in use))):
+            return best
+        if whole:
+            back = max(1, 2 * back)
+        window *= 2
 
 
 def _fit(rows: pd.DataFrame) -> pd.DataFrame:

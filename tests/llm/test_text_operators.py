@@ -163,21 +163,33 @@ def test_mix_targets_and_fit(spark, docs, odd):
         assert sorted(map(tuple, again), key=str) == sorted(map(tuple, out), key=str)
 
 
-def test_budget_fit_equals_brute_force():
+@pytest.mark.parametrize("window", [1, 8, mixing.WINDOW])
+def test_budget_fit_equals_brute_force(window):
+    """The best sum of all choices, whatever the window that the programme starts with."""
     rng = random.Random(3)
-    for _ in range(200):
-        lengths = rng.sample(range(1, 40), rng.randint(1, 5))
-        counts = [rng.randint(1, 3) for _ in lengths]
-        total = sum(a * b for a, b in zip(lengths, counts))
-        rest = rng.randint(0, total)
-        take = mixing.fit_counts(lengths, counts, rest)
+    for _ in range(300):
+        lengths = rng.sample(range(0, 40), rng.randint(1, 5))
+        counts = [rng.randint(0, 4) for _ in lengths]
+        rest = rng.randint(0, sum(a * b for a, b in zip(lengths, counts)) + 2)
+        take = mixing.fit_counts(lengths, counts, rest, window)
         assert all(0 <= t <= c for t, c in zip(take, counts))
-        floor = [c * rest // total for c in counts]
-        best, sums = 0, {sum(a * b for a, b in zip(lengths, floor))}
-        for a, c, f in zip(lengths, counts, floor):
-            sums = {s + a * k for s in sums for k in range(c - f + 1)}
-        best = max(s for s in sums if s <= rest)
-        assert sum(a * b for a, b in zip(lengths, take)) == best
+        sums = {0}
+        for a, c in zip(lengths, counts):
+            sums = {s + a * k for s in sums for k in range(c + 1)}
+        assert sum(a * b for a, b in zip(lengths, take)) == max(s for s in sums if s <= rest)
+
+
+def test_budget_fit_of_long_documents():
+    """More words left than the first window holds."""
+    assert mixing.fit_counts([70_000, 100_000], [1, 1], 100_000) == [0, 1]
+    rng = random.Random(5)
+    lengths = rng.sample(range(20, 60_000), 600)
+    counts = [rng.randint(1, 50) for _ in lengths]
+    rest = sum(a * b for a, b in zip(lengths, counts)) * 37 // 100
+    assert sum(a * b for a, b in zip(lengths, mixing.fit_counts(lengths, counts, rest))) == rest
+    # two lengths that fit no sum well: the best sum found, not a crash
+    take = mixing.fit_counts([999_983, 1_000_003], [10**6] * 2, 10**11 + 12_345)
+    assert 0 <= 10**11 + 12_345 - take[0] * 999_983 - take[1] * 1_000_003 < 999_983
 
 
 def test_mix_of_one_large_group(spark):
@@ -242,6 +254,23 @@ def test_pieces_of_a_long_text_add_up(monkeypatch, spark, docs):
     assert np.allclose(langid.code_lengths(model, buf, offsets), whole, rtol=1e-6)
 
 
+def test_groups_of_languages(spark, docs, monkeypatch):
+    """Any number of languages: code lengths don't depend on how the languages are grouped."""
+    texts = [r.text for r in docs.limit(150).collect()]
+    rows = [(i, f"l{i:03}", t) for i, t in enumerate(texts + [t[::-1] for t in texts])]
+    table = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    whole = langid.fit(table)
+    assert len(whole.languages) == len(rows) == 300 and len(whole.groups) == 2
+    monkeypatch.setattr(langid, "GROUP", 70)
+    parts = langid.fit(table)
+    assert len(parts.groups) == 5 and parts.languages == whole.languages
+    buf = np.frombuffer("".join(t for _, _, t in rows[:5]).encode().lower() + b"Zq9", np.uint8)
+    offsets = np.array([0, len(buf) // 2, len(buf)])
+    assert np.allclose(langid.code_lengths(whole, buf, offsets), langid.code_lengths(parts, buf, offsets), rtol=1e-5)
+    own = {r.doc_id: r.lang_pred for r in langid.identify(table.withColumnRenamed("lang", "label"), parts).collect()}
+    assert sum(own[i] == x for i, x, _ in rows) > 250
+
+
 def test_held_out_accuracy(spark):
     out = QUERIES["op3_language_id"](spark, SF_CHECK)
     truth = spark.read.parquet(f"{SF_CHECK}/documents.parquet").select("doc_id", "lang", "n_chars")
