@@ -1,6 +1,7 @@
 """Document fingerprints by Order MinHash.
 
-A text is a sequence of tokens: runs of up to ``TOKEN`` characters that are no white space. Its k-mers are the runs of
+A text is a sequence of tokens: its words of up to ``TOKEN`` characters that are no white space; in a longer run (a text without
+spaces, base64) every character begins a token of ``GRAM`` characters, so an edit changes the tokens around it alone. Its k-mers are the runs of
 ``KMER`` tokens, each numbered by its occurrence (the first, second, ... time that k-mer stands in the text),
 so equal k-mers stay apart. Every numbered k-mer has one hash of ``HASH_BITS`` bits, the same in every text, whatever
 its length; signature element j orders the k-mers by the distance of their hash above j / ``ELEMENTS`` (a power of two) of the hash range (wrapping around), selects the ``PICK`` minimal
@@ -26,11 +27,17 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 TOKEN = 16
+GRAM = 6
 KMER = 2
 PICK = 2
 ELEMENTS = 64
 NONE = "-"
 
+_CHAR = r"[^\x20\x09-\x0D]"
+_WORD = rf"(?<!{_CHAR}){_CHAR}{{1,{TOKEN}}}+(?!{_CHAR})"
+#: The tokens are its first group; what it consumes is a whole word, or one character of a longer run.
+TOKENS = rf"(?=({_WORD}|{_CHAR}{{1,{GRAM}}}))(?:{_WORD}|{_CHAR})"
+
 #: Bits of a k-mer's hash, the same ones in every text, and of its place where both are one number.
 HASH_BITS = 42
 PLACE_BITS = 20
@@ -45,7 +52,7 @@ def with_elements(df: DataFrame, text: str, out: str, packed_tokens: int = 1 <<
 
     Texts of up to ``packed_tokens`` tokens (at most 1 << PLACE_BITS) sort packed numbers, longer ones pairs; the
     hashes are the same ones in both."""
-    df = df.withColumn("__all", F.regexp_extract_all(F.col(text), F.lit(r"[^\x20\x09-\x0D]{1,%d}" % TOKEN), F.lit(0)))
+    df = df.withColumn("__all", F.regexp_extract_all(F.col(text), F.lit(TOKENS), F.lit(1)))
     tokens, none = F.col("__all"), F.array().cast("array<string>")
     few = F.size("__all") <= packed_tokens
     df = _signed(df.withColumn("__t", F.when(few, tokens).otherwise(none)), "__short", packed=True)

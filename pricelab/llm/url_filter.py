@@ -4,13 +4,16 @@ Rules: (host suffix, path prefix, verdict); a rule fits its host and all subdoma
 with the rule's; the longest rule wins.
 
 The method: two smoothed variable-order Markov models over characters, one of the urls that a rule accepts and
-one of those that a rule rejects. Contexts of up to ``ORDER`` characters count as known if they hold at least
-1 / ``KEPT`` of a model's characters of that order, which bounds the model's tables by the pigeonhole
-principle (``KEPT`` strings and contexts of each order and class) and lets them be broadcast at any input size.
+one of those that a rule rejects. Every context of up to ``ORDER`` characters that a class has shown is known to its model.
 In a known context the probability of a character is smoothed towards the shorter context's by Witten-Bell:
 (n(context, c) + d(context) * p(c | shorter)) / (n(context) + d(context)); an unknown context leaves
 the shorter one's, and below order 0 every one of ``ALPHABET`` characters is as likely.
 
+The models are tables. What a character adds to a score follows from it and the ``ORDER`` before it, so each distinct
+string of ORDER + 1 characters is scored once, order by order, in joins whose keys hold at most one row for each
+character; then every character meets its string's part: the strings that are 1 / ``HOT`` of all
+characters or more (at most ``HOT`` by the pigeonhole principle) by a broadcast, the others in a plain join.
+
 A url's score is the difference of its two log-likelihoods divided by its length. The models learn from
 four fifths of the decided urls (by a hash of the url); the threshold is the one that decides most of the
 other fifth rightly, with each class weighing a half (ties: the smallest). Urls from there on are allowed.
@@ -30,7 +33,7 @@ from pyspark.sql import functions as F
 from pricelab.session import ensure_checkpoint_dir
 
 ORDER = 3
-KEPT = 20_000
+HOT = 20_000
 ALPHABET = 256
 BINS = 400  # of the threshold search, over scores from -5 to 5
 START = "\u0002"
@@ -87,50 +90,51 @@ def _models(decided: DataFrame) -> tuple[list[DataFrame], list[DataFrame]]:
     strings, contexts, shorter = [], [], None
     for k in range(ORDER + 1):
         grams = full.groupBy(_tail(k).alias("s"), _context(k).alias("c")).agg(F.sum("na").alias("na"), F.sum("nb").alias("nb"))
-        totals = grams.agg(F.coalesce(F.sum("na"), F.lit(0)).alias("ta"), F.coalesce(F.sum("nb"), F.lit(0)).alias("tb"))
-        # at most KEPT per class: what is kept holds 1 / KEPT of the class's characters or more
-        known = (grams.groupBy("c").agg(*[f(x).alias(y) for x in "ab" for f, x, y in (
-                    (F.sum, f"n{x}", f"n{x}_c"), (lambda col: F.sum((F.col(col) > 0).cast("long")), f"n{x}", f"d{x}_c"))])
-                 .crossJoin(F.broadcast(totals)))
-        keep_a, keep_b = F.col("na_c") * KEPT >= F.col("ta"), F.col("nb_c") * KEPT >= F.col("tb")
-        keep_a, keep_b = keep_a & (F.col("na_c") > 0), keep_b & (F.col("nb_c") > 0)
-        known = known.filter(keep_a | keep_b).select(
-            "c", "na_c", "nb_c", "da_c", "db_c", keep_a.alias("known_a"), keep_b.alias("known_b"), "ta", "tb").checkpoint()
-        escape = lambda x: F.when(F.col(f"known_{x}"), F.log(F.col(f"d{x}_c") / (F.col(f"n{x}_c") + F.col(f"d{x}_c")))).otherwise(0.0)
-        contexts.append(known.select("c", escape("a").alias("a"), escape("b").alias("b")).checkpoint())
-        seen = grams.join(known, "c").filter((F.col("na") * KEPT >= F.col("ta")) & (F.col("na") > 0) | (F.col("nb") * KEPT >= F.col("tb")) & (F.col("nb") > 0))
+        known = grams.groupBy("c").agg(*[f(x).alias(y) for x in "ab" for f, x, y in (
+            (F.sum, f"n{x}", f"n{x}_c"), (lambda col: F.sum((F.col(col) > 0).cast("long")), f"n{x}", f"d{x}_c"))]).checkpoint()
+        escape = lambda x: F.when(F.col(f"n{x}_c") > 0, F.log(F.col(f"d{x}_c") / (F.col(f"n{x}_c") + F.col(f"d{x}_c")))).otherwise(0.0)
+        contexts.append(known.select("c", escape("a").alias("a"), escape("b").alias("b")))
+        seen = grams.join(known, "c")
         if k:
             less = shorter.select(F.col("s").alias("s_less"), F.col("a").alias("a_less"), F.col("b").alias("b_less"))
-            seen = seen.join(less, F.substr("s", F.lit(2)) == F.col("s_less"), "left")
-            # every kept string's end is kept too: it is at least as frequent
+            seen = seen.join(less, F.substr("s", F.lit(2)) == F.col("s_less"))  # every string's end is a string too
         else:
             seen = seen.withColumn("a_less", F.lit(0.0) - F.log(F.lit(float(ALPHABET)))).withColumn("b_less", F.col("a_less"))
-        smooth = lambda x: F.when(F.col(f"known_{x}"), F.log(
+        smooth = lambda x: F.when(F.col(f"n{x}_c") > 0, F.log(
             (F.col(f"n{x}") + F.col(f"d{x}_c") * F.exp(f"{x}_less")) / (F.col(f"n{x}_c") + F.col(f"d{x}_c")))).otherwise(F.col(f"{x}_less"))
         shorter = seen.select("s", smooth("a").alias("a"), smooth("b").alias("b")).checkpoint()
         strings.append(shorter)
     return strings, contexts
 
 
+def _parts(grams: DataFrame, models: tuple[list[DataFrame], list[DataFrame]]) -> DataFrame:
+    """(gram, part) of the distinct strings ``grams``: the difference of the two log-probabilities of their last character."""
+    strings, contexts = models
+    shorter = None
+    for k in range(ORDER + 1):
+        rows = (grams.select(_tail(k).alias("s")).distinct().withColumn("c", F.substr("s", F.lit(1), F.lit(k)))
+                .join(strings[k].select("s", F.struct("a", "b").alias("m")), "s", "left")
+                .join(contexts[k].select("c", F.struct("a", "b").alias("e")), "c", "left"))
+        if k:
+            rows = rows.join(shorter, F.substr("s", F.lit(2)) == F.col("s_less"))
+        less = {x: F.col(f"{x}_less") if k else F.lit(0.0) - F.log(F.lit(float(ALPHABET))) for x in "ab"}
+        found = lambda x: F.when(F.col("m").isNotNull(), F.col(f"m.{x}")).otherwise(F.coalesce(F.col(f"e.{x}"), F.lit(0.0)) + less[x])
+        shorter = rows.select(F.col("s").alias("s_less"), found("a").alias("a_less"), found("b").alias("b_less"))
+    return shorter.select(F.col("s_less").alias("gram"), (F.col("a_less") - F.col("b_less")).alias("part"))
+
+
 def _scored(urls: DataFrame, models: tuple[list[DataFrame], list[DataFrame]]) -> DataFrame:
     """(rid, score) of the rows (rid, url)."""
-    strings, contexts = models
-    rows = _chars(urls)
-    for k in range(ORDER, -1, -1):
-        rows = rows.join(F.broadcast(strings[k].select(F.col("s").alias(f"s{k}"), F.struct("a", "b").alias(f"m{k}"))),
-                         _tail(k) == F.col(f"s{k}"), "left")
-        rows = rows.join(F.broadcast(contexts[k].select(F.col("c").alias(f"c{k}"), F.struct("a", "b").alias(f"e{k}"))),
-                         _context(k) == F.col(f"c{k}"), "left")
-
-    def likelihood(x: str) -> Column:
-        out = F.coalesce(F.col(f"e0.{x}"), F.lit(0.0)) - F.log(F.lit(float(ALPHABET)))
-        for k in range(ORDER + 1):
-            longer = out if k == 0 else F.coalesce(F.col(f"e{k}.{x}"), F.lit(0.0)) + out
-            out = F.when(F.col(f"m{k}").isNotNull(), F.col(f"m{k}.{x}")).otherwise(longer)
-        return out
-
-    return (rows.groupBy("rid").agg(F.sum(likelihood("a") - likelihood("b")).alias("sum"), F.count("*").alias("n"))
-            .select("rid", (F.col("sum") / F.col("n")).alias("score")))
+    counts = _chars(urls).groupBy("gram").agg(F.count("*").alias("n")).checkpoint()
+    total = F.broadcast(counts.agg(F.sum("n").alias("total")))
+    valued = _parts(counts.select("gram"), models).join(counts, "gram").crossJoin(total).checkpoint()
+    hot = F.broadcast(valued.filter(F.col("n") * HOT >= F.col("total")).select("gram", "part"))
+    rare = valued.filter(F.col("n") * HOT < F.col("total")).select("gram", F.col("part").alias("part_rare"))
+    chars = _chars(urls).select("rid", "gram").join(hot, "gram", "left")
+    of = lambda rows, part: rows.groupBy("rid").agg(F.sum(part).alias("sum"), F.count("*").alias("n"))
+    met = chars.filter("part is null").select("rid", "gram").join(rare, "gram")
+    return (of(chars.filter("part is not null"), "part").unionByName(of(met, "part_rare"))
+            .groupBy("rid").agg((F.sum("sum") / F.sum("n")).alias("score")))
 
 
 def _threshold(scored: DataFrame) -> DataFrame:

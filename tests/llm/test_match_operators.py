@@ -248,11 +248,13 @@ def _parts(spark, texts):
 
 def test_elements_equal_a_plain_order_minhash(spark):
     """The selection by a plain implementation from the same numbered k-mer hashes."""
-    texts = ["a b a b a b c", "one", "one two", "x y z x y z w " * 9, "lorem ipsum dolor sit amet " * 3 + "q"]
+    texts = ["a b a b a b c", "one", "one two", "x y z x y z w " * 9, "lorem ipsum dolor sit amet " * 3 + "q",
+             "of sixteen chars: abcdefghijklmnop, seventeen abcdefghijklmnopq end", "中文没有空格的文本也要按字符切开来比较" * 2]
     got = _parts(spark, texts)
     n = order_minhash.ELEMENTS
     for text, parts in zip(texts, got):
-        tokens = text.split()
+        tokens = [x for w in text.split() for x in ([w] if len(w) <= order_minhash.TOKEN else
+                                                    [w[i: i + order_minhash.GRAM] for i in range(len(w))])]
         kmers = [tuple(tokens[i: i + 2]) for i in range(max(1, len(tokens) - 1))]
         bits = order_minhash.HASH_BITS
         high = f"shiftright({{}} & {(1 << 62) - 1}, {62 - bits}) as h"
@@ -285,6 +287,17 @@ def test_elements_do_not_depend_on_the_number_of_tokens(spark):
         assert [r.p for r in other] == got
 
 
+def test_likeness_of_texts_without_spaces(spark):
+    """One character put in front or in the middle changes little, an other text nearly all."""
+    rng = np.random.default_rng(4)
+    chinese, other = ("".join(chr(0x4E00 + x) for x in rng.integers(0, 3000, 2000)) for _ in range(2))
+    code = "".join("ABCDEFGHabcdefgh01234567+/"[x] for x in rng.integers(0, 26, 2000))
+    parts = _parts(spark, [chinese, "一" + chinese, chinese[:900] + "一" + chinese[900:], other, code, "x" + code, "y " + code])
+    like = lambda x, y: sum(p == q for p, q in zip(x, y)) / order_minhash.ELEMENTS
+    assert min(like(parts[0], parts[i]) for i in (1, 2)) > 0.9 and min(like(parts[4], parts[i]) for i in (5, 6)) > 0.9
+    assert like(parts[0], parts[3]) < 0.1
+
+
 def test_likeness_follows_edits(spark):
     rng = np.random.default_rng(2)
     words = [f"w{x}" for x in rng.integers(0, 3000, 400)]
@@ -369,10 +382,9 @@ def test_rules_equal_brute_force(spark):
     assert url_filter.judge(table.limit(0)).count() == 0
 
 
-def _markov(urls, order, kept):
+def _markov(urls, order):
     """Plain dictionaries of the smoothed model; returns a function url -> log-likelihood."""
     counts = Counter()
-    total = sum(map(len, urls))
     for u in urls:
         p = url_filter.START * order + u
         for i in range(order, len(p)):
@@ -388,20 +400,23 @@ def _markov(urls, order, kept):
             return -np.log(url_filter.ALPHABET)
         less = log_p(context[1:] if context else None, c)
         n, d = follow[context, len(context) + 1], kinds[context, len(context) + 1]
-        if not n or n * kept < total:
+        if not n:
             return less
         return np.log((counts[context + c] + d * np.exp(less)) / (n + d))
 
     return lambda u: sum(log_p((url_filter.START * order + u)[i: i + order], u[i]) for i in range(len(u)))
 
 
-def test_scores_equal_plain_markov_models(spark):
+@pytest.mark.parametrize("hot", [2, url_filter.HOT])
+def test_scores_equal_plain_markov_models(spark, monkeypatch, hot):
+    """With next to no frequent strings, too: all others meet in the plain join."""
+    monkeypatch.setattr(url_filter, "HOT", hot)
     pages = spark.read.parquet(f"{SF_CHECK}/pages.parquet").limit(120)
     rows = {r.page_id: r for r in url_filter.judge(pages).collect()}
     urls = {r.page_id: r.url for r in pages.collect()}
     held = {r.page_id: r.x for r in pages.select("page_id", (F.pmod(F.xxhash64("url"), F.lit(5)) == 0).alias("x")).collect()}
     sides = [[u for i, u in urls.items() if _rule(u)[3] == v and not held[i]] for v in ("allow", "block")]
-    accepted, rejected = (_markov(s, url_filter.ORDER, url_filter.KEPT) for s in sides)
+    accepted, rejected = (_markov(s, url_filter.ORDER) for s in sides)
     for i in list(urls)[:25]:
         u = urls[i]
         assert abs(rows[i].score - (accepted(u) - rejected(u)) / len(u)) < 1e-6
