@@ -25,9 +25,9 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from typing import TYPE_CHECKING
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,6 +36,9 @@ from pyspark.sql import types as T
 from pricelab.llm import textbytes as tb
 from pricelab.session import ensure_checkpoint_dir
 
+if TYPE_CHECKING:  # workers of this module don't need pandas, which would add to each one's memory
+    import pandas as pd
+
 UNDETERMINED = "und"
 #: Languages whose tables are dense in one another; further languages get tables of their own.
 GROUP = 256
