@@ -2,21 +2,22 @@
 
 Statistics (one pass over all training documents, summed by Spark)
     Every byte of a text (A-Z lower-cased, one zero byte as its end) is two nibbles. For each of the
-    contexts of ``ORDERS`` (the last 1, 2, 3 and 5 bytes, and the word so far with the byte before it)
+    contexts of ``ORDERS`` (the last 3, 4 and 6 bytes, and the word so far with the byte before it)
     the context is hashed to a line of 16 counters for the first nibble, and with that nibble to a line
-    for the second one. ``TABLE_BITS`` fixes the number of counters of a context; contexts that meet in
-    a line share it. The counters give, for each of the four bits of a nibble, a frozen bit prediction.
+    for the second one. The tables grow with the training text, about a counter a byte for the longest
+    contexts, up to ``2 ** MAX_BITS`` counters; contexts that meet in a line share it. The counters give, for
+    each of the four bits of a nibble, a frozen bit prediction.
     Counts of the training words are gathered too, for the base score; their number grows with the corpus.
 
 Mixing (online, inside each text, from the same start, so a text's score depends on nothing else)
     The predictions of all contexts enter a logistic mixer in the stretched domain. Its weights are
     gated: each of the 8 bit positions of a byte has a set of its own. After every ``BLOCK`` bytes the
-    weights take one step down the gradient of that block's code length. The mixed probability is refined
-    by an adaptive map of ``REFINE`` cells per bit position, learned the same way from the text's earlier
-    blocks, and averaged with the unrefined one. Code lengths add up to the score.
+    weights take one step down the gradient of that block's code length (a text's last block moves nothing).
+    The mixed probability is refined by an adaptive map of ``REFINE`` cells per bit position, which learns from every
+    byte of the text's earlier blocks, and averaged with the unrefined one. Code lengths add up to the score.
 
-Blocks are handled for many texts at once in numpy; a long text is many blocks. Nothing but the fixed-size
-prediction table and the most frequent words (at most ``HOT`` by the pigeonhole principle) is broadcast.
+Blocks are handled for many texts at once in numpy; a long text is many blocks. Nothing but the
+prediction table (at most 2.75 * 2 ** MAX_BITS bytes) and the most frequent words (at most ``HOT`` by the pigeonhole principle) is broadcast.
 Rare words are counted in each text first; the counts meet the training counts in a plain join on the word, which
 sorts and spills, so no task holds all occurrences of a word or of a part of the vocabulary.
 
@@ -26,7 +27,9 @@ data. Repeated rows are scored as separate rows. Extra columns are ignored, an e
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -38,17 +41,17 @@ from pricelab.llm import textbytes as tb
 from pricelab.session import ensure_checkpoint_dir
 
 ORDERS = (3, 4, 6, "word")
+FEWER = (2, 1, 0, 0)  # powers of two by which a context's table is smaller than the largest
 REACH = 6  # bytes that the longest context holds
-TABLE_BITS = 22
+MIN_BITS, MAX_BITS = 18, 24  # counters of a context, as powers of two
 BLOCK = 128
-SCORE_BYTES = 1 << 19  # texts that are scored in one step
+SCORE_BYTES = 1 << 21  # texts that are scored in one step
+CONTEXT_BYTES = 1 << 16  # texts whose contexts are found in one step
 LANES = 64  # texts that are mixed side by side
 REFINE = 25
 PACK = 1 << 16  # counters of a block
 FAN_IN = 128
-LEVELS = 3  # sums of FAN_IN ** LEVELS partitions
 HOT = 100_000
-BUCKET_WORDS = 100_000  # read by nothing since words meet in a join; an existing test still sets it
 STRETCH = 16.0  # table steps of the stretched domain per unit
 START_WEIGHTS = (0.4, 0.25, 0.3, 0.15)  # of the contexts, before a text has been seen
 RATE = 0.0015
@@ -57,8 +60,17 @@ LIMIT = 9.0  # of the mixed stretched probability
 U64 = np.uint64
 
 _VALUES = np.arange(256)
-#: For each byte, the nodes of its eight bits inside their lines.
-_NODES = np.stack([(1 << (b & 3)) | ((_VALUES >> 4 if b < 4 else _VALUES & 15) >> (4 - (b & 3))) for b in range(8)], 1).astype(np.uint8)
+#: For each of the eight bits and each byte, the bit's node inside its line.
+_NODES = np.stack([(1 << (b & 3)) | ((_VALUES >> 4 if b < 4 else _VALUES & 15) >> (4 - (b & 3))) for b in range(8)])
+_BITS = np.stack([_VALUES >> (7 - b) & 1 for b in range(8)])
+_SIGNS = (2 * _BITS - 1).astype(np.float32)
+
+
+def table_bits(n_bytes: int) -> tuple[int, ...]:
+    """The counters of each context, as powers of two: about one for each byte of training text for the longest
+    contexts, fewer for the shorter ones, within MIN_BITS and MAX_BITS."""
+    most = min(int(n_bytes).bit_length(), MAX_BITS)
+    return tuple(max(most - fewer, MIN_BITS) for fewer in FEWER)
 
 
 def _padded(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -72,14 +84,11 @@ def _padded(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
 def contexts(padded: np.ndarray) -> Iterator[np.ndarray]:
     """Yield for each of ORDERS a 64-bit number of the context of every byte; before a text stand zero bytes."""
     n = len(padded)
-    wide = padded.astype(U64) + U64(1)
-    recent, reach = np.zeros(n, U64), 0
+    before = np.concatenate([np.zeros(8, np.uint8), padded])
+    recent = np.ndarray(n, "<u8", before, strides=(1,))  # the last eight bytes, the newest on top
     for order in ORDERS[:-1]:
-        for back in range(reach + 1, order + 1):
-            recent *= U64(0x100000001B3)
-            recent[back:] += wide[:-back]
-        reach = order
-        yield recent
+        yield recent >> U64(64 - 8 * order)
+    wide = padded.astype(U64) + U64(1)
     # the word so far, from the last byte that is no letter on: a polynomial read off prefix sums
     letter = ((padded >= 97) & (padded <= 122)) | (padded >= 128)
     index = np.arange(n)
@@ -92,12 +101,14 @@ def contexts(padded: np.ndarray) -> Iterator[np.ndarray]:
     yield (sums[:-1] - sums[since]) * inverse[since]
 
 
-def _lines(context: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The lines of a byte's two nibbles."""
-    shift = U64(64 - (TABLE_BITS - 4))
-    first = ((context + U64(1)) * U64(0xD6E8FEB86659FD93)) >> shift
-    second = ((context + (high.astype(U64) + U64(2)) * U64(0x9FB21C651E98DF25)) * U64(0xA0761D6478BD642F)) >> shift
-    return first.astype(np.uint32), second.astype(np.uint32)
+def _lines(context: np.ndarray, high: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The lines of a byte's two nibbles, in tables of 2 ** bits counters."""
+    spread = context * U64(0xD6E8FEB86659FD93)
+    first = (spread >> U64(64 - (bits - 4))).astype(np.uint32)
+    # another place in the same 256 lines, so that both are in one page of memory
+    second = ((spread + high) * U64(0xA0761D6478BD642F) >> U64(56)).astype(np.uint32)
+    second |= first & np.uint32(0xFFFFFF00)
+    return first, second
 
 
 def _text_ends(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -131,14 +142,13 @@ def _gather_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 PACKED = "part long, block int, packed binary"
 
 
-def _packed(part: int, counts: np.ndarray) -> Iterator[tuple]:
-    """(part, block, bytes) for each block with counts: how many, their places, their counts."""
-    for k in range(len(ORDERS)):
-        for b in range((1 << TABLE_BITS) // PACK):
-            own = counts[k, b * PACK: (b + 1) * PACK]
-            at = np.flatnonzero(own)
-            if len(at):
-                yield part, k * ((1 << TABLE_BITS) // PACK) + b, _pack(at, own[at])
+def _packed(part: int, counts: list[np.ndarray]) -> Iterator[tuple]:
+    """(part, block, bytes) for each block with counts: how many, their places, their counts. Blocks are
+    numbered through all contexts."""
+    for block, own in enumerate(x for table in counts for x in table.reshape(-1, PACK)):
+        at = np.flatnonzero(own)
+        if len(at):
+            yield part, block, _pack(at, own[at])
 
 
 def _pack(at: np.ndarray, n: np.ndarray) -> bytes:
@@ -152,41 +162,56 @@ def _unpack(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(packed, "<u2", n, 1), np.frombuffer(packed, f"<u{width}", n, 1 + 2 * n)
 
 
-def _gather_counters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _gather_counters(bits: tuple[int, ...]):
     """The contexts' counters of one partition of texts, packed in blocks."""
-    size = 1 << TABLE_BITS
-    counts = np.zeros((len(ORDERS), size), np.uint32)  # a partition's texts have far fewer than 2^32 bytes
-    for batch in batches:
-        buf, offsets = tb.column_bytes(batch.column("text"))
-        for i, j in tb.steps(offsets):
-            padded, at = _padded(*_text_ends(tb.lower(buf[offsets[i]: offsets[j]]), offsets[i: j + 1] - offsets[i]))
-            high, low = padded >> 4, padded & 15
-            for k, context in enumerate(contexts(padded)):
-                for line, nibble in zip(_lines(context, high), (high, low)):
-                    np.add.at(counts[k], ((line << np.uint32(4)) + nibble)[at], np.uint32(1))
-    context = TaskContext.get()
-    rows = list(_packed(context.partitionId() if context else 0, counts))
-    if rows:
-        part, block, packed = zip(*rows)
-        yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(block, pa.int32()), pa.array(packed, pa.binary())], ["part", "block", "packed"])
-
-
-def _sum_packed(rows: pa.Table) -> pa.Table:
-    """Up to FAN_IN parts of one block -> their sum."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = [np.zeros(1 << b, np.uint32) for b in bits]  # a partition's texts have far fewer than 2^32 bytes
+        for batch in batches:
+            buf, offsets = tb.column_bytes(batch.column("text"))
+            for i, j in tb.steps(offsets, CONTEXT_BYTES):
+                padded, at = _padded(*_text_ends(tb.lower(buf[offsets[i]: offsets[j]]), offsets[i: j + 1] - offsets[i]))
+                high, low = padded >> 4, padded & 15
+                for k, context in enumerate(contexts(padded)):
+                    for line, nibble in zip(_lines(context, high, bits[k]), (high, low)):
+                        np.add.at(counts[k], ((line << np.uint32(4)) + nibble)[at], np.uint32(1))
+        context = TaskContext.get()
+        rows = _packed(context.partitionId() if context else 0, counts)
+        while some := list(islice(rows, 64)):
+            part, block, packed = zip(*some)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(part, pa.int64()), pa.array(block, pa.int32()), pa.array(packed, pa.binary())], ["part", "block", "packed"])
+
+    return tb.frugal(run)
+
+
+def _total(rows: pa.Table) -> np.ndarray:
     total = np.zeros(PACK, np.uint64)
     for packed in rows["packed"]:
         at, n = _unpack(packed.as_py())
         total[at] += n
+    return total
+
+
+def _sum_packed(rows: pa.Table) -> pa.Table:
+    """Up to FAN_IN parts of one block -> their sum."""
+    total = _total(rows)
     at = np.flatnonzero(total)
     return pa.table({"part": rows["part"][:1], "block": rows["block"][:1], "packed": pa.array([_pack(at, total[at])], pa.binary())})
 
 
-def summed_counters(texts: DataFrame) -> DataFrame:
-    """(part 0, block, packed) over all texts: a tree of sums, each of at most FAN_IN parts of a block."""
-    rows = texts.mapInArrow(_gather_counters, PACKED)
-    for _ in range(LEVELS):
+def _sum_predict(rows: pa.Table) -> pa.Table:
+    """The last parts of one block -> its predictions, one byte each."""
+    return pa.table({"block": rows["block"][:1], "packed": pa.array([predictions(_total(rows)).tobytes()], pa.binary())})
+
+
+def block_predictions(texts: DataFrame, bits: tuple[int, ...]) -> DataFrame:
+    """(block, packed) over all texts: a tree of sums, each of at most FAN_IN parts of a block, as high as the partitions need."""
+    rows = texts.mapInArrow(_gather_counters(bits), PACKED)
+    parts = texts.rdd.getNumPartitions()
+    while parts > FAN_IN:
+        parts = -(-parts // FAN_IN)
         rows = rows.withColumn("part", F.floor(F.col("part") / FAN_IN)).groupBy("part", "block").applyInArrow(_sum_packed, PACKED)
-    return rows
+    return rows.groupBy("block").applyInArrow(_sum_predict, "block int, packed binary")
 
 
 #: The word hash of the end of a text.
@@ -205,98 +230,125 @@ def predictions(counts: np.ndarray) -> np.ndarray:
     return out.ravel()
 
 
-def _predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Packed sums of a block -> its predictions, one byte each."""
-    for batch in batches:
-        out = []
-        for packed in batch.column("packed"):
-            counts = np.zeros(PACK, np.int64)
-            at, n = _unpack(packed.as_py())
-            counts[at] = n
-            out.append(predictions(counts).tobytes())
-        yield pa.RecordBatch.from_arrays([batch.column("block"), pa.array(out, pa.binary())], ["block", "packed"])
-
-
-def code_lengths(tables: np.ndarray, buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Bits of each text under the mixed model; ``tables``: (contexts, counters) int8."""
+def code_lengths(tables: list[np.ndarray], buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Bits of each text under the mixed model; ``tables``: the int8 predictions of each context."""
     size = np.diff(offsets)
     padded, _ = _padded(buf, offsets)
     begin = offsets[:-1] + np.arange(1, len(offsets)) * REACH
-    high = padded >> 4
-    lines = [_lines(c, high) for c in contexts(padded)]
-    order = np.argsort(-size, kind="stable")
+    # lines of some texts at a time: what they need is then in the processor's cache
+    lines = np.empty((len(padded), len(ORDERS), 2), np.uint32)
+    for i, j in tb.steps(offsets, CONTEXT_BYTES):
+        own = slice(begin[i] - REACH, begin[j - 1] + size[j - 1])
+        high = padded[own] >> 4
+        for k, context in enumerate(contexts(padded[own])):
+            lines[own, k, 0], lines[own, k, 1] = _lines(context, high, len(tables[k]).bit_length() - 1)
+    return _mix(tables, padded, lines, begin, size)
+
+
+class _Room:
+    """Arrays of a block of all lanes, used over and over."""
+
+    def __init__(self, n_in: int, n: int):
+        shape = (8, n, BLOCK)
+        self.inputs = np.empty((n_in, *shape), np.float32)
+        self.mixed, self.other, self.sign = (np.empty(shape, np.float32) for _ in range(3))
+        self.node, self.cell = (np.empty(shape, np.int64) for _ in range(2))
+        self.picked = np.empty(shape, np.int8)
+        self.met = np.empty((2, n, BLOCK), "V16")
+
+
+def _mix(tables: list[np.ndarray], buf: np.ndarray, lines: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Bits of each text. LANES texts are mixed side by side, a block of each at a time; where one ends, the next begins."""
+    n_in = len(ORDERS)
+    whole = [t.view("V16") for t in tables]
+    of_byte = lines.reshape(len(lines), -1).view(f"V{8 * n_in}")[:, 0]  # a byte's lines, side by side
     bits = np.zeros(len(size))
-    for g in range(0, len(size), LANES):
-        own = order[g: g + LANES]
-        bits[own] = _mix(tables, padded, lines, begin[own], size[own])
-    return bits
-
-
-def _mix(tables: np.ndarray, buf: np.ndarray, lines: list, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Bits of some texts side by side; they come longest first."""
-    n_docs, n_in = len(size), len(ORDERS)
-    whole = tables.reshape(n_in, -1, 16).view("V16")[..., 0]
-    blocks = -(-size // BLOCK)
-    weights = np.empty((n_in, n_docs, 8), np.float32)
-    weights[:] = np.array(START_WEIGHTS, np.float32)[:, None, None] / np.float32(STRETCH)
+    queue = np.flatnonzero(size > 0)
+    queue = queue[np.argsort(-size[queue], kind="stable")]
+    n = min(LANES, len(queue))
+    text, queue = queue[:n], queue[n:]
+    done = np.zeros(n, np.int64)  # bytes of each lane's text
+    start_weights = np.array(START_WEIGHTS, np.float32)[:, None, None] / np.float32(STRETCH)
     centres = np.linspace(-LIMIT, LIMIT, REFINE, dtype=np.float32)
-    refine = np.tile(1 / (1 + np.exp(-centres)), n_docs * 8)
+    start_refine = np.stack([1 / (1 + np.exp(centres)), 1 / (1 + np.exp(-centres))])[:, None, None]
+    weights = np.repeat(np.broadcast_to(start_weights, (n_in, 8, 1)), n, axis=2)  # (contexts, bit, lane)
+    refine = np.empty((2, 8, n, REFINE), np.float32)  # (value of the bit, place, lane, cell): its probability
+    refine[:] = start_refine
     rate, scale = np.float32(RATE / STRETCH / STRETCH), np.float32((REFINE - 1) / (2 * LIMIT))
-    bits = np.zeros(n_docs)
-    for step in range(int(blocks.max(initial=0))):
-        m = int(np.searchsorted(-blocks, -step, side="left"))  # texts with a block of this number
-        width = min(BLOCK, int(size[0]) - step * BLOCK)
-        lane = np.arange(width)
-        inside = lane < (size[:m] - step * BLOCK)[:, None]
-        at = (begin[:m] + step * BLOCK)[:, None] + np.where(inside, lane, 0)
+    room, lane = None, np.arange(BLOCK)
+    while n:
+        if room is None:
+            room = _Room(n_in, n)
+            places = np.arange(n * BLOCK).reshape(n, BLOCK) * 16
+            places = np.stack([places, places + n * BLOCK * 16]).repeat(4, axis=0)
+            cells = (np.arange(8 * n) * REFINE).reshape(8, n, 1)
+        mixed, other, sign, node, cell = room.mixed, room.other, room.sign, room.node, room.cell
+        left = size[text] - done
+        inside = lane < left[:, None]
+        at = (begin[text] + done)[:, None] + np.where(inside, lane, 0)
         byte = buf.take(at, mode="clip")
-        node = _NODES.take(byte, axis=0).transpose(0, 2, 1).astype(np.int64, order="C")  # (m, 8, width)
-        bit = np.unpackbits(byte[..., None], axis=2).transpose(0, 2, 1).astype(np.float32, order="C")
+        _NODES.take(byte, axis=1, out=node, mode="clip")
+        node += places
         # the lines of a block are fetched whole, 16 bytes each; their nodes are then picked from that
-        met = np.empty((2, m, width), whole.dtype)
-        node += np.arange(m * width).reshape(m, 1, width) * 16
-        node[:, 4:] += m * width * 16
-        inputs = []
-        mixed = np.zeros(node.shape, np.float32)
+        line = of_byte.take(at, mode="clip")[..., None].view(np.uint32)
+        mixed[:] = 0
         for k in range(n_in):
             for half in (0, 1):
-                whole[k].take(lines[k][half].take(at, mode="clip"), mode="clip", out=met[half])
-            s = met.view(np.int8).reshape(-1).take(node, mode="wrap").astype(np.float32)
-            inputs.append(s)
-            mixed += weights[k, :m, :, None] * s
+                whole[k].take(line[..., 2 * k + half], mode="clip", out=room.met[half])
+            room.met.view(np.int8).reshape(-1).take(node, mode="clip", out=room.picked)
+            np.copyto(room.inputs[k], room.picked)
+            mixed += np.multiply(room.inputs[k], weights[k][..., None], out=other)
         np.clip(mixed, -LIMIT, LIMIT, out=mixed)
-        cell = ((mixed + np.float32(LIMIT)) * scale + np.float32(0.5)).astype(np.int64)
-        cell += (np.arange(m * 8) * REFINE).reshape(m, 8, 1)
-        np.exp(-mixed, out=mixed)
+        np.multiply(mixed, scale, out=other)
+        other += np.float32(LIMIT * scale + 0.5)
+        np.copyto(cell, other, casting="unsafe")
+        cell += cells
+        cell += np.multiply(_BITS.take(byte, axis=1, out=node, mode="clip"), 8 * n * REFINE, out=node)  # the cell of the bit that came
+        _SIGNS.take(byte, axis=1, out=sign, mode="clip")
+        # the probability of the bit that came, by the mixer and by the map
+        np.exp(np.negative(np.multiply(mixed, sign, out=mixed), out=mixed), out=mixed)
         mixed += 1
-        p = np.reciprocal(mixed, out=mixed)
-        p2 = refine.take(cell, mode="clip")
-        right = 1 - bit + (bit - np.float32(0.5)) * (p + p2)
-        byte_p = np.multiply.reduce(right, axis=1)
-        bits[:m] -= (np.log2(byte_p) * inside).sum(1, dtype=np.float64)
-        if step + 1 < blocks[0]:
-            m2 = int(np.searchsorted(-blocks, -step - 1, side="left"))  # whole blocks: texts that go on
-            error = bit[:m2] - p[:m2]
+        right = np.reciprocal(mixed, out=mixed)
+        both = np.add(right, refine.reshape(-1).take(cell, mode="clip"), out=other)
+        np.add.at(bits, text, -((np.log2(np.multiply.reduce(both, axis=0)) - 8) * inside).sum(1, dtype=np.float64))
+        goes_on = left > BLOCK
+        if goes_on.any():
+            error = np.multiply(1 - right, sign, out=other)
             for k in range(n_in):
-                weights[k, :m2] += rate * np.einsum("mbc,mbc->mb", error, inputs[k][:m2])
-            # every other byte moves its cells towards what came
-            flat = cell[:m2, :, ::2].ravel()
-            seen = np.bincount(flat, minlength=m2 * 8 * REFINE)
-            ones = np.bincount(flat, weights=bit[:m2, :, ::2].ravel(), minlength=m2 * 8 * REFINE)
-            own = refine[: m2 * 8 * REFINE]
-            own += ((ones - seen * own) / (seen + 12.0)).astype(np.float32)
+                weights[k] += rate * np.einsum("bmc,bmc->bm", error, room.inputs[k])
+            seen = np.bincount(cell.reshape(-1), minlength=refine.size).reshape(refine.shape).astype(np.float32)
+            times = seen[0] + seen[1]
+            refine += (seen - times * refine) / (times + 12)
+        done += BLOCK
+        ended = np.flatnonzero(~goes_on)
+        if len(ended):
+            new = min(len(ended), len(queue))
+            text[ended[:new]], queue = queue[:new], queue[new:]
+            done[ended[:new]] = 0
+            weights[:, :, ended[:new]] = start_weights
+            refine[:, :, ended[:new]] = start_refine
+            if new < len(ended):
+                stay = np.delete(np.arange(n), ended[new:])
+                text, done, weights, refine = text[stay], done[stay], np.ascontiguousarray(weights[:, :, stay]), np.ascontiguousarray(refine[:, :, stay])
+                n, room = len(stay), None
     return bits
 
 
 SCORED = "rid long, key long, c long, doc_id long, held_out boolean, n_bytes long, n_tokens long, n_known long, base_score double, score double"
 
 
-def _score(tables, hot, totals):
+def _parts(table: np.ndarray, bits: tuple[int, ...]) -> list[np.ndarray]:
+    """Each context's part of the whole table."""
+    return np.split(table, np.cumsum([1 << b for b in bits])[:-1])
+
+
+def _score(tables, bits, hot, totals):
     """Rows with c = 0 hold a text's finished parts (key: its row, mixed), the others a rare word's count in a text."""
     train, vocabulary = totals
+    made = uuid.uuid4().hex  # names this table in the workers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.frombuffer(tables.value, np.int8).reshape(len(ORDERS), -1)
+        table = tb.kept(("contexts", made), lambda: _parts(np.array(np.frombuffer(tables.value, np.int8)), bits))
         hot_key, hot_n = (np.frombuffer(x, t) for x, t in zip(hot.value, (U64, np.int64)))
         log_n = np.log10(hot_n + 1.0)
         for batch in batches:
@@ -345,20 +397,22 @@ def score_documents(docs: DataFrame, training: str) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     is_training = F.coalesce(F.expr(training), F.lit(True))
     texts = rows.filter(is_training).select("text")
-    words = (texts.mapInArrow(_gather_words, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).checkpoint())
+    words = (texts.mapInArrow(tb.frugal(_gather_words), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).checkpoint())
     total = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     hot_rows = words.filter(F.col("n") * HOT >= total[0]).toPandas()  # at most HOT rows
     hot_key = hot_rows["key"].to_numpy(np.int64).view(U64)
     by = np.argsort(hot_key)
     hot = sc.broadcast((hot_key[by].tobytes(), hot_rows["n"].to_numpy(np.int64)[by].tobytes()))
-    table = np.zeros((len(ORDERS), 1 << TABLE_BITS), np.int8)  # fixed size at any input
+    n_bytes = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    bits = table_bits(n_bytes)
+    table = np.zeros(sum(1 << b for b in bits), np.int8)  # at most 2 ** MAX_BITS bytes a context
     blocks = table.reshape(-1, PACK)
-    for r in summed_counters(texts).mapInArrow(_predict, "block int, packed binary").collect():
+    for r in block_predictions(texts, bits).collect():
         blocks[r["block"]] = np.frombuffer(r["packed"], np.int8)
     tables = sc.broadcast(table.tobytes())
     # an id for each row, so that rows with equal doc_ids stay apart
     rows_out = rows.select(F.monotonically_increasing_id().alias("rid"), "doc_id", (~is_training).alias("held_out"), "text")
-    scored = rows_out.mapInArrow(_score(tables, hot, (total[0], total[1])), SCORED)
+    scored = rows_out.mapInArrow(tb.frugal(_score(tables, bits, hot, (total[0], total[1]))), SCORED)
     rare = words.filter(F.col("n") * HOT < total[0]).select("key", "n")
     # a text's finished parts go along under a key of their own; what that meets is not counted
     met = scored.join(rare, "key", "left")
@@ -367,6 +421,6 @@ def score_documents(docs: DataFrame, training: str) -> DataFrame:
         *[F.max(c).alias(c) for c in ("doc_id", "held_out", "n_bytes", "n_tokens", "score")],
         (F.sum("n_known") + F.sum(F.when(hit, F.col("c")).otherwise(0))).alias("n_known"),
         (F.sum("base_score") + F.sum(F.when(hit, F.col("c") * F.log10(F.col("n") + 1.0)).otherwise(0.0))).alias("base_score"))
-    bits = -F.col("score") / F.log10(F.lit(2.0)) / (F.col("n_bytes") + 1)
+    per_byte = -F.col("score") / F.log10(F.lit(2.0)) / (F.col("n_bytes") + 1)
     return parts.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total[0]).cast("long").alias("train_tokens"),
-                        "base_score", "score", bits.alias("bits_per_byte"))
+                        "base_score", "score", per_byte.alias("bits_per_byte"))

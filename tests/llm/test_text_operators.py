@@ -88,9 +88,8 @@ def test_base_score_equals_brute_force(spark, docs, odd):
         assert all(r.score < 0 and r.held_out == (r.doc_id is not None and _held(r.doc_id, 7, 2)) for r in out)
 
 
-def test_rare_words_are_found_in_buckets(spark, docs, monkeypatch):
+def test_rare_words_are_found_in_a_join(spark, docs, monkeypatch):
     monkeypatch.setattr(context_mixing, "HOT", 50)
-    monkeypatch.setattr(context_mixing, "BUCKET_WORDS", 100)
     rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
     _, right = _base(rows)
     out = {r.doc_id: r for r in context_mixing.score_documents(docs, "crc32(cast(doc_id as string)) % 7 <> 2").collect()}
@@ -101,7 +100,7 @@ def test_rare_words_are_found_in_buckets(spark, docs, monkeypatch):
 def test_mixing_is_a_probability_and_learns_online():
     """Over all one-byte texts the probabilities sum to one; a repeated pattern gets cheaper."""
     rng = np.random.default_rng(1)
-    tables = np.stack([context_mixing.predictions(rng.integers(0, 20, 1 << context_mixing.TABLE_BITS)) for _ in context_mixing.ORDERS])
+    tables = [context_mixing.predictions(rng.integers(0, 20, 1 << 18)) for _ in context_mixing.ORDERS]
     every = np.arange(256, dtype=np.uint8)
     bits = context_mixing.code_lengths(tables, every, np.arange(257))
     assert abs(np.exp2(-bits).sum() - 1) < 1e-3
@@ -115,6 +114,74 @@ def test_mixing_is_a_probability_and_learns_online():
     assert np.allclose(both, [a, b], rtol=1e-5)
 
 
+def _plain_mixer(tables, text):
+    """Bits of a text, a bit at a time."""
+    cm, whole = context_mixing, 2**64
+    weights = [[w / cm.STRETCH for _ in range(8)] for w in cm.START_WEIGHTS]
+    refine = [[1 / (1 + math.exp(cm.LIMIT - 2 * cm.LIMIT * c / (cm.REFINE - 1))) for c in range(cm.REFINE)] for _ in range(8)]
+    bits, steps, seen = 0.0, [[0.0] * 8 for _ in weights], {}
+    for i, byte in enumerate(text):
+        past = bytes(cm.REACH + 2) + text[:i]
+        word = 0
+        while word < i and (97 <= text[i - 1 - word] <= 122 or text[i - 1 - word] >= 128):
+            word += 1
+        start = i - word - 1  # the byte before the word; in front of a text stand zeros
+        since = ([text[start]] if start >= 0 else [0]) + list(text[i - word: i])
+        numbers = [int.from_bytes(past[-order:], "little") for order in cm.ORDERS[:-1]]
+        numbers.append(sum((b + 1) * pow(0x9E3779B97F4A7C15, k, whole) for k, b in enumerate(since)) % whole)
+        for b in range(8):
+            bit, nibble, inside = byte >> (7 - b) & 1, byte >> 4 if b < 4 else byte & 15, b & 3
+            node = (1 << inside) | nibble >> (4 - inside)
+            inputs = []
+            for table, number in zip(tables, numbers):
+                spread = number * 0xD6E8FEB86659FD93 % whole
+                line = spread >> (64 - (len(table).bit_length() - 5))
+                if b >= 4:
+                    line = (line >> 8 << 8) | ((spread + (byte >> 4)) * 0xA0761D6478BD642F % whole) >> 56
+                inputs.append(float(table[line * 16 + node]))
+            x = min(max(sum(w[b] * s for w, s in zip(weights, inputs)), -cm.LIMIT), cm.LIMIT)
+            cell = int((x + cm.LIMIT) * (cm.REFINE - 1) / (2 * cm.LIMIT) + 0.5)
+            p = 1 / (1 + math.exp(-x))
+            mean = (p + refine[b][cell]) / 2
+            bits -= math.log2(mean if bit else 1 - mean)
+            for step, s in zip(steps, inputs):
+                step[b] += (bit - p) * s
+            n, ones = seen.get((b, cell), (0, 0))
+            seen[b, cell] = (n + 1, ones + bit)
+        if (i + 1) % cm.BLOCK == 0:
+            for w, step in zip(weights, steps):
+                for b in range(8):
+                    w[b] += cm.RATE / cm.STRETCH**2 * step[b]
+            for (b, cell), (n, ones) in seen.items():
+                refine[b][cell] += (ones - n * refine[b][cell]) / (n + 12)
+            steps, seen = [[0.0] * 8 for _ in weights], {}
+    return bits
+
+
+def test_score_equals_a_plain_mixer(docs, monkeypatch):
+    """Texts of all sizes side by side, more than there are lanes, against one text and one bit at a time."""
+    monkeypatch.setattr(context_mixing, "LANES", 5)
+    rng = np.random.default_rng(7)
+    tables = [context_mixing.predictions(rng.integers(0, 9, 1 << b) ** 2) for b in (13, 14, 16, 16)]
+    texts = [r.text for r in docs.select("text").filter("length(text) > 0").limit(12).collect()]
+    texts = [t.lower().encode()[:900] + b"\0" for t in texts] + [b"\0", bytes(range(256)) * 2, b"a" * 127 + b"\0", b"a" * 128 + b"\0"]
+    buf = np.frombuffer(b"".join(texts), np.uint8)
+    got = context_mixing.code_lengths(tables, buf, np.cumsum([0, *map(len, texts)]))
+    assert np.allclose(got, [_plain_mixer(tables, t) for t in texts], rtol=2e-3)
+
+
+def test_scores_of_no_documents(spark, docs):
+    assert context_mixing.score_documents(docs.limit(0), "true").count() == 0
+    untrained = context_mixing.score_documents(docs, "false").agg(F.min("train_tokens"), F.max("score"), F.count("*")).first()
+    assert untrained[0] == 0 and untrained[1] < 0 and untrained[2] == docs.count()
+
+
+def test_tables_grow_with_the_training_text():
+    sizes = [sum(context_mixing.table_bits(10**k)) for k in range(5, 8)]
+    assert sizes == sorted(set(sizes))
+    assert max(context_mixing.table_bits(10**15)) == context_mixing.MAX_BITS
+
+
 def test_held_out_texts_are_compressed(spark):
     """Well under the entropy of single bytes (about 4.1 bits in these texts), and under that of trained texts by little."""
     out = QUERIES["op1_context_mixing"](spark, SF_CHECK).filter("n_tokens > 20")
