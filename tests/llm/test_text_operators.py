@@ -412,11 +412,37 @@ def test_parity_with_the_reference_library(docs, model):
     assert codec.decode(some) == [reference.decode(x.tolist()) for x in some]
 
 
+def test_parity_is_false_where_the_reference_differs():
+    """A part that is encoded wrongly makes every text that holds it differ, and no other; so does a wrong byte table."""
+    import sentencepiece
+
+    data = open(SENTENCEPIECE_MODEL, "rb").read()
+    reference = sentencepiece.SentencePieceProcessor(model_proto=data)
+    codec = sentencepiece_codec.codec_of(data)
+    lookup = sentencepiece_codec._Lookup(codec.spec)
+    texts = [*TEXTS, "wrong here", "right there", "there", "wrong", ""]
+    made = [codec.parts(t) for t in texts]
+    doubts: set[str] = set()
+    assert all(sentencepiece_codec.parity(texts, made, codec.encode_parts(made), codec, lookup, reference, doubts))
+    wrong = codec.parts("wrong")[0]
+    codec.known[wrong] = np.array([5, 6], np.int32).tobytes()
+    codec.fresh = [wrong, *codec.parts("there")]
+    for _ in range(2):  # what differs isn't taken for right the next time
+        ids = [np.frombuffer(b"".join(codec.known[w] for w in ws), np.int32) for ws in made]
+        same = sentencepiece_codec.parity(texts, made, ids, codec, lookup, reference, doubts)
+        assert same == [True] * len(TEXTS) + [False, True, True, False, True]
+        codec.fresh = []
+    codec = sentencepiece_codec.codec_of(data)
+    lookup.bytes = lookup.bytes[::-1]
+    ids = codec.encode_parts(made)
+    assert not any(s for s, x in zip(sentencepiece_codec.parity(texts, made, ids, codec, lookup, reference, set()), ids) if len(x))
+
+
 def test_encode_and_decode_round_trip(spark, odd):
     data = open(SENTENCEPIECE_MODEL, "rb").read()
     out = sentencepiece_codec.encode(odd, data)
     back = sentencepiece_codec.decode(out, data).collect()
-    assert len(back) == 9 and all(r.round_trip for r in back)
+    assert len(back) == 9 and all(r.round_trip and r.parity for r in back)
     for r in back:
         assert r.decoded == (r.text or "") and r.n_ids == len(r.ids)
     assert sentencepiece_codec.encode(odd.limit(0), data).count() == 0
