@@ -10,7 +10,7 @@ Rows, stage by stage:
   rows with the smallest doc_id - one of them, if rows repeat; documents without a doc_id are kept only
   where nothing like them has an id;
 * mix repeats and drops documents so that each source's words come near its target;
-* encode turns what is left into ids: doc_id, lang, source, ids, n_ids, round_trip.
+* encode turns what is left into ids: doc_id, lang, source, ids, n_ids, round_trip, parity.
 
 Every stage works on any input: an empty table gives an empty one.
 """
