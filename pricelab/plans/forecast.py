@@ -34,6 +34,9 @@ GBT_PARAMS = dict(maxIter=100, stepSize=0.05, maxDepth=6, minInstancesPerNode=1,
 SEQUENCE_LENGTH = 24
 TEST_SIZE = 0.2
 VALIDATION_SHARE = 0.2
+#: Rows that the trees are fitted on, by partition: a table of fewer fills one, and no partition holds more than the second.
+FEW_ROWS, MANY_ROWS = 1 << 15, 1 << 20
+PARTS_PER_CORE = 2
 
 
 @dataclass
@@ -108,13 +111,25 @@ def prepare(df: DataFrame, feature_cols: list[str], target: str, key: list[str],
     return Prepared(x, feature_cols, target, key, scaler)
 
 
+def _spread(rows: DataFrame) -> DataFrame:
+    """``rows`` dealt evenly over partitions whose number follows the rows and the cores, not the shuffles before.
+
+    A tree takes a job of two stages per level, and each task hands on the statistics of all the level's nodes: at
+    one partition per shuffle partition, tasks and shuffled statistics grow with the table on top of its rows, and
+    partitions that hold test rows only (a range of time) leave cores idle."""
+    n = rows.count()
+    most = PARTS_PER_CORE * rows.sparkSession.sparkContext.defaultParallelism
+    # the fit reads them several times, from plans of its own: dealt once
+    return rows.repartition(max(1, min(-(-n // FEW_ROWS), most), -(-n // MANY_ROWS))).checkpoint(eager=True)
+
+
 def train_gbt(prep: Prepared, params: dict | None = None) -> GBTRegressionModel:
     """M1: fitted on the ``fit`` fold of train (the validation fold is held
     out for the per-round curve, as the reference's eval set)."""
     p = dict(GBT_PARAMS)
     p.update(params or {})
-    fit = prep.frame.where((F.col("split") == "train") & (F.col("fold") == "fit"))
-    return GBTRegressor(featuresCol="features", labelCol="label", **p).fit(fit)
+    fit = prep.frame.where((F.col("split") == "train") & (F.col("fold") == "fit")).select("label", "features")
+    return GBTRegressor(featuresCol="features", labelCol="label", **p).fit(_spread(fit))
 
 
 def gbt_predictions(prep: Prepared, model: GBTRegressionModel) -> DataFrame:

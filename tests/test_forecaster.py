@@ -193,6 +193,29 @@ def test_gain_importance_equals_a_walk_over_the_trees(spark, fitted):
     assert [r.gain for r in fc.gain_importance(run.tree, names, top=3).collect()] == sorted((g for g, _ in got.values()), reverse=True)[:3]
 
 
+def test_tree_tasks_follow_the_rows_not_the_partitions(spark, fitted, monkeypatch):
+    """Two trees over a frame in 60 partitions: no stage after the rows are dealt out has a task per partition."""
+    _, frame = fitted
+    sc = spark.sparkContext
+    wide = frame.repartition(60).checkpoint(eager=True)
+
+    def tasks(group):
+        sc.setJobGroup(group, group)
+        model = fc.train_gbt(fc.Prepared(wide, ["size"], "price", ["id"], None), dict(maxIter=2, maxDepth=2))
+        sc.setJobGroup("", "")
+        assert model.getNumTrees == 2
+        stages = {i for j in sc.statusTracker().getJobIdsForGroup(group) for i in sc.statusTracker().getJobInfo(j).stageIds}
+        return [info.numTasks for i in stages if (info := sc.statusTracker().getStageInfo(i)) and info.numCompletedTasks]  # not the skipped ones
+
+    assert sum(n >= 60 for n in tasks("few rows")) <= 2                      # the count, and the rows dealt out
+    monkeypatch.setattr(fc, "MANY_ROWS", 50)
+    n = frame.where("split = 'train' AND fold = 'fit'").count()
+    assert max(n for n in tasks("more rows than a partition takes") if n < 60) == -(-n // 50)
+    dealt = fc._spread(frame.where("split = 'train' AND fold = 'fit'").select("label", "features"))
+    sizes = dealt.groupBy(F.spark_partition_id()).count().collect()
+    assert sum(r["count"] for r in sizes) == n and max(r["count"] for r in sizes) <= 50 + 60
+
+
 @pytest.mark.parametrize("range_rows", [1, 40, 10_000])
 def test_rows_at_ranks_equal_a_sort(spark, range_rows):
     """Hot times (a third of the rows share one), nulls, and ranks beyond the table."""
