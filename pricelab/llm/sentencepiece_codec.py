@@ -10,10 +10,12 @@ The model file (a protobuf) is parsed here, field by field, and rebuilt as a ``t
 Texts are normalised whole and then cut before a marker that follows another character. No piece of a model
 trained on white-space-split text crosses such a place (checked for every piece when the model is read; a model
 with such a piece is never cut), so parts are encoded on their own: memory is bounded for texts of any length, and
-a part that came before (most words do) is looked up. Batches go to the library's threads; their
-number is the task's CPUs.
+a part that came before (most words do) is looked up: when the cache is full, the parts that still come stay. New
+parts go to the library side by side in longer texts, which it cuts at the same places. Batches go to the library's
+threads; their number is the task's CPUs.
 
-Parity: every part is encoded and decoded by the ``sentencepiece`` library too when it enters the cache. A text
+Parity: every part is encoded and decoded by the ``sentencepiece`` library too when it enters the cache, side by
+side with others, and alone where those differ. A text
 with a part that doesn't prove right alone (one with several markers in front, say) is compared whole; ``parity``
 is false where that differs.
 The round trip of every text is compared.
@@ -46,8 +48,9 @@ MARK = "▁"
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
-CACHE_WORDS = 100_000
+CACHE_WORDS = 80_000  # of each of the cache's two halves
 BATCH_WORDS = 4_000
+JOINED = 256  # parts that are encoded side by side
 BATCH_TEXTS = 64
 
 
@@ -131,7 +134,7 @@ class Codec:
     """The rebuilt tokenizer of one model."""
 
     def __init__(self, spec: Spec):
-        from tokenizers import Regex, Tokenizer, decoders, models, normalizers
+        from tokenizers import Regex, Tokenizer, decoders, models, normalizers, pre_tokenizers
 
         self.spec = spec
         steps = []
@@ -164,10 +167,17 @@ class Codec:
         inner = re.compile(f"[^{MARK}]{MARK}")
         self.cuttable = spec.escape and not spec.suffix_marker and not any(
             inner.search(p) for p, k in zip(spec.pieces, spec.kinds) if k in (NORMAL, USER_DEFINED))
-        self._words = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
+        words = f"{MARK}*[^{MARK}]+|{MARK}+"
+        self._words = re.compile(words)
+        if self.cuttable:
+            self._tokenizer.pre_tokenizer = pre_tokenizers.Split(Regex(words), "isolated")
+        # bytes of text that a piece stands for; those that stand for none in particular are too long for any text
+        self._size = np.array([1 if k == BYTE else len(p.encode()) if k in (NORMAL, USER_DEFINED) else 1 << 40
+                               for p, k in zip(spec.pieces, spec.kinds)], np.int64)
         # a byte piece's name that stands in a text is text; the library would take it for the piece
         self._literal = re.compile("(?<=<)(?=0x[0-9A-F]{2}>)") if spec.model_type == UNIGRAM and spec.byte_fallback else None
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}  # what was known when the cache was last full
         self.fresh: list[str] = []  # the parts that the last call added to the known ones
 
     def normalize(self, text: str) -> str:
@@ -194,18 +204,44 @@ class Codec:
         return self.encode_parts([self.parts(t) for t in texts])
 
     def encode_parts(self, made: list[list[str]]) -> list[np.ndarray]:
-        fresh = [w for w in dict.fromkeys(chain.from_iterable(made)) if w not in self.known]
-        if len(self.known) + len(fresh) > CACHE_WORDS:
-            self.known = {}
-            fresh = list(dict.fromkeys(chain.from_iterable(made)))
+        known, older, fresh = self.known, self.older, []
+        words = dict.fromkeys(chain.from_iterable(made))
+        for w in words:
+            if w not in known:
+                if w in older:
+                    known[w] = older[w]
+                else:
+                    fresh.append(w)
+        if len(known) + len(fresh) > CACHE_WORDS:
+            self.older = older = known
+            self.known = known = {w: older[w] for w in words if w in older}
         self.fresh = fresh
         for a in range(0, len(fresh), BATCH_WORDS):
             some = fresh[a: a + BATCH_WORDS]
-            for word, e in zip(some, self._tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                self.known[word] = array("i", e.ids).tobytes()
-        known = self.known
+            plain = alone(some) if self.cuttable else []
+            if not self._side_by_side(plain):
+                rest = some
+            else:
+                rest = [w for w in some if w not in known] if len(plain) < len(some) else []
+            for word, e in zip(rest, self._tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
+                known[word] = array("i", e.ids).tobytes()
         return [np.frombuffer(b"".join([known[w] for w in ws]), np.int32) for ws in made]
 
+    def _side_by_side(self, parts: list[str]) -> bool:
+        """Make the parts known, encoded in joined texts; false, and none is, where the pieces don't end as the parts do."""
+        if not parts:
+            return False
+        made = self._tokenizer.encode_batch_fast(joined(parts), add_special_tokens=False)
+        flat = np.fromiter(chain.from_iterable(e.ids for e in made), np.int32)
+        ends = np.cumsum(self._size[flat])
+        want = part_ends(parts)
+        at = np.searchsorted(ends, want)
+        if not len(ends) or ends[-1] != want[-1] or not np.array_equal(ends[at], want):
+            return False
+        own, at = flat.tobytes(), [0, *(4 * (at + 1)).tolist()]
+        self.known.update(zip(parts, [own[i:j] for i, j in zip(at, at[1:])]))
+        return True
+
     def decode(self, ids: list[np.ndarray]) -> list[str]:
         return self._tokenizer.decode_batch([x.tolist() for x in ids], skip_special_tokens=False)
 
@@ -245,13 +281,13 @@ def doubtful(codec: Codec, lookup: _Lookup, reference) -> list[str]:
     reference library makes other ids or another text, or it can't be asked (several markers in front, say)."""
     if not (codec.cuttable and codec.spec.dummy_prefix):
         return codec.fresh
-    parts = [w for w in codec.fresh if w[0] == MARK and w[1:2] not in ("", MARK)]
-    right = reference.encode([w[1:].replace(MARK, " ") for w in parts], num_threads=1)
+    parts = alone(codec.fresh)
     known = codec.known
-    own = b"".join([known[w] for w in parts])
-    flat = np.fromiter(chain.from_iterable(right), np.int32)
-    if own != flat.tobytes() or [len(known[w]) for w in parts] != [4 * len(x) for x in right]:
-        agreed = [k for k, (w, x) in enumerate(zip(parts, right)) if np.frombuffer(known[w], np.int32).tolist() == x]
+    own = [known[w] for w in parts]
+    flat = np.frombuffer(b"".join(own), np.int32)
+    if not _agree(parts, own, flat, lookup, reference):
+        right = reference.encode([w[1:].replace(MARK, " ") for w in parts], num_threads=1)
+        agreed = [k for k, (x, y) in enumerate(zip(own, right)) if np.frombuffer(x, np.int32).tolist() == y]
         parts = [parts[k] for k in agreed]
         flat = np.fromiter(chain.from_iterable(right[k] for k in agreed), np.int32)
     if lookup.decode(flat).decode("utf-8", "replace") != reference.decode(flat.tolist()):
@@ -259,11 +295,26 @@ def doubtful(codec: Codec, lookup: _Lookup, reference) -> list[str]:
     return [] if len(parts) == len(codec.fresh) else list(set(codec.fresh).difference(parts))
 
 
+def _agree(parts: list[str], own: list[bytes], flat: np.ndarray, lookup: _Lookup, reference) -> bool:
+    """Whether the reference library makes the parts' own ids (``flat``: all) where the parts stand side by side, each
+    from its own part of the text."""
+    if not parts:
+        return True
+    n = np.cumsum(np.fromiter(map(len, own), np.int64, len(own))) // 4
+    spelled = part_ends(parts) - 2 * np.arange(1, len(parts) + 1)  # a marker is a space
+    if n[0] == 0 or not np.array_equal(np.cumsum(lookup.size[flat])[n - 1], spelled):
+        return False
+    right = reference.encode([x[1:].replace(MARK, " ") for x in joined(parts)], num_threads=1)
+    return np.array_equal(flat, np.fromiter(chain.from_iterable(right), np.int32))
+
+
 def parity(texts: list[str], made: list[list[str]], ids: list[np.ndarray], codec: Codec, lookup: _Lookup, reference,
            doubts: set[str]) -> list[bool]:
     """Whether each text's ids, and the text they decode to, are those of the reference library. To be called after
     each ``encode_parts``; ``doubts`` keeps the parts in the cache that don't prove right alone."""
     doubts.update(doubtful(codec, lookup, reference))
+    if len(doubts) > 4 * CACHE_WORDS:  # parts that left the cache are asked for again when they come back
+        doubts.intersection_update(chain(codec.known, codec.older))
     same = [True] * len(texts)
     asked = [i for i, parts in enumerate(made) if not doubts.isdisjoint(parts)] if doubts else []
     for i, right in zip(asked, reference.encode([texts[i] for i in asked], num_threads=1)):
@@ -271,6 +322,24 @@ def parity(texts: list[str], made: list[list[str]], ids: list[np.ndarray], codec
     return same
 
 
+def alone(parts: list[str]) -> list[str]:
+    """Those with one marker in front and then text, so that others can follow and stand before them."""
+    return [w for w in parts if w[0] == MARK and w[1:2] not in ("", MARK)]
+
+
+def part_ends(parts: list[str]) -> np.ndarray:
+    """Where the bytes of each of such parts end, in all of them together."""
+    text = np.frombuffer("".join(parts).encode(), np.uint8)
+    one, two, three = MARK.encode()
+    begin = np.flatnonzero((text[:-2] == one) & (text[1:-1] == two) & (text[2:] == three))
+    return np.append(begin[1:], len(text))
+
+
+def joined(parts: list[str]) -> list[str]:
+    """The parts side by side, in texts of JOINED each."""
+    return ["".join(parts[a: a + JOINED]) for a in range(0, len(parts), JOINED)]
+
+
 def codec_of(model: bytes) -> Codec:
     return Codec(read_model(model))
 

@@ -72,6 +72,8 @@ def kept(key, make: Callable):
     one operator leaves behind must not add to the next one's memory."""
     if key not in _SLOT:
         _SLOT.clear()
+        _POWERS.clear()
+        _trim()
         _SLOT[key] = make()
     return _SLOT[key]
 

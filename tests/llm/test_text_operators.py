@@ -438,6 +438,24 @@ def test_parity_is_false_where_the_reference_differs():
     assert not any(s for s, x in zip(sentencepiece_codec.parity(texts, made, ids, codec, lookup, reference, set()), ids) if len(x))
 
 
+def test_parts_that_come_again_stay_in_a_full_cache(monkeypatch):
+    """The parts that every call brings are encoded once, however many others come between; parts encoded side by side
+    have the ids that each has alone."""
+    monkeypatch.setattr(sentencepiece_codec, "CACHE_WORDS", 40)
+    monkeypatch.setattr(sentencepiece_codec, "JOINED", 7)
+    codec = sentencepiece_codec.codec_of(open(SENTENCEPIECE_MODEL, "rb").read())
+    every = codec.parts("these words come in every text")
+    encoded: list[str] = []
+    for k in range(30):
+        some = codec.parts(" ".join(f"word{k}x{i}" for i in range(11)) + "  two été \U0001f600 ")
+        ids = codec.encode_parts([every, some])
+        encoded += codec.fresh
+        alone = [np.array(codec._tokenizer.encode(w, add_special_tokens=False).ids, np.int32) for w in [*every, *some]]
+        assert np.concatenate(ids).tolist() == np.concatenate(alone).tolist()
+        assert len(codec.known) + len(codec.older) <= 2 * 40 + len(every) + len(some)
+    assert all(encoded.count(w) == 1 for w in every)
+
+
 def test_encode_and_decode_round_trip(spark, odd):
     data = open(SENTENCEPIECE_MODEL, "rb").read()
     out = sentencepiece_codec.encode(odd, data)
