@@ -94,6 +94,7 @@ def _binary(rows: np.ndarray) -> pa.Array:
 
 def _signatures(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tb.forget()
         for batch in batches:
             for i, j, h, n in _sets(batch.column("text"), size):
                 sig = np.full((j - i, SIGNATURE), np.iinfo(np.uint32).max, np.uint32)
@@ -117,6 +118,7 @@ def _signatures(size: int):
 
 def _involved_sets(size: int, bitmap):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tb.forget()
         bits = np.frombuffer(bitmap.value, np.uint8)
         for batch in batches:
             for i, j, h, n in _sets(batch.column("text"), size):

@@ -78,6 +78,11 @@ def kept(key, make: Callable):
     return _SLOT[key]
 
 
+def forget() -> None:
+    """Give up what earlier operators left in this worker; for operators that keep nothing themselves."""
+    kept(None, lambda: None)
+
+
 def _trim() -> None:
     pa.default_memory_pool().release_unused()
     try:

@@ -51,6 +51,22 @@ def odd(spark):
 # --- bytes -----------------------------------------------------------------------------------------
 
 
+def test_a_worker_gives_up_what_other_operators_left():
+    """Near-dedup, which keeps nothing itself, and an operator with a key of its own free the tables and powers before theirs."""
+    import pyarrow as pa
+
+    from pricelab.llm import near_dedup
+
+    rows = pa.RecordBatch.from_pydict({"rid": [1, 2], "doc_id": [1, 2], "text": ["a b c d e f", None]})
+    for run in (near_dedup._signatures(5), near_dedup._involved_sets(5, type("B", (), {"value": bytes(near_dedup.BITMAP_BITS // 8)}))):
+        textbytes.kept("large", lambda: np.zeros(9))
+        list(run(iter([rows])))
+        assert "large" not in textbytes._SLOT
+    textbytes.powers(3, 10)
+    textbytes.kept("other", lambda: None)
+    assert not textbytes._POWERS and list(textbytes._SLOT) == ["other"]
+
+
 def test_words_are_the_contract_words():
     import pyarrow as pa
 
