@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from pricelab.llm import textbytes as tb
-from pricelab.session import ensure_checkpoint_dir
+from pricelab.session import ensure_checkpoint_dir, release_unused
 
 SIGNATURE = 64
 DEPTH = 4
@@ -164,28 +164,30 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """(node, root) for every node of the links (a, b): root is the component's smallest node.
 
-    Large-star / small-star rounds: each joins every node to the smallest node that it knows. The number
-    of rounds grows with the logarithm of a component's size; a round is two grouped minima and two joins.
+    Large-star / small-star rounds until all edges (a, b), a > b, are stars: each joins every node to the smallest
+    node that it knows. The number of rounds grows with the logarithm of a component's size; a round is two grouped
+    minima and two joins. Shuffle files and checkpoints of the rounds before, and of the caller's steps, are let go.
     """
-    edges = links.filter("a <> b").distinct().checkpoint()
-    before = None
-    while True:
-        both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    spark = links.sparkSession
+    edges = links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().checkpoint()
+    release_unused(spark)
+    while not _are_stars(edges):
+        both = edges.select(F.inline(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(low, "a").filter(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
-        down = large.filter("a <> b").distinct()
-        low2 = down.groupBy("a").agg(F.min("b").alias("m"))
-        small = (down.join(low2, "a")
-                 .select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")),
-                                           F.struct("a", F.col("m").alias("b")))).alias("e"))
-                 .select("e.a", "e.b").filter("a <> b").distinct())
-        edges = small.checkpoint()
-        state = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if state == before:
-            break
-        before = state
-    leaves = edges.groupBy("a").agg(F.min("b").alias("root")).select(F.col("a").alias("node"), "root")
-    return leaves.unionByName(leaves.select(F.col("root").alias("node"), "root").distinct())
+        low2 = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(low2, "a").select(F.inline(F.array(
+            F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))))
+        edges = small.filter("a <> b").distinct().checkpoint()
+        release_unused(spark)
+    return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(
+        edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+
+
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether no upper end of the distinct edges (a, b), a > b, is an end of another edge."""
+    ends = edges.select(F.inline(F.array(F.struct(F.col("a").alias("node"), F.lit(1).alias("up")), F.struct(F.col("b").alias("node"), F.lit(0).alias("up")))))
+    return ends.groupBy("node").agg(F.sum("up").alias("ups"), F.count("*").alias("n")).filter("ups > 0 and n > 1").isEmpty()
 
 
 def _regions(classes: DataFrame) -> DataFrame:
@@ -308,7 +310,7 @@ def _joined(stars: DataFrame, links: DataFrame) -> DataFrame:
     """The components ``stars`` (node, root) after further links."""
     if links.isEmpty():
         return stars
-    return components(_pairs(stars.select(F.col("root").alias("a"), F.col("node").alias("b"))).unionByName(links))
+    return components(stars.select(F.col("root").alias("a"), F.col("node").alias("b")).unionByName(links))
 
 
 def _placed(rows: DataFrame, stars: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@ checkpoint folder, and unique scratch locations inside it."""
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -94,6 +95,16 @@ def remove_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def release_unused(spark: SparkSession) -> None:
+    """Have Spark delete the shuffle files, and the checkpoints where ``spark.cleaner.referenceTracking.cleanCheckpoints``
+    is set, of tables that nothing refers to any more.
+
+    Its cleaner hears of them only when the driver's JVM collects garbage, which a job of many small rounds hardly
+    makes it do: their files pile up on the executors' disks. (GraphFrames' rounds ask for the same.)"""
+    gc.collect()                                                      # Python's handles first: they hold the JVM's
+    spark.sparkContext._jvm.System.gc()
+
+
 def small_frame(spark: SparkSession, rows: list[tuple], schema: str):
     """A DataFrame from a short list of tuples, built from literals in the
     JVM (``createDataFrame`` on a list goes through a Python RDD and starts
