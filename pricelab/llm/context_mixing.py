@@ -45,11 +45,12 @@ FEWER = (2, 1, 0, 0)  # powers of two by which a context's table is smaller than
 REACH = 6  # bytes that the longest context holds
 MIN_BITS, MAX_BITS = 18, 24  # counters of a context, as powers of two
 BLOCK = 128
-SCORE_BYTES = 1 << 21  # texts that are scored in one step
+SCORE_BYTES = 1 << 20  # texts that are scored in one step
 CONTEXT_BYTES = 1 << 16  # texts whose contexts are found in one step
 LANES = 64  # texts that are mixed side by side
 REFINE = 25
 PACK = 1 << 16  # counters of a block
+SENT = 8  # blocks that a task hands on at a time
 FAN_IN = 128
 HOT = 100_000
 STRETCH = 16.0  # table steps of the stretched domain per unit
@@ -75,7 +76,8 @@ def table_bits(n_bytes: int) -> tuple[int, ...]:
 
 def _padded(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The texts with REACH zero bytes before each, and the places of their own bytes there."""
-    at = np.arange(len(buf)) + np.repeat(np.arange(1, len(offsets)) * REACH, np.diff(offsets))
+    at = np.repeat(np.arange(1, len(offsets)) * REACH, np.diff(offsets))
+    at += np.arange(len(buf))
     out = np.zeros(len(buf) + (len(offsets) - 1) * REACH, np.uint8)
     out[at] = buf
     return out, at
@@ -117,6 +119,15 @@ def _text_ends(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return np.insert(buf, at, 0), offsets + np.arange(len(offsets))
 
 
+def _words(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The lower-cased texts' words by hash and how many each has, found in some texts at a time: the numbers a byte takes on
+    the way are many times its size."""
+    found = [tb.words(buf[offsets[i]: offsets[j]], offsets[i: j + 1] - offsets[i]) for i, j in tb.steps(offsets, CONTEXT_BYTES)]
+    if not found:
+        return np.zeros(0, U64), np.zeros(0, np.int64)
+    return np.concatenate([h for h, _ in found]), np.concatenate([n for _, n in found])
+
+
 def _gather_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (key, n): words by hash, summed over some millions of words."""
     held: list[np.ndarray] = []
@@ -129,7 +140,7 @@ def _gather_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     for batch in batches:
         buf, offsets = tb.column_bytes(batch.column("text"))
         for i, j in tb.steps(offsets):
-            h, per_doc = tb.words(tb.lower(buf[offsets[i]: offsets[j]]), offsets[i: j + 1] - offsets[i])
+            h, per_doc = _words(tb.lower(buf[offsets[i]: offsets[j]]), offsets[i: j + 1] - offsets[i])
             held += [h, np.full(len(per_doc), END, U64)]
             size += len(h) + len(per_doc)
             if size > 4_000_000:
@@ -176,7 +187,7 @@ def _gather_counters(bits: tuple[int, ...]):
                         np.add.at(counts[k], ((line << np.uint32(4)) + nibble)[at], np.uint32(1))
         context = TaskContext.get()
         rows = _packed(context.partitionId() if context else 0, counts)
-        while some := list(islice(rows, 64)):
+        while some := list(islice(rows, SENT)):
             part, block, packed = zip(*some)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(part, pa.int64()), pa.array(block, pa.int32()), pa.array(packed, pa.binary())], ["part", "block", "packed"])
@@ -233,16 +244,17 @@ def predictions(counts: np.ndarray) -> np.ndarray:
 def code_lengths(tables: list[np.ndarray], buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Bits of each text under the mixed model; ``tables``: the int8 predictions of each context."""
     size = np.diff(offsets)
-    padded, _ = _padded(buf, offsets)
+    padded = _padded(buf, offsets)[0]
     begin = offsets[:-1] + np.arange(1, len(offsets)) * REACH
     # lines of some texts at a time: what they need is then in the processor's cache
-    lines = np.empty((len(padded), len(ORDERS), 2), np.uint32)
+    first, second = np.empty((len(padded), len(ORDERS)), np.uint32), np.empty((len(padded), len(ORDERS)), np.uint8)
     for i, j in tb.steps(offsets, CONTEXT_BYTES):
         own = slice(begin[i] - REACH, begin[j - 1] + size[j - 1])
         high = padded[own] >> 4
         for k, context in enumerate(contexts(padded[own])):
-            lines[own, k, 0], lines[own, k, 1] = _lines(context, high, len(tables[k]).bit_length() - 1)
-    return _mix(tables, padded, lines, begin, size)
+            first[own, k], other = _lines(context, high, len(tables[k]).bit_length() - 1)
+            second[own, k] = other & np.uint32(255)  # the rest is the first one's
+    return _mix(tables, padded, first, second, begin, size)
 
 
 class _Room:
@@ -257,11 +269,11 @@ class _Room:
         self.met = np.empty((2, n, BLOCK), "V16")
 
 
-def _mix(tables: list[np.ndarray], buf: np.ndarray, lines: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+def _mix(tables: list[np.ndarray], buf: np.ndarray, first: np.ndarray, second: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
     """Bits of each text. LANES texts are mixed side by side, a block of each at a time; where one ends, the next begins."""
     n_in = len(ORDERS)
     whole = [t.view("V16") for t in tables]
-    of_byte = lines.reshape(len(lines), -1).view(f"V{8 * n_in}")[:, 0]  # a byte's lines, side by side
+    first, second = first.view(f"V{4 * n_in}")[:, 0], second.view(f"V{n_in}")[:, 0]  # a byte's lines, side by side
     bits = np.zeros(len(size))
     queue = np.flatnonzero(size > 0)
     queue = queue[np.argsort(-size[queue], kind="stable")]
@@ -290,11 +302,13 @@ def _mix(tables: list[np.ndarray], buf: np.ndarray, lines: np.ndarray, begin: np
         _NODES.take(byte, axis=1, out=node, mode="clip")
         node += places
         # the lines of a block are fetched whole, 16 bytes each; their nodes are then picked from that
-        line = of_byte.take(at, mode="clip")[..., None].view(np.uint32)
+        line = first.take(at, mode="clip")[..., None].view(np.uint32)
+        low = second.take(at, mode="clip")[..., None].view(np.uint8)
+        line = line, (line & np.uint32(0xFFFFFF00)) | low
         mixed[:] = 0
         for k in range(n_in):
             for half in (0, 1):
-                whole[k].take(line[..., 2 * k + half], mode="clip", out=room.met[half])
+                whole[k].take(line[half][..., k], mode="clip", out=room.met[half])
             room.met.view(np.int8).reshape(-1).take(node, mode="clip", out=room.picked)
             np.copyto(room.inputs[k], room.picked)
             mixed += np.multiply(room.inputs[k], weights[k][..., None], out=other)
@@ -342,13 +356,24 @@ def _parts(table: np.ndarray, bits: tuple[int, ...]) -> list[np.ndarray]:
     return np.split(table, np.cumsum([1 << b for b in bits])[:-1])
 
 
+def _folded(table: np.ndarray) -> bytes:
+    """The whole table as it is broadcast: a worker keeps that beside its own copy."""
+    return pa.compress(table.tobytes(), codec="zstd", asbytes=True)
+
+
+def _unfolded(folded: bytes, bits: tuple[int, ...]) -> np.ndarray:
+    # a copy by numpy, whose large arrays lie on large pages where the system has them
+    whole = pa.decompress(folded, sum(1 << b for b in bits), codec="zstd", memory_pool=pa.system_memory_pool())
+    return np.array(np.frombuffer(whole, np.int8))
+
+
 def _score(tables, bits, hot, totals):
     """Rows with c = 0 hold a text's finished parts (key: its row, mixed), the others a rare word's count in a text."""
     train, vocabulary = totals
     made = uuid.uuid4().hex  # names this table in the workers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = tb.kept(("contexts", made), lambda: _parts(np.array(np.frombuffer(tables.value, np.int8)), bits))
+        table = tb.kept(("contexts", made), lambda: _parts(_unfolded(tables.value, bits), bits))
         hot_key, hot_n = (np.frombuffer(x, t) for x, t in zip(hot.value, (U64, np.int64)))
         log_n = np.log10(hot_n + 1.0)
         for batch in batches:
@@ -356,7 +381,7 @@ def _score(tables, bits, hot, totals):
             rid = batch.column("rid").to_numpy()
             for i, j in tb.steps(offsets, SCORE_BYTES):
                 part, own = tb.lower(buf[offsets[i]: offsets[j]]), offsets[i: j + 1] - offsets[i]
-                h, per_doc = tb.words(part, own)
+                h, per_doc = _words(part, own)
                 doc = np.concatenate([np.repeat(np.arange(j - i), per_doc), np.arange(j - i)])
                 h = np.concatenate([h, np.full(j - i, END, U64)])
                 at = np.minimum(np.searchsorted(hot_key, h), max(len(hot_key) - 1, 0))
@@ -409,7 +434,7 @@ def score_documents(docs: DataFrame, training: str) -> DataFrame:
     blocks = table.reshape(-1, PACK)
     for r in block_predictions(texts, bits).collect():
         blocks[r["block"]] = np.frombuffer(r["packed"], np.int8)
-    tables = sc.broadcast(table.tobytes())
+    tables = sc.broadcast(_folded(table))
     # an id for each row, so that rows with equal doc_ids stay apart
     rows_out = rows.select(F.monotonically_increasing_id().alias("rid"), "doc_id", (~is_training).alias("held_out"), "text")
     scored = rows_out.mapInArrow(tb.frugal(_score(tables, bits, hot, (total[0], total[1]))), SCORED)

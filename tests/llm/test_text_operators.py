@@ -7,10 +7,13 @@ import os
 import random
 import struct
 import sys
+import tracemalloc
 import zlib
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -192,6 +195,25 @@ def test_scores_of_no_documents(spark, docs):
     assert untrained[0] == 0 and untrained[1] < 0 and untrained[2] == docs.count()
 
 
+def test_scoring_holds_little_memory():
+    cm = context_mixing
+    bits = cm.table_bits(0)
+    table = np.random.default_rng(5).integers(-3, 4, sum(1 << b for b in bits)).astype(np.int8)
+    folded = cm._folded(table)
+    assert len(folded) < 0.6 * table.nbytes and np.array_equal(cm._unfolded(folded, bits), table)
+    text = pa.array(["some words that come again " * 300] * 600)
+    columns = [pa.array(range(600)), pa.array(range(600)), pa.array([False] * 600), text]
+    batch = pa.RecordBatch.from_arrays(columns, ["rid", "doc_id", "held_out", "text"])
+    run = cm._score(SimpleNamespace(value=folded), bits, SimpleNamespace(value=(b"", b"")), (10, 10))
+    tracemalloc.start()
+    try:
+        assert sum(len(b) for b in run(iter([batch]))) == 600 * 7  # a text's finished parts and its six rare words, one of them its end
+        assert tracemalloc.get_traced_memory()[1] < 90e6  # 134 MB when 2 MB were scored at a time and words found in all of them
+    finally:
+        tracemalloc.stop()
+        textbytes.forget()
+
+
 def test_tables_grow_with_the_training_text():
     sizes = [sum(context_mixing.table_bits(10**k)) for k in range(5, 8)]
     assert sizes == sorted(set(sizes))
