@@ -52,7 +52,7 @@ REFINE = 25
 PACK = 1 << 16  # counters of a block
 SENT = 8  # blocks that a task hands on at a time
 FAN_IN = 128
-HOT = 100_000
+HOT = 1_000_000  # words that come more often than once in so many are broadcast, 16 bytes each
 STRETCH = 16.0  # table steps of the stretched domain per unit
 START_WEIGHTS = (0.4, 0.25, 0.3, 0.15)  # of the contexts, before a text has been seen
 RATE = 0.0015
@@ -294,6 +294,7 @@ def _mix(tables: list[np.ndarray], buf: np.ndarray, first: np.ndarray, second: n
             places = np.arange(n * BLOCK).reshape(n, BLOCK) * 16
             places = np.stack([places, places + n * BLOCK * 16]).repeat(4, axis=0)
             cells = (np.arange(8 * n) * REFINE).reshape(8, n, 1)
+            of_bit = _BITS * (8 * n * REFINE)
         mixed, other, sign, node, cell = room.mixed, room.other, room.sign, room.node, room.cell
         left = size[text] - done
         inside = lane < left[:, None]
@@ -305,19 +306,20 @@ def _mix(tables: list[np.ndarray], buf: np.ndarray, first: np.ndarray, second: n
         line = first.take(at, mode="clip")[..., None].view(np.uint32)
         low = second.take(at, mode="clip")[..., None].view(np.uint8)
         line = line, (line & np.uint32(0xFFFFFF00)) | low
-        mixed[:] = 0
         for k in range(n_in):
             for half in (0, 1):
                 whole[k].take(line[half][..., k], mode="clip", out=room.met[half])
             room.met.view(np.int8).reshape(-1).take(node, mode="clip", out=room.picked)
             np.copyto(room.inputs[k], room.picked)
-            mixed += np.multiply(room.inputs[k], weights[k][..., None], out=other)
+            np.multiply(room.inputs[k], weights[k][..., None], out=other if k else mixed)
+            if k:
+                mixed += other
         np.clip(mixed, -LIMIT, LIMIT, out=mixed)
         np.multiply(mixed, scale, out=other)
         other += np.float32(LIMIT * scale + 0.5)
         np.copyto(cell, other, casting="unsafe")
         cell += cells
-        cell += np.multiply(_BITS.take(byte, axis=1, out=node, mode="clip"), 8 * n * REFINE, out=node)  # the cell of the bit that came
+        cell += of_bit.take(byte, axis=1, out=node, mode="clip")  # the cell of the bit that came
         _SIGNS.take(byte, axis=1, out=sign, mode="clip")
         # the probability of the bit that came, by the mixer and by the map
         np.exp(np.negative(np.multiply(mixed, sign, out=mixed), out=mixed), out=mixed)
@@ -442,7 +444,8 @@ def score_documents(docs: DataFrame, training: str) -> DataFrame:
     # a text's finished parts go along under a key of their own; what that meets is not counted
     met = scored.join(rare, "key", "left")
     hit = F.col("n").isNotNull() & (F.col("c") > 0)
-    parts = met.groupBy("rid").agg(
+    # a rare word that training lacks adds nothing
+    parts = met.where(hit | (F.col("c") == 0)).groupBy("rid").agg(
         *[F.max(c).alias(c) for c in ("doc_id", "held_out", "n_bytes", "n_tokens", "score")],
         (F.sum("n_known") + F.sum(F.when(hit, F.col("c")).otherwise(0))).alias("n_known"),
         (F.sum("base_score") + F.sum(F.when(hit, F.col("c") * F.log10(F.col("n") + 1.0)).otherwise(0.0))).alias("base_score"))
